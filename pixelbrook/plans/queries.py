@@ -1,0 +1,6 @@
+"""The engine's own queries over the driver's tables, and the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
