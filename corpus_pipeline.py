@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelbrook.llm import decontaminate, pieces, secrets, simhash, toxicity
+from pixelbrook.llm import decontaminate, secrets, simhash, toxicity
 from pixelbrook.llm.arrow import read
 
 
@@ -30,16 +30,11 @@ def no_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
-def segmented(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.report(docs)
-
-
 STAGES = [
     ("toxicity", clean_language),
     ("simhash", one_of_each),
     ("decontamination", no_benchmark),
     ("secrets", no_secrets),
-    ("pieces", segmented),
 ]
 
 #: SQL can express neither the learned grammar nor the sampled segmentations; tests hold the stages against brute force.

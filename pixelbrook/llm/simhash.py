@@ -78,15 +78,16 @@ def _bits(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp)``, fp a signed 64-bit integer."""
+    """``docs(doc_id, text)`` -> ``(doc_id, body, fp)``, body a hash of the text, fp a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
                 fp = majority([shingle_hashes(t) for t in utf8(part)])
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "body"), pa.array(fp.view(np.int64))], ["doc_id", "body", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("body"), text.alias("text")).mapInArrow(run, "doc_id long, body long, fp long")
 
 
 def trie_self_join(keys: np.ndarray, shared: int = BLOCK_BITS, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -203,25 +204,31 @@ def links(classes: DataFrame) -> DataFrame:
     return shards.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(_forest, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fingerprint, component_id)``, one row per document."""
+def classes_named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, body, fp)`` of each document, body a hash of its text, and ``(class, root)`` of each fingerprint."""
     fps = checkpointed(fingerprints(docs))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = fps.select("fp").distinct()
     roots = components(links(classes))
-    classes = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(least, "root").select(F.col("fp").alias("class"), "component_id")
+    return fps, classes.join(roots, classes.fp == roots.node, "left").select(F.col("fp").alias("class"), F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, fingerprint, component_id)``, one row per document."""
+    fps, named = classes_named(docs)
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    named = named.join(first, F.col("class") == first.fp).select("class", "root", "first")
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "root").select("class", "component_id")
     return fps.join(named, fps.fp == named["class"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row of each group, all columns kept: that of the smallest doc_id (of rows that share it, the least text). A
-    group without any doc_id keeps the row of least text."""
+    """One row of each group, all columns kept: that of the smallest doc_id (null last), then of the least hash of the text."""
     names = [f"`{c}`" for c in docs.columns]
-    found = near_duplicates(docs)
-    keepers = found.groupBy("component_id").agg(F.max(F.lit(1)).alias("kept")).where("component_id is not null").select(F.col("component_id").alias("__id"))
-    named = docs.join(keepers, docs.doc_id == keepers["__id"], "left_semi")
-    if "doc_id" in docs.columns and docs.where("doc_id is null").limit(1).count():
-        fps = fingerprints(docs.where("doc_id is null").select("doc_id", "text").distinct())
-        raise NotImplementedError(fps)
-    return named.select(*names)
+    fps, named = classes_named(docs)
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("first")
+    first = fps.groupBy("fp").agg(order)
+    kept = first.join(named, first.fp == named["class"]).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.body").alias("__body"))
+    body = F.xxhash64(F.col("text").cast("string"))
+    kept = docs.withColumn("__of", body).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__body")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__of"]).select(*names)
