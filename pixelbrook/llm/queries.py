@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash, token_counts, toxicity
+from . import decontaminate, secrets, simhash, suffix_dedup, token_counts, toxicity
 from .arrow import read
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -26,5 +30,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.suffix_sums(token_counts.histogram(read(spark, sf_dir, "documents", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_decontaminate, op7_toxicity, op8_secrets, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op5_decontaminate, op7_toxicity, op8_secrets, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
