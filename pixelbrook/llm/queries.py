@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets, simhash, suffix_dedup, token_counts, toxicity
+from . import decontaminate, pieces, secrets, simhash, suffix_dedup, token_counts, toxicity
 from .arrow import read
 
 
@@ -26,9 +26,13 @@ def op8_secrets(spark, sf_dir):
     return secrets.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_pieces(spark, sf_dir):
+    return pieces.report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_token_counts(spark, sf_dir):
     return token_counts.suffix_sums(token_counts.histogram(read(spark, sf_dir, "documents", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op5_decontaminate, op7_toxicity, op8_secrets, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op5_decontaminate, op7_toxicity, op8_secrets, op9_pieces, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
