@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, secrets, simhash, suffix_dedup, token_counts, toxicity
+from . import chat, decontaminate, pieces, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
 from .arrow import read
 
 
@@ -14,10 +14,18 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_quality(spark, sf_dir):
+    return quality.report(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_chat(spark, sf_dir):
+    return chat.repaired(read(spark, sf_dir, "conversations"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity.report(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
 
@@ -34,5 +42,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.suffix_sums(token_counts.histogram(read(spark, sf_dir, "documents", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op5_decontaminate, op7_toxicity, op8_secrets, op9_pieces, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_quality, op5_decontaminate, op6_chat, op7_toxicity, op8_secrets, op9_pieces, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
