@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Column functions: container bytes, pixels, codec arithmetic and options. All stay in Catalyst expressions."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Operators on tables of pixels, frames and files."""
