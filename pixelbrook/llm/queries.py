@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, pieces, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
+from pyspark.sql import functions as F
+
+from . import bm25, chat, decontaminate, pieces, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
 from .arrow import read
 
 
@@ -18,6 +20,12 @@ def op3_quality(spark, sf_dir):
     return quality.report(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
 
 
+def op4_bm25(spark, sf_dir):
+    """Every document whose id is divisible by 20 is a query, with its whole text, against all documents."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), "text"))
+
+
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
@@ -42,5 +50,5 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.suffix_sums(token_counts.histogram(read(spark, sf_dir, "documents", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_quality, op5_decontaminate, op6_chat, op7_toxicity, op8_secrets, op9_pieces, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_quality, op4_bm25, op5_decontaminate, op6_chat, op7_toxicity, op8_secrets, op9_pieces, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
