@@ -1,0 +1,125 @@
+"""Kernels over tables: one Arrow pass each, a row of images in, a row out. A bad file gives an error, not a failed job."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.container import Bad, parse
+from . import alpha, lossless
+from .bits import Corrupt
+
+IMAGE = "width int, height int, data binary, error string"
+
+
+def rgba(px: np.ndarray) -> bytes:
+    """ARGB words to row-major R, G, B, A bytes."""
+    return np.stack([(px >> np.uint32(n) & np.uint32(255)).astype(np.uint8) for n in (16, 8, 0, 24)], -1).tobytes()
+
+
+def argb(data: bytes, width: int, height: int) -> np.ndarray:
+    p = np.frombuffer(data, np.uint8).reshape(height, width, 4).astype(np.uint32)
+    return p[..., 3] << np.uint32(24) | p[..., 0] << np.uint32(16) | p[..., 1] << np.uint32(8) | p[..., 2]
+
+
+def decode_image(content: bytes | None) -> tuple:
+    """(width, height, RGBA bytes, error) of a file's first frame."""
+    f = parse(content, "strict", max_frames=1)
+    if f.error:
+        return None, None, None, f.error
+    if not f.frames:
+        return None, None, None, "no frames"
+    frame = f.frames[0]
+    if not frame.lossless:
+        return frame.w, frame.h, None, "lossy images aren't decoded yet"
+    try:
+        px = lossless.decode(frame.data)
+    except (Corrupt, Bad, IndexError, ValueError) as e:
+        return None, None, None, str(e) or type(e).__name__
+    return px.shape[1], px.shape[0], rgba(px), None
+
+
+def encode_image(data: bytes | None, width: int | None, height: int | None, quality: float = 75.0) -> tuple:
+    """(file, error) of RGBA bytes; transparent pixels lose their colour."""
+    if data is None or width is None or height is None:
+        return None, "no image"
+    if not (1 <= width <= 16383 and 1 <= height <= 16383):
+        return None, "bad dimensions"
+    if len(data) != 4 * width * height:
+        return None, "size differs from the dimensions"
+    px = argb(data, width, height).copy()
+    px[px >> np.uint32(24) == 0] = 0
+    body = lossless.encode(px, quality)
+    body += b"\0" * (len(body) & 1)
+    size = len(body)
+    return b"RIFF" + (size + 12).to_bytes(4, "little") + b"WEBPVP8L" + size.to_bytes(4, "little") + body, None
+
+
+def _each(df: DataFrame, key: str, columns: list[str], schema: str, kinds: list[pa.DataType], f) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # an image at a time: pixels are larger than files
+                row = f(*(batch.column(1 + j)[k].as_py() for j in range(len(columns))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *(pa.array([v], t) for v, t in zip(row, kinds))], [key, *names])
+
+    one = df.select(key, *columns)
+    return one.mapInArrow(run, f"`{key}` {one.schema[key].dataType.simpleString()}, {schema}")
+
+
+def decoded(files: DataFrame, key: str = "path") -> DataFrame:
+    """``files(key, content)`` -> ``(key, width, height, data, error)``."""
+    return _each(files, key, ["content"], IMAGE, [pa.int32(), pa.int32(), pa.binary(), pa.string()], decode_image)
+
+
+def encoded(images: DataFrame, key: str, quality: float = 75.0) -> DataFrame:
+    """``images(key, data, width, height)`` -> ``(key, content, error)``."""
+    return _each(images, key, ["data", "width", "height"], "content binary, error string", [pa.binary(), pa.string()], lambda d, w, h: encode_image(d, w, h, quality))
+
+
+def alpha_encoded(planes: DataFrame, key: str, quality: int = 100, filtering: int = 1) -> DataFrame:
+    """``planes(key, data, width, height)`` of one byte a pixel -> ``(key, alpha)``."""
+    return _each(planes, key, ["data", "width", "height"], "alpha binary", [pa.binary()], lambda d, w, h: (alpha.encode(np.frombuffer(d, np.uint8).reshape(h, w), quality, 1, filtering),))
+
+
+def alpha_decoded(planes: DataFrame, key: str) -> DataFrame:
+    """``planes(key, alpha, width, height)`` -> ``(key, data, error)``."""
+    def one(data, w, h):
+        try:
+            return alpha.decode(data or b"", w, h).tobytes(), None
+        except (Corrupt, IndexError, ValueError) as e:
+            return None, str(e) or type(e).__name__
+
+    return _each(planes, key, ["alpha", "width", "height"], "data binary, error string", [pa.binary(), pa.string()], one)
+
+
+def pixel_rows(images: DataFrame, key: str) -> DataFrame:
+    """``images(key, width, height, data)`` -> ``(key, y, x, r, g, b, a)``, for analysis in SQL."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                w, h, data = (batch.column(j)[k].as_py() for j in (1, 2, 3))
+                if data is None:
+                    continue
+                p = np.frombuffer(data, np.uint8).reshape(h * w, 4).astype(np.int32)
+                for a in range(0, h * w, 65536):
+                    at = np.arange(a, min(a + 65536, h * w))
+                    keys = batch.column(0).take(pa.array(np.full(len(at), k)))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(at // w), pa.array(at % w), *(pa.array(np.ascontiguousarray(p[at, c])) for c in range(4))], [key, "y", "x", "r", "g", "b", "a"])
+
+    one = images.select(key, "width", "height", "data")
+    return one.mapInArrow(run, f"`{key}` {one.schema[key].dataType.simpleString()}, y long, x long, r int, g int, b int, a int")
+
+
+def images_of(pixels: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """Dense images of ``pixels(key, y, x, r, g, b, a)`` with unique places; places without a pixel are 0."""
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    hexed = F.concat(*[byte(c) for c in ("r", "g", "b", "a")])
+    cells = pixels.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).cast("int").alias("at"), hexed.alias("v")))).alias("m"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit("00000000")))
+    return cells.select(key, F.lit(width).alias("width"), F.lit(height).alias("height"), F.unhex(F.array_join(whole, "")).alias("data"))

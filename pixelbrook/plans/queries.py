@@ -464,3 +464,65 @@ _BAD = [("quality", "event_id % 110 - 4", "v < 0 OR v > 100"), ("method", "event
 def option_validation(spark, sf_dir):
     values = {k: F.lit(v) for k, v in O.Options().row().items()} | {n: F.expr(e) for n, e, _ in _BAD}
     return table(spark, sf_dir, "events").select("event_id", O.first_error(values).alias("error"), O.resolved("segments", values["segments"]).cast("long").alias("segments"))
+
+
+# ---------------------------------------------------------------- bitstreams
+
+_TILES = """tl AS (SELECT p_partkey // 256 AS image_id, p_partkey % 256 // 16 AS y, p_partkey % 16 AS x, CAST(p_size * 5 % 256 AS INT) AS r, CAST(p_partkey * 7 % 256 AS INT) AS g, CAST((p_partkey // 16 * 3 + p_size) % 256 AS INT) AS b, CAST(CASE WHEN p_size % 7 = 0 THEN 0 ELSE 255 - p_size END AS INT) AS a FROM part)"""
+
+
+def tiles(spark, sf_dir: str) -> DataFrame:
+    """Images of 16 x 16 pixels of the parts."""
+    k, s = F.col("p_partkey"), F.col("p_size").cast("long")
+    return table(spark, sf_dir, "part").select(
+        F.floor(k / 256).alias("image_id"), F.floor(k % 256 / 16).alias("y"), (k % 16).alias("x"), i(s * 5 % 256).alias("r"), i(k * 7 % 256).alias("g"), i((F.floor(k / 16) * 3 + s) % 256).alias("b"),
+        i(F.when(s % 7 == 0, 0).otherwise(255 - s)).alias("a"),
+    )
+
+
+_FULL = "cells AS (SELECT image_id, r.range // 16 AS y, r.range % 16 AS x FROM (SELECT DISTINCT image_id FROM tl) CROSS JOIN range(256) r)"
+
+
+@query(f"""WITH {_TILES}, {_FULL} SELECT image_id, y, x, """ + ", ".join(f"coalesce(CASE WHEN a = 0 THEN 0 ELSE {c} END, 0) AS {c}" for c in "rgba") + " FROM cells LEFT JOIN tl USING (image_id, y, x)")
+def lossless_roundtrip(spark, sf_dir):
+    """Images encoded to lossless files and decoded again, as pixels."""
+    from ..codec import columns as C
+
+    images = C.images_of(tiles(spark, sf_dir), "image_id", 16, 16)
+    return C.pixel_rows(C.decoded(C.encoded(images, "image_id"), "image_id"), "image_id")
+
+
+@query(f"""WITH {_TILES}, {_FULL} SELECT image_id, y, x, coalesce(a, 0) AS a FROM cells LEFT JOIN tl USING (image_id, y, x)""")
+def alpha_roundtrip(spark, sf_dir):
+    """Alpha planes encoded, with the filter that suits them, and decoded again."""
+    from ..codec import columns as C
+
+    byte = tiles(spark, sf_dir).withColumns({c: F.col("a") for c in "rgb"})
+    images = C.images_of(byte, "image_id", 16, 16)
+    plane = images.select("image_id", "width", "height", F.expr("unhex(array_join(transform(sequence(0, width * height - 1), k -> hex(substring(data, k * 4 + 1, 1))), ''))").alias("data"))
+    back = C.alpha_decoded(C.alpha_encoded(plane, "image_id").join(plane.select("image_id", "width", "height"), "image_id"), "image_id").select("image_id", F.hex("data").alias("h"))
+    cells = back.select("image_id", "h", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("k"))
+    return cells.select("image_id", F.floor(F.col("k") / 16).alias("y"), (F.col("k") % 16).cast("long").alias("x"), F.conv(F.substring(F.col("h"), F.col("k") * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("a"))
+
+
+@query(f"""WITH {_TILES} SELECT image_id, 16 AS width, 16 AS height, TRUE AS has_alpha, 'lossless' AS format, 1 AS frame_count FROM tl GROUP BY image_id""")
+def probe_encoded(spark, sf_dir):
+    from ..codec import columns as C
+    from ..sources.tables import features
+
+    images = C.images_of(tiles(spark, sf_dir), "image_id", 16, 16)
+    return features(C.encoded(images, "image_id"), "image_id").select("image_id", "width", "height", "has_alpha", "format", "frame_count")
+
+
+@query(f"""WITH {_TILES}, n AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS frame_idx FROM (SELECT DISTINCT image_id FROM tl))
+SELECT CAST(frame_idx AS INT) AS frame_idx, CAST(2 * frame_idx AS INT) AS x, 0 AS y, 16 AS w, 16 AS h, 10 * frame_idx AS duration_ms, CAST(frame_idx % 2 AS INT) AS dispose, TRUE AS lossless FROM n""")
+def animation_roundtrip(spark, sf_dir):
+    """All images as frames of one animation file, muxed and read back."""
+    from ..codec import columns as C
+    from ..operators.mux import animated
+    from ..sources.tables import frames as frames_of
+
+    images = C.encoded(C.images_of(tiles(spark, sf_dir), "image_id", 16, 16), "image_id")
+    k = F.col("image_id")
+    frames_ = images.select(F.lit(1).alias("anim_id"), k.alias("frame_idx"), (2 * k).alias("x"), F.lit(0).alias("y"), F.lit(16).alias("w"), F.lit(16).alias("h"), (10 * k).alias("duration_ms"), (k % 2).alias("dispose"), F.lit(0).alias("no_blend"), B.tail(F.col("content"), F.lit(20)).alias("data"))
+    return frames_of(animated(frames_), "anim_id").select("frame_idx", "x", "y", "w", "h", "duration_ms", "dispose", "lossless")
