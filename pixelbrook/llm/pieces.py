@@ -3,11 +3,12 @@
 The lattice of a text has an edge for each piece of a SentencePiece model that occurs in it (a character without piece is an
 edge of its UTF-8 bytes' pieces). A piece's weight is Zipf's: p ~ 1 / (1 + r) for the r-th piece by score, raised to
 ``theta``. No piece continues a word over a space, so the lattice falls into units (spaces and the word after them): edges and
-the backward sums of the units that occur in a block of documents are computed once each, all units side by side.
+the backward sums of units are computed once each, all new units of a block of documents side by side.
 
 Search. A text's whole lattice is the first region of the queue; its perturbed bound is a Gumbel draw. The best region is
 taken, its best path drawn downwards edge by edge, and at each node the edges not taken stay as a new region, whose bound
-is a Gumbel draw of their total mass, truncated at the parent's. So each taken path is the next best of all paths'
+is a Gumbel draw of their total mass, truncated at the parent's (nodes far below a branching share one region until it is
+the best, which draws from the same distribution). So each taken path is the next best of all paths'
 perturbed scores, paths are distinct, and no path is ever weighed twice. The bound left in the queue after k paths is the
 threshold from which each path's inclusion score follows: log(1 - exp(-exp(score - threshold))), 0 if nothing is left.
 
@@ -23,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -41,6 +41,8 @@ SAMPLES, THETA, SEED = 3, 1.0, 42
 SPACE, ESCAPED = "▁", "\ud800"  # no UTF-8 text has the latter, which stands for a literal U+2581
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BLOCK = 1 << 19
+#: Places that a worker's lattice grows to, and nodes from a branching on whose regions are kept apart at once.
+PLACES, HEAD = 700_000, 32
 _SLOTS = 20
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _vocabularies: dict[tuple[str, float], Vocabulary] = {}
@@ -70,6 +72,7 @@ class Vocabulary:
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {int(p[1:-1], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)], np.int64)
         self.spelling = [byte_of.get(i, p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
         text = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if any(SPACE in self.pieces[i].lstrip(SPACE) for i in text):
@@ -139,24 +142,55 @@ def units(text: str) -> list[str]:
 
 
 class Lattice:
-    """The edges of some units. Places (characters) are numbered by how many characters are left to the unit's end, so that
-    the backward sums go over slices; ``go[e]`` is the place after edge e, or the number of places at a unit's end."""
+    """The edges of the units met so far. A unit's places (characters) are numbered by how many characters are left to its end,
+    together with those of all units added with it, so that the backward sums go over slices. Edge e leads from place
+    ``at[e]`` to ``go[e]`` (END at a unit's end) with log chance ``log[e]``; place i has the edges from first[i] to first[i + 1].
+    It grows to ``PLACES`` places and is then begun anew."""
 
-    def __init__(self, found: list[str], vocab: Vocabulary):
+    END = np.int64(1) << 40
+
+    def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
+        self.clear(PLACES)
+
+    def clear(self, places: int) -> None:
+        self.starts: dict[str, int] = {}
+        self.n_places = self.n_edges = 0
+        self.room = places, 4 * places
+        self.chance, self.log, self.others = (np.empty(self.room[1]) for _ in range(3))
+        self.at, self.go, self.piece = np.empty(self.room[1], np.int64), np.empty(self.room[1], np.int64), np.empty(self.room[1], np.int32)
+        self.offset, self.best, self.first = np.empty(places, np.int64), np.empty(places, np.int64), np.zeros(places + 1, np.int64)
+        self.codes, self.best_chance = np.empty(places, np.uint32), np.empty(places)
+
+    def begin(self, units_of: list[list[str]]) -> np.ndarray:
+        """The first place of each unit of these texts; new units are added."""
+        starts = self.starts
+        found = [u for u in dict.fromkeys(chain.from_iterable(units_of)) if u not in starts]
+        # a place has at most as many edges as the longest piece has characters
+        need = sum(map(len, found))
+        if found and (self.n_places + need > self.room[0] or self.n_edges + min(16, self.vocab.longest) * need > self.room[1]):
+            found = list(dict.fromkeys(chain.from_iterable(units_of)))
+            need = sum(map(len, found))
+            self.clear(max(PLACES, -(-need * self.vocab.longest // 4)))
+            starts = self.starts
+        if found:
+            starts.update(zip(found, self._add(found).tolist()))
+        return np.fromiter(map(starts.__getitem__, chain.from_iterable(units_of)), np.int64, sum(map(len, units_of)))
+
+    def _add(self, found: list[str]) -> np.ndarray:
+        vocab, p0, e0 = self.vocab, self.n_places, self.n_edges
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         start = np.cumsum(sizes) - sizes
         codes = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        n, none = len(codes), len(vocab.pieces)
+        n, none, wide = len(codes), len(vocab.pieces), vocab.longest
         left = np.repeat(start + sizes, sizes) - np.arange(n)
-        most = int(left.max()) if n else 0
-        order = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
         place = np.empty(n + 1, np.int64)
         place[order] = np.arange(n)
         place[n] = n
-        piece = np.full(n * vocab.longest, none, np.uint16 if none < 1 << 16 else np.int32)
+        piece = np.full(n * wide, none, np.uint16 if none < 1 << 16 else np.int32)
         h, here = np.zeros(n, np.uint64), np.arange(n)
-        for k in range(vocab.longest):
+        for k in range(wide):
             if k:
                 ok = left[here] > k
                 here, h = here[ok], h[ok]
@@ -164,63 +198,69 @@ class Lattice:
                 break
             h = vocab.grown(h, codes[here + k])
             ids, known = vocab.find(h)
-            piece[place[here] * vocab.longest + k] = ids
+            piece[place[here] * wide + k] = ids
             here, h = here[known], h[known]
-        self.start = place[start]
-        self.offset = (np.arange(n) - np.repeat(start, sizes))[order]
-        self.codes = codes[order]
-        spelled = np.flatnonzero(piece[:: vocab.longest] == none)  # characters without piece
+        codes = codes[order]
+        spelled = np.flatnonzero(piece[::wide] == none)  # characters without piece
         some = piece != none
-        some[spelled * vocab.longest] = True
+        some[spelled * wide] = True
         some = np.flatnonzero(some)
-        self.piece = piece[some].astype(np.int64)
-        at = some // vocab.longest if vocab.longest & (vocab.longest - 1) else some >> (vocab.longest.bit_length() - 1)
-        k = some - at * vocab.longest
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=n))))
+        at = some // wide if wide & (wide - 1) else some >> (wide.bit_length() - 1)
+        k = some - at * wide
+        m = len(at)
         begun = order[at]
-        self.go = place[np.minimum(begun + k + 1, n)]
-        self.go[k + 1 == left[begun]] = n
-        self.at = at
-        weight = vocab.weight[self.piece]
+        go = place[np.minimum(begun + k + 1, n)]
+        ends = k + 1 == left[begun]
+        go[ends] = n
+        first = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=n))))
+        ids = piece[some].astype(np.int64)
+        weight = vocab.weight[ids]
         if len(spelled):
-            c = np.where(self.codes[spelled] == ord(ESCAPED), ord(SPACE), self.codes[spelled])
-            weight[self.first[spelled]] = vocab.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+            c = np.where(codes[spelled] == ord(ESCAPED), ord(SPACE), codes[spelled])
+            weight[first[spelled]] = vocab.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+            ascii_ = spelled[c < 0x80]
+            ids[first[ascii_]] = vocab.byte_ids[codes[ascii_].astype(np.int64)]
         back = np.zeros(n + 1)
-        self.chance = weight  # made in place, from the units' ends on
-        levels = np.concatenate(([0], np.cumsum(np.bincount(left)[1:]))) if n else np.zeros(1, np.int64)
+        levels = np.concatenate(([0], np.cumsum(np.bincount(left)[1:])))
         for a, b in zip(levels[:-1].tolist(), levels[1:].tolist()):
             if a == b:
                 continue
-            s, t = int(self.first[a]), int(self.first[b])
-            cuts, owner = self.first[a:b] - s, at[s:t] - a
-            w = weight[s:t] + back[self.go[s:t]]
+            s, t = int(first[a]), int(first[b])
+            cuts, owner = first[a:b] - s, at[s:t] - a
+            w = weight[s:t] + back[go[s:t]]
             most = np.maximum.reduceat(w, cuts)
-            w = np.exp(w - most[owner])
-            total = np.add.reduceat(w, cuts)
-            back[a:b] = most + np.log(total)
-            weight[s:t] = w / total[owner]
-        if not n:
-            return
+            w -= most[owner]
+            total = np.log(np.add.reduceat(np.exp(w), cuts))
+            back[a:b] = most + total
+            weight[s:t] = w - total[owner]
         # each place's likeliest edge is tried first; the others, by cumulated chance, are looked up in one sorted array
-        self.best_chance = np.maximum.reduceat(self.chance, self.first[:-1])
-        top = np.flatnonzero(self.chance == self.best_chance[at])
-        self.best = np.empty(n, np.int64)
-        self.best[at[top[::-1]]] = top[::-1]
-        others = self.chance.copy()
-        others[self.best] = 0.0
+        chance = np.exp(weight)
+        best_chance = np.maximum.reduceat(chance, first[:-1])
+        top = np.flatnonzero(chance == best_chance[at])[::-1]
+        best = np.empty(n, np.int64)
+        best[at[top]] = top
+        others = chance.copy()
+        others[best] = 0.0
         others = np.cumsum(others)
-        base = np.concatenate(([0.0], others))[self.first]
+        base = np.concatenate(([0.0], others))[first]
         span = np.maximum(base[1:] - base[:-1], 1e-300)
-        self.others = np.minimum((others - base[at]) / span[at], 1.0) + at
-        last = self.first[1:] - 1
-        self.others[last] = np.arange(1, n + 1)
+        others = np.minimum((others - base[at]) / span[at], 1.0) + (at + p0)
+        others[first[1:] - 1] = np.arange(p0 + 1, p0 + n + 1)
+        go += p0
+        go[ends] = self.END
+        edges, places = slice(e0, e0 + m), slice(p0, p0 + n)
+        self.chance[edges], self.log[edges], self.others[edges], self.at[edges], self.go[edges], self.piece[edges] = chance, weight, others, at + p0, go, ids
+        self.offset[places], self.codes[places], self.best[places], self.best_chance[places] = (np.arange(n) - np.repeat(start, sizes))[order], codes, best + e0, best_chance
+        self.first[p0 : p0 + n + 1] = first + e0
+        self.n_places, self.n_edges = p0 + n, e0 + m
+        return place[start] + p0
 
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         edge, most = self.best[at], self.best_chance[at]
         miss = np.flatnonzero(u >= most)
         if len(miss):
             a, m = at[miss], most[miss]
-            edge[miss] = np.searchsorted(self.others, a + np.clip((u[miss] - m) / (1.0 - m), 1e-9, 1.0))
+            edge[miss] = np.searchsorted(self.others[: self.n_edges], a + np.clip((u[miss] - m) / np.maximum(1.0 - m, 1e-300), 1e-9, 1.0))
         return edge
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
@@ -232,107 +272,131 @@ class Lattice:
         parts, done = [], 0
         for i in odd.tolist():
             c = chr(int(self.codes[self.at[edges[i]]]))
-            parts += [out[done:i], [self.vocab.bytes[b] for b in (SPACE if c == ESCAPED else c).encode()]]
+            parts += [out[done:i], np.array([self.vocab.bytes[b] for b in (SPACE if c == ESCAPED else c).encode()], np.int32)]
             done = i + 1
-        return np.concatenate([*parts, out[done:]]).astype(np.int64)
+        return np.concatenate([*parts, out[done:]])
 
 
 class Path:
-    """One drawn path for each text of a block: its edges in order, and what hangs off their nodes as regions."""
+    """One drawn path for each text of a block: its edges in order, and what hangs off their nodes as regions. The regions far
+    down a path have little mass; they stay one region (``tail``) until it is the best of all."""
 
-    def __init__(self, word, edge, chance, bound, barred, doc, n_docs):
-        self.word, self.edge, self.chance, self.bound, self.barred, self.doc = word, edge, chance, bound, barred, doc
+    def __init__(self, word, edge, bound, barred, doc, tail, tail_from, n_docs):
+        self.word, self.edge, self.bound, self.barred, self.doc, self.tail, self.tail_from = word, edge, bound, barred, doc, tail, tail_from
         counts = np.bincount(doc, minlength=n_docs)
         self.end = np.cumsum(counts)
         self.begin = self.end - counts
 
     def best(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the highest bound and its node."""
+        """For each text the highest bound and its node, -1 for the tail."""
         value = np.full(len(self.begin), -math.inf)
         node = np.zeros(len(self.begin), np.int64)
         some = np.flatnonzero(self.end > self.begin)
         if len(some):
             value[some] = np.maximum.reduceat(self.bound, self.begin[some])
-            hit = np.flatnonzero(self.bound == value[self.doc])
-            node[self.doc[hit[::-1]]] = hit[::-1]  # the first of equals
-        return value, node
+            hit = np.flatnonzero(self.bound == value[self.doc])[::-1]
+            node[self.doc[hit]] = hit  # the first of equals
+        tail = self.tail > value
+        return np.where(tail, self.tail, value), np.where(tail, -1, node)
 
 
-def sampled(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, k: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float]]]:
+def sampled(texts: list[str | None], keys: np.ndarray, lattice: Lattice, k: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples in order: (ids, score, inclusion score)."""
-    known: defaultdict[str, int] = defaultdict()
-    known.default_factory = known.__len__
     split = [units(t) if t else [] for t in texts]
+    word_start = lattice.begin(split)
     sizes = np.array([len(s) for s in split], np.int64)
-    word_unit = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
     n_docs, out = len(texts), [[] for _ in texts]
-    lattice = Lattice(list(known), vocab)
     first_word = np.cumsum(sizes) - sizes
     word_doc = np.repeat(np.arange(n_docs), sizes)
-    word_place = np.arange(len(word_unit)) - first_word[word_doc]
-    word_start = lattice.start[word_unit]
+    word_place = np.arange(len(word_start)) - first_word[word_doc]
     row = keys.astype(np.uint64) ^ mixed(np.full(1, seed, np.uint64))
+    longest = int(lattice.offset[: lattice.n_places].max()) + 1 if lattice.n_places else 1
+
+    def drawn(word: np.ndarray, at: np.ndarray, stream: int) -> np.ndarray:
+        return uniform(row[word_doc[word]] + np.uint64(stream), (word_place[word] << 24) ^ lattice.offset[at])
 
     def downwards(word: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Draw from each place to its unit's end: (word, edge)."""
         found = [(np.zeros(0, np.int64),) * 2]
         while len(word):
-            edge = lattice.draw(at, uniform(row[word_doc[word]] + np.uint64(2 * t), (word_place[word] << 24) ^ lattice.offset[at]))
+            edge = lattice.draw(at, drawn(word, at, 2 * t))
             found.append((word, edge))
             at = lattice.go[edge]
-            rest = np.flatnonzero(at < n_places)
+            rest = np.flatnonzero(at < lattice.END)
             word, at = word[rest], at[rest]
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def bounds(word, edge, mass, limit, t) -> np.ndarray:
-        """Gumbel draws of regions of this log mass, truncated at the parent's."""
-        out = np.full(len(word), -math.inf)
-        some = np.flatnonzero(mass > -math.inf)
-        w, m = word[some], mass[some]
-        u = uniform(row[word_doc[w]] + np.uint64(2 * t + 1), (word_place[w] << 24) ^ lattice.offset[lattice.at[edge[some]]])
-        with np.errstate(over="ignore"):
-            out[some] = m - np.log(np.exp(m - limit[some]) - np.log(u))
-        return out
-
     def in_order(word, edge, *more):
         order = np.argsort(word * longest + lattice.offset[lattice.at[edge]])
         return tuple(x[order] for x in (word, edge, *more))
 
-    def prefixes(doc: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        """Log mass of a path above each of its nodes."""
-        log = np.log(chance)
-        total = np.cumsum(log) - log
-        if not len(doc):
-            return total
-        new = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        return total - np.repeat(total[new], np.diff(np.concatenate((new, [len(doc)]))))
+    def truncated(mass: np.ndarray, limit: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Gumbel draws of regions of this log mass, truncated at the parent's."""
+        with np.errstate(over="ignore", divide="ignore"):
+            return mass - np.log(np.exp(mass - limit) - np.log(u))
 
     def row_chances(at: np.ndarray) -> np.ndarray:
         """Chances of the edges at each place, one row for each."""
         begin, n = lattice.first[at], lattice.first[at + 1] - lattice.first[at]
-        k = np.arange(vocab.longest)
-        return np.where(k < n[:, None], lattice.chance[np.minimum(begin[:, None] + k, len(lattice.chance) - 1)], 0.0)
+        k = np.arange(lattice.vocab.longest)
+        return np.where(k < n[:, None], lattice.chance[np.minimum(begin[:, None] + k, lattice.n_edges - 1)], 0.0)
 
     def shut(chances: np.ndarray, barred: np.ndarray) -> np.ndarray:
         return np.where((barred[:, None] >> np.arange(chances.shape[1])) & 1, 0.0, chances)
 
     def rest_mass(edge: np.ndarray, barred: np.ndarray) -> np.ndarray:
         """Log chance of the edges of a node that are neither taken nor barred."""
+        at = lattice.at[edge]
         left = 1.0 - lattice.chance[edge]
-        left[lattice.first[lattice.at[edge] + 1] - lattice.first[lattice.at[edge]] == 1] = 0.0
+        left[lattice.first[at + 1] - lattice.first[at] == 1] = 0.0
         odd = np.flatnonzero(barred)
         if len(odd):
-            at = lattice.at[edge[odd]]
-            left[odd] = shut(row_chances(at), barred[odd] | (np.int64(1) << (edge[odd] - lattice.first[at]))).sum(1)
+            left[odd] = shut(row_chances(at[odd]), barred[odd] | (np.int64(1) << (edge[odd] - lattice.first[at[odd]]))).sum(1)
         return np.where(left > 1e-13, np.log(np.maximum(left, 1e-300)), -math.inf)
 
-    n_places = len(lattice.codes)
-    longest = int(lattice.offset.max()) + 1 if n_places else 0
-    every = np.arange(len(word_unit))
+    def bounds(word, edge, barred, mass, limit, t) -> np.ndarray:
+        mass = mass + rest_mass(edge, barred)
+        out = np.full(len(word), -math.inf)
+        some = np.flatnonzero(mass > -math.inf)
+        out[some] = truncated(mass[some], limit[some], drawn(word[some], lattice.at[edge[some]], 2 * t + 1))
+        return out
+
+    def path(word, edge, barred, begin, limit, t) -> Path:
+        """``begin``: of each text's nodes the first that has regions (that of the last branching)."""
+        doc = word_doc[word]
+        log = lattice.log[edge]
+        total = np.concatenate(([0.0], np.cumsum(log)))
+        end = np.cumsum(np.bincount(doc, minlength=n_docs))
+        top = np.concatenate(([0], end[:-1]))
+        cut = np.minimum(begin + HEAD, end)
+        head = _ranges(begin, cut)
+        bound = np.full(len(word), -math.inf)
+        d = doc[head]
+        bound[head] = bounds(word[head], edge[head], barred[head], total[head] - total[top[d]], limit[d], t)
+        rest = np.minimum(total[end] - total[cut], 0.0)
+        with np.errstate(divide="ignore"):
+            mass = np.where(cut < end, total[cut] - total[top] + np.log(-np.expm1(rest)), -math.inf)
+        tail = np.full(n_docs, -math.inf)
+        some = np.flatnonzero(mass > -math.inf)
+        tail[some] = truncated(mass[some], limit[some], uniform(row[some] + np.uint64(2 * t + 1), np.full(len(some), 1 << 62)))
+        return Path(word, edge, bound, barred, doc, tail, cut, n_docs)
+
+    def unfolded(p: Path, d: int, t: int) -> None:
+        """Regions of a tail: one of them, by mass, has the tail's bound, the others are truncated at it."""
+        nodes = np.arange(p.tail_from[d], p.end[d])
+        above = np.concatenate(([0.0], np.cumsum(lattice.log[p.edge[p.begin[d] : p.end[d]]])))[nodes - p.begin[d]]
+        mass = above + rest_mass(p.edge[nodes], p.barred[nodes])
+        cdf = np.exp(mass - mass.max()).cumsum()
+        u = uniform(row[d : d + 1] + np.uint64(2 * t + 1), np.full(1, 1 << 61))[0]
+        limit = np.full(len(nodes), p.tail[d])
+        p.bound[nodes] = bounds(p.word[nodes], p.edge[nodes], p.barred[nodes], above, limit, t)
+        p.bound[nodes[min(int(np.searchsorted(cdf, u * cdf[-1])), len(nodes) - 1)]] = p.tail[d]
+        p.tail[d] = -math.inf
+
     limit = -np.log(-np.log(uniform(row, np.full(n_docs, 1 << 40))))
-    word, edge = in_order(*downwards(every, word_start, 0))
-    doc, chance, barred = word_doc[word], lattice.chance[edge] if n_places else np.zeros(0), np.zeros(len(word), np.int64)
-    paths = [Path(word, edge, chance, bounds(word, edge, prefixes(doc, chance) + rest_mass(edge, barred), limit[doc], 0) if n_places else np.zeros(0), barred, doc, n_docs)]
+    word, edge = in_order(*downwards(np.arange(len(word_start)), word_start, 0))
+    ends = np.cumsum(np.bincount(word_doc[word], minlength=n_docs))
+    paths = [path(word, edge, np.zeros(len(word), np.int64), np.concatenate(([0], ends[:-1])), limit, 0)]
     taken = [np.ones(n_docs, bool)]
     for t in range(1, k + 1):
         tops = [p.best() for p in paths]
@@ -342,37 +406,42 @@ def sampled(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, k: int
         going = np.isfinite(limit)
         if t == k or not going.any():
             break
+        for p_no, p in enumerate(paths):
+            docs = np.flatnonzero(going & (which == p_no))
+            tails = docs[tops[p_no][1][docs] < 0]
+            for d in tails.tolist():
+                unfolded(p, d, p_no)
+            if len(tails):
+                tops[p_no] = p.best()
         taken.append(going)
         parts: list[tuple[np.ndarray, ...]] = []
+        begin = np.zeros(n_docs, np.int64)
         for p_no, p in enumerate(paths):
             docs = np.flatnonzero(going & (which == p_no))
             if not len(docs):
                 continue
             node = tops[p_no][1][docs]
             above = _ranges(p.begin[docs], node)
-            parts.append((p.word[above], p.edge[above], p.barred[above], p.chance[above], np.zeros(len(above), bool)))
+            parts.append((p.word[above], p.edge[above], p.barred[above]))
+            begin[docs] = node - p.begin[docs]
             # the taken region: another edge at the node, by the chances of those that aren't barred
             w, at = p.word[node], lattice.at[p.edge[node]]
             barred = p.barred[node] | (np.int64(1) << (p.edge[node] - lattice.first[at]))
             cdf = shut(row_chances(at), barred).cumsum(1)
-            u = uniform(row[docs] + np.uint64(2 * t), (word_place[w] << 24) ^ lattice.offset[at]) * cdf[:, -1]
-            edge = lattice.first[at] + (cdf < u[:, None]).sum(1)
-            parts.append((w, edge, barred, lattice.chance[edge], np.ones(len(docs), bool)))
+            edge = lattice.first[at] + (cdf < (drawn(w, at, 2 * t) * cdf[:, -1])[:, None]).sum(1)
+            parts.append((w, edge, barred))
             p.bound[node] = -math.inf
             after = lattice.go[edge]
-            rest = after < n_places
+            rest = after < lattice.END
             later = _ranges(w + 1, first_word[docs] + sizes[docs])
             below = downwards(np.concatenate((w[rest], later)), np.concatenate((after[rest], word_start[later])), t)
-            parts.append((*below, np.zeros(len(below[0]), np.int64), lattice.chance[below[1]], np.ones(len(below[0]), bool)))
-        word, edge, barred, chance, fresh = in_order(*(np.concatenate(x) for x in zip(*parts)))
-        doc = word_doc[word]
-        mass = np.full(len(word), -math.inf)
-        new = np.flatnonzero(fresh)
-        mass[new] = prefixes(doc, chance)[new] + rest_mass(edge[new], barred[new])
-        paths.append(Path(word, edge, chance, bounds(word, edge, mass, limit[doc], t), barred, doc, n_docs))
+            parts.append((*below, np.zeros(len(below[0]), np.int64)))
+        word, edge, barred = in_order(*(np.concatenate(x) for x in zip(*parts)))
+        ends = np.cumsum(np.bincount(word_doc[word], minlength=n_docs))
+        paths.append(path(word, edge, barred, np.concatenate(([0], ends[:-1])) + begin, limit, t))
     threshold = np.stack([p.best()[0] for p in paths]).max(0)
     for p, has in zip(paths, taken):
-        score = np.bincount(p.doc, np.log(p.chance), minlength=n_docs)
+        score = np.bincount(p.doc, lattice.log[p.edge], minlength=n_docs)
         for d in np.flatnonzero(has).tolist():
             a, b = p.begin[d], p.end[d]
             gap = score[d] - threshold[d]
@@ -398,11 +467,12 @@ def samples(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, theta)
+        lattice = Lattice(vocab)
         for batch in batches:
             for part in blocks(batch, most=_BLOCK):
                 doc_ids, texts = column(part, "doc_id").to_pylist(), column(part, "text").to_pylist()
                 rows = []
-                for i, t, found in zip(doc_ids, texts, sampled(texts, row_keys(doc_ids, texts), vocab, k, seed)):
+                for i, t, found in zip(doc_ids, texts, sampled(texts, row_keys(doc_ids, texts), lattice, k, seed)):
                     for s, (x, score, inclusion) in enumerate(found):
                         rows.append((i, s, len(x), score, inclusion, hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), vocab.decode(x.tolist()) == (t or "").encode(), x if ids else None))
                 cols = list(zip(*rows)) or [()] * 8
