@@ -12,8 +12,9 @@ sorting on the bucket pointers of later offsets (8, 16, 32, 64, then 72: the dep
 that the one before has updated. Windows left together in a bucket are equal; one that is alone in a strip that occurs
 once is unique. What repeats goes back to all occurrences of the strip, and a document's ranges are merged.
 
-Hot anchors. An anchor with over ``HOT`` different strips (a passage in very many contexts) isn't gathered: its windows
-go one by one under their 128-bit hash, are summed before the shuffle, and those with one occurrence are unique.
+Hot anchors. An anchor with over ``HOT`` different strips (a passage in very many contexts) isn't gathered. Its strips are cut
+into pieces of up to 16 windows, dealt out by the 185 bytes that all windows of a piece share, and summed before the
+shuffle; only different pieces whose shared bytes occur again are looked at window by window, by 128-bit hash.
 
 Defined results: null is an empty text; texts under 200 bytes keep everything; repeated rows repeat each other's strings;
 a null doc_id keeps its row; other columns are ignored.
@@ -27,14 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import blocks, column, joined_bytes, utf8
+from .components import written
 
 LENGTH, GRAM = 200, 32
 #: Most different strips of an anchor that are sorted together.
 HOT = 2000
+#: Windows of a piece of a hot strip.
+SCORE = 16
 #: Bytes of text in a suffix array (more only if one anchor's strips have more).
 TEXT = 1 << 20
 _BLOCK = 1 << 17
@@ -145,19 +150,29 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist())), np.uint64, len(first))
             rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(body.view(np.int64)), column(part, "doc_id").take(rows), column(part, "tag").take(rows), pa.array((first - ends[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["gram", "body", "doc_id", "tag", "first", "n"],
+                [pa.array(gram.view(np.int64)), pa.array(body.view(np.int64)), column(part, "doc_id").take(rows), column(part, "tag").take(rows), pa.array((first - ends[doc]) << 16 | n)],
+                ["gram", "body", "doc_id", "tag", "place"],
             )
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are packed before they are shuffled; short texts of one language pack badly in Spark's own blocks."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         for part in blocks(batch):
+            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "tag"), pa.array([pack(t or b"") for t in utf8(part)], pa.binary())], ["doc_id", "tag", "packed"])
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for part in blocks(batch, "packed", 1 << 20):
             lists = column(part, "wanted")
             doc = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
             rows = lists.flatten()
-            texts = utf8(part)
-            first, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("first", "n"))
+            texts = [unpack(t) for t in utf8(part, "packed")]
+            place = rows.field("place").to_numpy()
+            first, n = place >> 16, place & 0xFFFF
             data = [texts[d][a:b] for d, a, b in zip(doc.tolist(), first.tolist(), (first + n + LENGTH - 1).tolist())]
             yield pa.RecordBatch.from_arrays([rows.field("gram"), rows.field("body"), rows.field("weight"), pa.array(data, pa.binary())], ["gram", "body", "weight", "data"])
 
@@ -171,6 +186,8 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held_bytes = 0
 
     def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        both = np.stack([rows[c].to_numpy() for c in ("gram", "body")])  # repeated documents send their strips again
+        rows = rows.take(pa.array(np.flatnonzero(np.concatenate(([True], (both[:, 1:] != both[:, :-1]).any(0))))))
         strings = rows["data"].to_pylist()
         owner, at = repeated_windows(strings, rows["weight"].to_numpy().astype(np.float64))
         order = np.lexsort((at, owner))
@@ -214,17 +231,61 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solved_by_text(pa.Table.from_batches(held))
 
 
+_SCORES = "k1 long, k2 long, p1 long, p2 long, gram long, body long, weight long, low int, data binary"
+
+
+def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hot strips in pieces of up to ``SCORE`` windows at equal distances from the anchor, under the hash of the bytes that all
+    windows of such a piece have in common."""
+    digest = xxhash.xxh3_128_digest
+    for batch in batches:
+        cores, pieces, rows, lows, data = [], [], [], [], []
+        grams = column(batch, "gram").to_numpy().view(np.uint64)
+        for i, (strip, gram) in enumerate(zip(column(batch, "data").to_pylist(), grams)):
+            n = len(strip) - LENGTH + 1
+            anchor = int(np.flatnonzero(gram_hashes(np.frombuffer(strip, np.uint8)) == gram)[0])
+            for c in range((anchor - n + 1) // SCORE, anchor // SCORE + 1):
+                high = anchor - SCORE * c
+                low, high_ = max(0, high - SCORE + 1), min(n - 1, high)
+                if low > high_:
+                    continue
+                cores.append(digest(strip[high : high - SCORE + 1 + LENGTH] + c.to_bytes(2, "little")))
+                data.append(strip[low : high_ + LENGTH])
+                pieces.append(digest(data[-1]))
+                rows.append(i)
+                lows.append(low)
+        take = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([*_halves(cores), *_halves(pieces), *(column(batch, c).take(take) for c in ("gram", "body", "weight")), pa.array(lows, pa.int32()), pa.array(data, pa.binary())], ["k1", "k2", "p1", "p2", "gram", "body", "weight", "low", "data"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single windows of hot strips, by the halves of their 128-bit hash."""
+    """The single windows of pieces, by the halves of their 128-bit hash."""
     digest = xxhash.xxh3_128_digest
     for batch in batches:
         data = column(batch, "data").to_pylist()
         n = np.array([len(x) - LENGTH + 1 for x in data], np.int64)
-        h = np.frombuffer(b"".join(digest(x[i : i + LENGTH]) for x, k in zip(data, n.tolist()) for i in range(k)), np.int64).reshape(-1, 2)
         rows = np.repeat(np.arange(len(data)), n)
         at = (np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
         take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), column(batch, "gram").take(take), column(batch, "body").take(take), column(batch, "weight").take(take), pa.array(at)], ["h1", "h2", "gram", "body", "weight", "at"])
+        yield pa.RecordBatch.from_arrays([*_halves([digest(x[i : i + LENGTH]) for x, k in zip(data, n.tolist()) for i in range(k)]), *(column(batch, c).take(take) for c in ("p1", "p2", "weight")), pa.array(at)], ["h1", "h2", "p1", "p2", "weight", "at"])
+
+
+def _crowded(strips_of: DataFrame) -> DataFrame:
+    """``(gram, body, weight, data)`` of hot strips -> ``(gram, body, runs)``."""
+    pieces = strips_of.dropDuplicates(["gram", "body"]).mapInArrow(_scores, _SCORES)
+    shared = pieces.groupBy("k1", "k2").agg(F.sum("weight").alias("w")).where("w > 1").select("k1", "k2")
+    pieces = pieces.join(shared, ["k1", "k2"], "left_semi")
+    different = pieces.groupBy("p1", "p2").agg(F.sum("weight").alias("weight"), F.first("data").alias("data"))
+    windows = different.mapInArrow(_windows, "h1 long, h2 long, p1 long, p2 long, weight long, at int")
+    twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2")
+    found = windows.join(twice, ["h1", "h2"], "left_semi").groupBy("p1", "p2").agg(F.collect_list("at").alias("ats"))
+    runs = F.transform("ats", lambda a: F.struct((F.col("low") + a).alias("a"), (F.col("low") + a + 1).alias("b")))
+    return pieces.join(found, ["p1", "p2"]).select("gram", "body", runs.alias("runs"))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -250,39 +311,42 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
 
 
-def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``docs(doc_id, tag, text)`` -> ``(of_id, of_tag, ranges)``: for each document with repeats the byte ranges, unmerged."""
-    found = docs.mapInArrow(_anchors, "gram long, body long, doc_id long, tag int, first int, n int")
-    kinds = found.groupBy("gram", "body").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "tag", "first", "n")).alias("one"))
-    again = kinds.groupBy("gram").agg(F.sum("weight").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1).select(F.col("gram").alias("g"), "kinds")
-    some = kinds.join(again, F.col("gram") == F.col("g")).select("gram", "body", "weight", "one", "kinds")
+def repeats(docs: DataFrame, packed: DataFrame, hot: int = HOT) -> DataFrame:
+    """``docs(doc_id, tag, text)`` and the same with packed texts -> ``(of_id, of_tag, ranges)``: for each document with
+    repeats the byte ranges, unmerged."""
+    found = docs.mapInArrow(_anchors, "gram long, body long, doc_id long, tag int, place long")
+    # written, so that the join below has plain exchanges, of which Spark can split skewed ones
+    again = written(found.groupBy("gram").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("gram"))
+    some = written(found.join(again, "gram", "left_semi"))  # mostly a fraction of the strips
+    kinds = some.groupBy("gram", "body").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "tag", "place")).alias("one"))
+    many = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("gram")
 
     def bytes_of(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy(F.col("one.doc_id").alias("one_id"), F.col("one.tag").alias("one_tag")).agg(F.collect_list(F.struct("gram", "body", "weight", F.col("one.first").alias("first"), F.col("one.n").alias("n"))).alias("wanted"))
-        texts = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("one_id")) & (docs.tag == F.col("one_tag")))
-        # of repeated rows one is enough
-        return texts.dropDuplicates(["one_id", "one_tag"]).select("text", "wanted").mapInArrow(_fetch, "gram long, body long, weight long, data binary")
+        wanted = rows.groupBy(F.col("one.doc_id").alias("one_id"), F.col("one.tag").alias("one_tag")).agg(F.collect_list(F.struct("gram", "body", "weight", F.col("one.place").alias("place"))).alias("wanted"))
+        texts = packed.join(wanted, packed.doc_id.eqNullSafe(F.col("one_id")) & (packed.tag == F.col("one_tag")))
+        return texts.select("packed", "wanted").mapInArrow(_fetch, "gram long, body long, weight long, data binary")
 
     runs = "gram long, body long, runs array<struct<a:int,b:int>>"
-    plain = bytes_of(some.where(F.col("kinds") <= hot)).repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine, runs)
-    single = bytes_of(some.where(F.col("kinds") > hot)).mapInArrow(_windows, "h1 long, h2 long, gram long, body long, weight long, at int")
-    twice = single.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    crowded = single.join(twice, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("gram", "body", F.array(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("runs"))
+    plain = bytes_of(kinds.join(many, "gram", "left_anti")).repartition("gram").sortWithinPartitions("gram", "body").mapInArrow(_refine, runs)
+    crowded = _crowded(bytes_of(kinds.join(many, "gram", "left_semi")))
     solved = plain.unionByName(crowded).select(F.col("gram").alias("g"), F.col("body").alias("b"), "runs")
-    place = found.join(solved, (F.col("gram") == F.col("g")) & (F.col("body") == F.col("b")))
-    ranges = F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"] + LENGTH - 1).alias("b")))
+    first = F.shiftright("place", 16).cast("int")
+    ranges = F.transform("runs", lambda r: F.struct((first + r["a"]).alias("a"), (first + r["b"] + LENGTH - 1).alias("b")))
+    place = some.join(solved, (F.col("gram") == F.col("g")) & (F.col("body") == F.col("b")))
     return place.select(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag"), ranges.alias("ranges")).groupBy("of_id", "of_tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _with_ranges(docs: DataFrame, hot: int) -> DataFrame:
     keyed = _keyed(docs)
-    found = repeats(keyed, hot)
-    return keyed.join(found, keyed.doc_id.eqNullSafe(found.of_id) & (keyed.tag == found.of_tag), "left").select("doc_id", "text", "ranges")
+    packed = keyed.mapInArrow(_pack, "doc_id long, tag int, packed binary")
+    found = repeats(keyed, packed, hot)
+    return packed.join(found, packed.doc_id.eqNullSafe(found.of_id) & (packed.tag == found.of_tag), "left").select("doc_id", "packed", "ranges")
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
-    for text, ranges in zip(utf8(batch), column(batch, "ranges").to_pylist()):
-        yield text or b"", merged([(r["a"], r["b"]) for r in ranges or ()])
+    unpack = zstandard.ZstdDecompressor().decompress
+    for text, ranges in zip(utf8(batch, "packed"), column(batch, "ranges").to_pylist()):
+        yield unpack(text), merged([(r["a"], r["b"]) for r in ranges or ()])
 
 
 def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -290,7 +354,7 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, "packed", 1 << 20):
                 both = list(_each(part))
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([cut(*x) for x in both], pa.binary()), pa.array([[{"a": a, "b": b} for a, b in r] for _, r in both], _RUNS)], ["doc_id", "kept", "removed"])
 
@@ -302,7 +366,7 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, "packed", 1 << 20):
                 rows = [(len(t), sum(b - a for a, b in r), len(r), hashlib.sha256(cut(t, r)).hexdigest()) for t, r in _each(part)]
                 cols = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
