@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import blocks, utf8
+from .components import written
 
 #: A rank file of a byte-level BPE, by default that of the public tokenizers' package.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The way that vocabulary's words are split before merging (a fixed value of the public tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 4096
+BLOCK = 512
 _encoders: dict[tuple[str, str], object] = {}
 
 
@@ -62,6 +63,7 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     """``hist(n_tokens, n_docs)`` with, for the context limit L = n_tokens: ``docs_over`` and ``tokens_over`` (documents longer
     than L and their tokens), ``tokens_at_limit`` (all tokens, each document cut to L), ``tokens_lost`` (those cut off),
     ``docs_total``, ``tokens_total``, and ``quantile`` (share of documents of at most L tokens)."""
+    hist = written(hist)  # small, and read twice: texts are encoded once
     hist = hist.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / block).alias("block"), (F.col("n_tokens") * F.col("n_docs")).alias("tokens"))
     sums = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are blocks
