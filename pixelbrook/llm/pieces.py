@@ -12,7 +12,8 @@ the best, which draws from the same distribution). So each taken path is the nex
 perturbed scores, paths are distinct, and no path is ever weighed twice. The bound left in the queue after k paths is the
 threshold from which each path's inclusion score follows: log(1 - exp(-exp(score - threshold))), 0 if nothing is left.
 
-Every draw is a hash of seed, row key, sample and place, so results don't depend on how rows are dealt out. ``decode``
+Every draw is a hash of seed, row key, sample and place, so results don't depend on how rows are dealt out (scores are
+rounded to 9 decimals, as sums over a block end in differing last digits). ``decode``
 gives back the text exactly (a literal U+2581 goes as bytes).
 
 Defined results: null and empty texts have one segmentation without pieces; a text with fewer than k segmentations has them
@@ -42,7 +43,7 @@ SPACE, ESCAPED = "▁", "\ud800"  # no UTF-8 text has the latter, which stands f
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BLOCK = 1 << 19
 #: Places that a worker's lattice grows to, and nodes from a branching on whose regions are kept apart at once.
-PLACES, HEAD = 700_000, 32
+PLACES, HEAD = 700_000, 96
 _SLOTS = 20
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _vocabularies: dict[tuple[str, float], Vocabulary] = {}
@@ -60,6 +61,10 @@ def uniform(*parts) -> np.ndarray:
     x = np.uint64(0)
     for p in parts:
         x = mixed(x ^ np.asarray(p).astype(np.uint64))
+    return as_uniform(x)
+
+
+def as_uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
@@ -134,11 +139,26 @@ def vocabulary(path: str = MODEL, theta: float = THETA) -> Vocabulary:
 
 
 def units(text: str) -> list[str]:
+    """The text's units, each without the space that begins it (encoding puts one first)."""
     if not text:
         return []
     if SPACE in text:
         text = text.replace(SPACE, ESCAPED)
-    return _UNIT.findall(SPACE + text.replace(" ", SPACE))
+    if text[0] != " " and "  " not in text:
+        return text.split(" ")
+    return [u[1:] for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))]
+
+
+class Starts(dict):
+    """Where each known unit starts; a new one is noted, and has minus its number in ``found`` until it is added."""
+
+    def __init__(self):
+        self.found: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.found.append(unit)
+        self[unit] = -len(self.found)
+        return -len(self.found)
 
 
 class Lattice:
@@ -154,7 +174,7 @@ class Lattice:
         self.clear(PLACES)
 
     def clear(self, places: int) -> None:
-        self.starts: dict[str, int] = {}
+        self.starts = Starts()
         self.n_places = self.n_edges = 0
         self.room = places, 4 * places
         self.chance, self.log, self.others = (np.empty(self.room[1]) for _ in range(3))
@@ -164,18 +184,26 @@ class Lattice:
 
     def begin(self, units_of: list[list[str]]) -> np.ndarray:
         """The first place of each unit of these texts; new units are added."""
-        starts = self.starts
-        found = [u for u in dict.fromkeys(chain.from_iterable(units_of)) if u not in starts]
+        n = sum(map(len, units_of))
+        out = np.fromiter(map(self.starts.__getitem__, chain.from_iterable(units_of)), np.int64, n)
+        found = self.starts.found
+        need = len(found) + sum(map(len, found))
         # a place has at most as many edges as the longest piece has characters
-        need = sum(map(len, found))
-        if found and (self.n_places + need > self.room[0] or self.n_edges + min(16, self.vocab.longest) * need > self.room[1]):
-            found = list(dict.fromkeys(chain.from_iterable(units_of)))
-            need = sum(map(len, found))
-            self.clear(max(PLACES, -(-need * self.vocab.longest // 4)))
+        if found and (self.n_places + need > self.room[0] or self.n_edges + self.vocab.longest * need > self.room[1]):
+            self.clear(0)
+            out = np.fromiter(map(self.starts.__getitem__, chain.from_iterable(units_of)), np.int64, n)
+            found = self.starts.found
+            need = len(found) + sum(map(len, found))
             starts = self.starts
+            self.clear(max(PLACES, -(-need * self.vocab.longest // 4)))
+            self.starts = starts
         if found:
-            starts.update(zip(found, self._add(found).tolist()))
-        return np.fromiter(map(starts.__getitem__, chain.from_iterable(units_of)), np.int64, sum(map(len, units_of)))
+            start = self._add([SPACE + u for u in found])
+            self.starts.update(zip(found, start.tolist()))
+            new = np.flatnonzero(out < 0)
+            out[new] = start[-out[new] - 1]
+            self.starts.found = []
+        return out
 
     def _add(self, found: list[str]) -> np.ndarray:
         vocab, p0, e0 = self.vocab, self.n_places, self.n_edges
@@ -310,25 +338,30 @@ def sampled(texts: list[str | None], keys: np.ndarray, lattice: Lattice, k: int
     word_doc = np.repeat(np.arange(n_docs), sizes)
     word_place = np.arange(len(word_start)) - first_word[word_doc]
     row = keys.astype(np.uint64) ^ mixed(np.full(1, seed, np.uint64))
-    longest = int(lattice.offset[: lattice.n_places].max()) + 1 if lattice.n_places else 1
 
     def drawn(word: np.ndarray, at: np.ndarray, stream: int) -> np.ndarray:
-        return uniform(row[word_doc[word]] + np.uint64(stream), (word_place[word] << 24) ^ lattice.offset[at])
+        key = mixed(row + np.uint64(stream))[word_doc[word]]
+        return as_uniform(mixed(key ^ ((word_place[word] << 24) ^ lattice.offset[at]).astype(np.uint64)))
 
     def downwards(word: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Draw from each place to its unit's end: (word, edge)."""
-        found = [(np.zeros(0, np.int64),) * 2]
+        # words come in order; the n-th round draws the n-th edge of those that aren't at their end
+        words, edges, here, begin = [], [], np.arange(len(word)), word
         while len(word):
             edge = lattice.draw(at, drawn(word, at, 2 * t))
-            found.append((word, edge))
+            words.append(here)
+            edges.append(edge)
             at = lattice.go[edge]
             rest = np.flatnonzero(at < lattice.END)
-            word, at = word[rest], at[rest]
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-    def in_order(word, edge, *more):
-        order = np.argsort(word * longest + lattice.offset[lattice.at[edge]])
-        return tuple(x[order] for x in (word, edge, *more))
+            word, at, here = word[rest], at[rest], here[rest]
+        if not edges:
+            return (np.zeros(0, np.int64),) * 2
+        count = np.bincount(np.concatenate(words), minlength=len(begin))
+        place = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for n, (h, e) in enumerate(zip(words, edges)):
+            out[place[h] + n] = e
+        return np.repeat(begin, count), out
 
     def truncated(mass: np.ndarray, limit: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Gumbel draws of regions of this log mass, truncated at the parent's."""
@@ -394,7 +427,7 @@ def sampled(texts: list[str | None], keys: np.ndarray, lattice: Lattice, k: int
         p.tail[d] = -math.inf
 
     limit = -np.log(-np.log(uniform(row, np.full(n_docs, 1 << 40))))
-    word, edge = in_order(*downwards(np.arange(len(word_start)), word_start, 0))
+    word, edge = downwards(np.arange(len(word_start)), word_start, 0)
     ends = np.cumsum(np.bincount(word_doc[word], minlength=n_docs))
     paths = [path(word, edge, np.zeros(len(word), np.int64), np.concatenate(([0], ends[:-1])), limit, 0)]
     taken = [np.ones(n_docs, bool)]
@@ -431,12 +464,24 @@ def sampled(texts: list[str | None], keys: np.ndarray, lattice: Lattice, k: int
             edge = lattice.first[at] + (cdf < (drawn(w, at, 2 * t) * cdf[:, -1])[:, None]).sum(1)
             parts.append((w, edge, barred))
             p.bound[node] = -math.inf
+            # what is left of the unit, and all later ones: a word that is at its end already is passed over
             after = lattice.go[edge]
-            rest = after < lattice.END
-            later = _ranges(w + 1, first_word[docs] + sizes[docs])
-            below = downwards(np.concatenate((w[rest], later)), np.concatenate((after[rest], word_start[later])), t)
+            later = _ranges(w, first_word[docs] + sizes[docs])
+            at = word_start[later]
+            own = np.flatnonzero(np.concatenate(([True], word_doc[later[1:]] != word_doc[later[:-1]])))
+            at[own] = after
+            go_on = at < lattice.END
+            below = downwards(later[go_on], at[go_on], t)
             parts.append((*below, np.zeros(len(below[0]), np.int64)))
-        word, edge, barred = in_order(*(np.concatenate(x) for x in zip(*parts)))
+        # each part is in order; of a text's parts the first comes first
+        sizes_of = [np.bincount(word_doc[x[0]], minlength=n_docs) for x in parts]
+        total = np.cumsum(np.sum(sizes_of, axis=0))
+        base = np.concatenate(([0], total[:-1]))
+        word, edge, barred = (np.empty(int(total[-1]), np.int64) for _ in range(3))
+        for (w, e, x), size in zip(parts, sizes_of):
+            place = np.arange(len(w)) + np.repeat(base - (np.cumsum(size) - size), size)
+            word[place], edge[place], barred[place] = w, e, x
+            base = base + size
         ends = np.cumsum(np.bincount(word_doc[word], minlength=n_docs))
         paths.append(path(word, edge, barred, np.concatenate(([0], ends[:-1])) + begin, limit, t))
     threshold = np.stack([p.best()[0] for p in paths]).max(0)
@@ -474,7 +519,7 @@ def samples(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, seed: int =
                 rows = []
                 for i, t, found in zip(doc_ids, texts, sampled(texts, row_keys(doc_ids, texts), lattice, k, seed)):
                     for s, (x, score, inclusion) in enumerate(found):
-                        rows.append((i, s, len(x), score, inclusion, hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), vocab.decode(x.tolist()) == (t or "").encode(), x if ids else None))
+                        rows.append((i, s, len(x), round(score, 9), round(inclusion, 9), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), vocab.decode(x.tolist()) == (t or "").encode(), x if ids else None))
                 cols = list(zip(*rows)) or [()] * 8
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
                 arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds)]

@@ -141,7 +141,7 @@ class Grammar:
             for b in [*(i for i, c in enumerate(classes) if c < 0), len(classes)]:
                 found = self.clause(tokens[a:b], classes[a:b])
                 evidence, matched, a = evidence + found, matched + (found > 0), b + 1
-        return 1 - (1 - self.base) * math.exp(-evidence), classes.count(-1) + 1, matched
+        return (1 - (1 - self.base) * math.exp(-evidence) if evidence else self.base), classes.count(-1) + 1, matched
 
     def clause(self, tokens: list[str], classes: list[int]) -> float:
         if INSULT not in classes and THREAT not in classes:
