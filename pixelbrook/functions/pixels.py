@@ -189,3 +189,90 @@ def hadamard(t: list[Column]) -> list[Column]:
     rows = [four(*t[4 * i : 4 * i + 4]) for i in range(4)]
     cols = [four(*(rows[i][k] for i in range(4))) for k in range(4)]
     return [cols[k][i] for i in range(4) for k in range(4)]
+
+
+#: Weights of the texture distortion, by row (fixed values).
+TEXTURE = (38, 32, 20, 9, 32, 28, 17, 7, 20, 17, 10, 4, 9, 7, 4, 2)
+
+
+def _texture(v: list[Column]) -> Column:
+    def four(a, b, c, d):
+        p, q, r, s = a + c, b + d, b - d, a - c
+        return p + q, s + r, s - r, p - q
+
+    rows = [four(*v[4 * k : 4 * k + 4]) for k in range(4)]
+    cols = [four(*(rows[r][k] for r in range(4))) for k in range(4)]
+    return sum((TEXTURE[4 * r + k] * F.abs(cols[k][r]) for r in range(4) for k in range(4)), F.lit(0))
+
+
+def texture_distortion(a: list[Column], b: list[Column]) -> Column:
+    """Difference of two 4 x 4 blocks in the weighted Hadamard domain."""
+    return shr(F.abs(_texture(b) - _texture(a)), 5)
+
+
+def forward_dct(d: list[Column]) -> list[Column]:
+    """The lossy codec's 4 x 4 transform of 16 differences, in integers."""
+    mid: list[Column] = []
+    for k in range(4):
+        p, q, r, s = d[4 * k] + d[4 * k + 3], d[4 * k + 1] + d[4 * k + 2], d[4 * k + 1] - d[4 * k + 2], d[4 * k] - d[4 * k + 3]
+        mid += [(p + q) * 8, shr(r * 2217 + s * 5352 + 1812, 9), (p - q) * 8, shr(s * 2217 - r * 5352 + 937, 9)]
+    out: list[Column] = [None] * 16
+    for k in range(4):
+        p, q, r, s = mid[k] + mid[12 + k], mid[4 + k] + mid[8 + k], mid[4 + k] - mid[8 + k], mid[k] - mid[12 + k]
+        out[k], out[8 + k] = shr(p + q + 7, 4), shr(p - q + 7, 4)
+        out[4 + k] = shr(r * 2217 + s * 5352 + 12000, 16) + F.when(s != 0, 1).otherwise(0)
+        out[12 + k] = shr(s * 2217 - r * 5352 + 51000, 16)
+    return out
+
+
+def inverse_dct(c: list[Column]) -> list[Column]:
+    """Differences back from 16 coefficients: columns first, then rows with rounding by 8."""
+    one, two = (lambda v: shr(v * 20091, 16) + v), (lambda v: shr(v * 35468, 16))
+
+    def four(a, b, c_, d):
+        p, q, r, s = a + c_, a - c_, two(b) - one(d), one(b) + two(d)
+        return p + s, q + r, q - r, p - s
+
+    cols = [four(*(c[k + 4 * r] for r in range(4))) for k in range(4)]
+    rows = [four(cols[0][r] + 4, cols[1][r], cols[2][r], cols[3][r]) for r in range(4)]
+    return [shr(rows[r][k], 3) for r in range(4) for k in range(4)]
+
+
+def quantised(c: Column, step: int) -> Column:
+    """To the nearest multiple's number, away from zero at ties."""
+    return (F.signum(c) * F.floor((F.abs(c) + step // 2) / step)).cast("int")
+
+
+def _power(v: Column, e: float) -> Column:
+    return F.pow(F.greatest(v, F.lit(0.0)), F.lit(e))
+
+
+def to_linear(v: Column, transfer: str) -> Column:
+    """Light from a signal of 0..1, by the transfer functions of the public video standards."""
+    high = F.greatest(v, F.lit(0.0))
+    curve = {
+        "bt709": F.when(v < 4.5 * 0.018053968510807, v / 4.5).otherwise(_power((v + 0.09929682680944) / 1.09929682680944, 1 / 0.45)),
+        "bt470m": _power(v, 2.2), "bt470bg": _power(v, 2.8),
+        "smpte240": F.when(v < 4 * 0.022821585529445, v / 4).otherwise(_power((v + 0.111572195921731) / 1.111572195921731, 1 / 0.45)),
+        "linear": v, "log100": F.when(v < 0.01, 0.005).otherwise(F.pow(F.lit(10.0), 2 * (F.least(v, F.lit(1.0)) - 1))), "log100sqrt": F.when(v < 0.00316227766, 0.00158113883).otherwise(F.pow(F.lit(10.0), 2.5 * (F.least(v, F.lit(1.0)) - 1))),
+        "srgb": F.when(v < 12.92 * 0.0030412825601275209, v / 12.92).otherwise(_power((v + 0.0550107189475866) / 1.0550107189475866, 2.4)),
+        "pq": _power(F.greatest(_power(high, 1 / 78.84375) - 0.8359375, F.lit(0.0)) / (18.8515625 - 18.6875 * _power(high, 1 / 78.84375)), 1 / 0.1593017578125),
+        "smpte428": _power(v, 2.6) * (52.37 / 48.0), "hlg": F.when(v <= 0.5, v * v / 3).otherwise((F.exp((v - 0.55991073) / 0.17883277) + 0.28466892) / 12),
+    }
+    return curve[transfer]
+
+
+TRANSFERS = ("bt709", "bt470m", "bt470bg", "smpte240", "linear", "log100", "log100sqrt", "srgb", "pq", "smpte428", "hlg")
+
+
+def from_linear(v: Column, transfer: str) -> Column:
+    """The signal back from light."""
+    curve = {
+        "bt709": F.when(v < 0.018053968510807, v * 4.5).otherwise(1.09929682680944 * _power(v, 0.45) - 0.09929682680944), "bt470m": _power(v, 1 / 2.2), "bt470bg": _power(v, 1 / 2.8),
+        "smpte240": F.when(v < 0.022821585529445, v * 4).otherwise(1.111572195921731 * _power(v, 0.45) - 0.111572195921731), "linear": v,
+        "log100": F.when(v < 0.01, 0.0).otherwise(1 + F.log10(F.least(v, F.lit(1.0))) / 2), "log100sqrt": F.when(v < 0.00316227766, 0.0).otherwise(1 + F.log10(F.least(v, F.lit(1.0))) / 2.5),
+        "srgb": F.when(v < 0.0030412825601275209, v * 12.92).otherwise(1.0550107189475866 * _power(v, 1 / 2.4) - 0.0550107189475866),
+        "pq": _power((0.8359375 + 18.8515625 * _power(v, 0.1593017578125)) / (1 + 18.6875 * _power(v, 0.1593017578125)), 78.84375),
+        "smpte428": _power(v * (48.0 / 52.37), 1 / 2.6), "hlg": F.when(v <= 1 / 12, F.sqrt(3 * v)).otherwise(0.17883277 * F.log(12 * v - 0.28466892) + 0.55991073),
+    }
+    return curve[transfer]

@@ -12,14 +12,15 @@ BAND = 64
 
 
 def _banded(px: DataFrame, above: int, below: int) -> DataFrame:
-    """Each row with its band, and again in the next or last band where that needs it; ``own``: the row's own band."""
+    """Each row with its band, and again in the next or last band where that needs so many rows above or below its own;
+    ``own``: the row's own band."""
     band = F.floor(F.col("y") / BAND)
     place = F.pmod(F.col("y"), F.lit(BAND))
     bands = [band]
     if above:
-        bands.append(F.when(place == BAND - 1, band + 1))
+        bands.append(F.when(place >= BAND - above, band + 1))
     if below:
-        bands.append(F.when(place == 0, band - 1))
+        bands.append(F.when(place < below, band - 1))
     return px.withColumn("own", band).withColumn("band", F.explode(F.array_compact(F.array(*bands))))
 
 
@@ -88,3 +89,92 @@ def majority(blocks: DataFrame, segment: str, n_segments: int) -> DataFrame:
     best = reduce(lambda a, s: F.when(F.col(names[s]) >= 5, s).otherwise(a), range(n_segments), F.col(segment))
     best = F.when(reduce(lambda a, b: a + b, map(F.col, names)) == 9, best).otherwise(F.col(segment))
     return out.where("band = own").select("y", "x", segment, best.cast("int").alias("smooth"))
+
+
+def _at(order: str, *keys: str):
+    """``f(column, d)``: the column d places on, null where there is no such place."""
+    window = Window.partitionBy(*keys).orderBy(order)
+    return lambda c, d: F.max(c).over(window.rangeBetween(d, d))
+
+
+def near_lossless_pass(px: DataFrame, channels: str, bits: int) -> DataFrame:
+    """Inner pixels that differ from a neighbour by 2^bits or more in any channel are rounded to a multiple of 2^bits (ties to
+    the even multiple; at most 255); smooth ones and the border stay."""
+    row, column = _at("x", "band", "y"), _at("y", "band", "x")
+    out = _banded(px, 1, 1)
+    sides = {f"{c}{n}": f(c, d) for c in channels for n, f, d in (("l", row, -1), ("r", row, 1), ("u", column, -1), ("d", column, 1))}
+    out = out.withColumns(sides)
+    smooth = reduce(lambda a, b: a & b, [F.abs(F.col(c) - F.col(f"{c}{n}")) < (1 << bits) for c in channels for n in "lrud"])
+    mask = (1 << bits) - 1
+
+    def rounded(c):
+        biased = F.col(c) + (mask >> 1) + F.shiftright(F.col(c), bits).bitwiseAND(1)
+        return F.when(biased > 255, 255).otherwise(biased - biased.bitwiseAND(mask))
+
+    border = reduce(lambda a, b: a | b, [F.col(f"{channels[0]}{n}").isNull() for n in "lrud"])
+    return out.where("band = own").select("y", "x", *[F.when(border | smooth, F.col(c)).otherwise(rounded(c)).cast("int").alias(c) for c in channels])
+
+
+#: The hat-shaped weights of the similarity window (fixed values).
+HAT = (1, 2, 3, 4, 3, 2, 1)
+
+
+def structural_similarity(px: DataFrame, a: str, b: str) -> DataFrame:
+    """``ssim`` of planes a and b around each pixel, in integers: a 7 x 7 window with hat-shaped weights, cut at the border.
+    Weighted sums run along rows, then along columns of bands."""
+    terms = {"n": F.lit(1), "xm": F.col(a), "ym": F.col(b), "xx": F.col(a) * F.col(a), "xy": F.col(a) * F.col(b), "yy": F.col(b) * F.col(b)}
+    out = _banded(px, 3, 3).withColumns({k: v.cast("long") for k, v in terms.items()})
+    for at in (_at("x", "band", "y"), _at("y", "band", "x")):
+        out = out.withColumns({k: sum((w * F.coalesce(at(k, d), F.lit(0).cast("long")) for d, w in zip(range(-3, 4), HAT)), F.lit(0).cast("long")) for k in terms})
+    n, xm, ym, xx, xy, yy = (F.col(k) for k in terms)
+    w2 = n * n
+    sxy = F.greatest(xy * n - xm * ym, F.lit(0).cast("long"))
+    top, bottom = F.shiftright(2 * sxy + 60 * w2, 8), F.shiftright(xx * n - xm * xm + yy * n - ym * ym + 60 * w2, 8)
+    value = ((2 * xm * ym + 20 * w2) * top).cast("double") / ((xm * xm + ym * ym + 20 * w2) * bottom).cast("double")
+    return out.where("band = own").select("y", "x", F.when(xm * xm + ym * ym < 64 * w2, 1.0).otherwise(value).alias("ssim"))
+
+
+def upsampled(chroma: DataFrame, c: str) -> DataFrame:
+    """A chroma plane at twice its size: (9, 3, 3, 1) / 16 of the nearest value, those beside it and the diagonal one; a
+    missing neighbour counts as the nearest value."""
+    row = _at("x", "band", "y")
+    out = _banded(chroma, 1, 1).withColumns({"l": F.coalesce(row(c, -1), F.col(c)), "r": F.coalesce(row(c, 1), F.col(c))})
+    column = _at("y", "band", "x")
+    out = out.withColumns({f"{n}{k}": F.coalesce(column(k, d), F.col(k)) for k in (c, "l", "r") for n, d in (("u", -1), ("d", 1))}).where("band = own")
+    cells = []
+    for dy, v in ((0, "u"), (1, "d")):
+        for dx, h in ((0, "l"), (1, "r")):
+            value = F.shiftright(9 * F.col(c) + 3 * F.col(h) + 3 * F.col(f"{v}{c}") + F.col(f"{v}{h}") + 8, 4)
+            cells.append(F.struct((F.col("y") * 2 + dy).alias("y"), (F.col("x") * 2 + dx).alias("x"), value.cast("int").alias("v")))
+    return out.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
+
+
+def segment_centres(alphas: DataFrame, image: str, alpha: str, n_segments: int = 4) -> DataFrame:
+    """``(image, alpha, segment, centre)``: one-dimensional k-means of each image's values 0..255 in at most six rounds, from
+    centres spread evenly, until they move by less than 5 in all. A histogram, at most 256 rows an image, is what a task gets."""
+    import pandas as pd
+
+    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(alpha)
+        values, counts = rows[alpha].tolist(), rows["n"].tolist()
+        low, span = values[0], values[-1] - values[0]
+        centres = [low + ((2 * k + 1) * span) // (2 * n_segments) for k in range(n_segments)]
+        of: dict[int, int] = {}
+        for _ in range(6):
+            k, total, weight = 0, [0] * n_segments, [0] * n_segments
+            for v, n in zip(values, counts):
+                while k + 1 < n_segments and abs(v - centres[k + 1]) < abs(v - centres[k]):
+                    k += 1
+                of[v] = k
+                total[k] += v * n
+                weight[k] += n
+            after = [(total[s] + weight[s] // 2) // weight[s] if weight[s] else centres[s] for s in range(n_segments)]
+            moved = sum(abs(a - b) for a, b in zip(centres, after))
+            centres = after
+            if moved < 5:
+                break
+        return pd.DataFrame({image: rows[image], alpha: rows[alpha], "segment": [of[v] for v in values], "centre": [centres[of[v]] for v in values]})
+
+    hist = alphas.groupBy(image, alpha).agg(F.count("*").alias("n"))
+    kinds = {f.name: f.dataType.simpleString() for f in hist.schema}
+    return hist.groupBy(image).applyInPandas(cluster, f"{image} {kinds[image]}, {alpha} {kinds[alpha]}, segment int, centre int")

@@ -526,3 +526,116 @@ def animation_roundtrip(spark, sf_dir):
     k = F.col("image_id")
     frames_ = images.select(F.lit(1).alias("anim_id"), k.alias("frame_idx"), (2 * k).alias("x"), F.lit(0).alias("y"), F.lit(16).alias("w"), F.lit(16).alias("h"), (10 * k).alias("duration_ms"), (k % 2).alias("dispose"), F.lit(0).alias("no_blend"), B.tail(F.col("content"), F.lit(20)).alias("data"))
     return frames_of(animated(frames_), "anim_id").select("frame_idx", "x", "y", "w", "h", "duration_ms", "dispose", "lossless")
+
+
+# ---------------------------------------------------------------- signal
+
+_DENSE = "dn AS (SELECT p_partkey // 32 AS y, p_partkey % 32 AS x, CAST(p_size * 5 % 256 AS INT) AS a, CAST((p_size * 5 + p_partkey % 23) % 256 AS INT) AS b FROM part WHERE p_partkey >= 32 AND p_partkey < (SELECT count(*) FROM part) // 32 * 32)"
+
+
+def dense(spark, sf_dir: str) -> DataFrame:
+    """Two planes of 32 columns, a value for each part, whole rows only."""
+    k, s = F.col("p_partkey"), F.col("p_size").cast("long")
+    part = table(spark, sf_dir, "part")
+    return part.where((k >= 32) & (k < part.count() // 32 * 32)).select(F.floor(k / 32).alias("y"), (k % 32).alias("x"), i(s * 5 % 256).alias("a"), i((s * 5 + k % 23) % 256).alias("b"))
+
+
+@query(f"""WITH {_DENSE}, n AS (SELECT p.y, p.x, p.a, l.a AS l, r.a AS r, u.a AS u, d.a AS d FROM dn p LEFT JOIN dn l ON l.y = p.y AND l.x = p.x - 1 LEFT JOIN dn r ON r.y = p.y AND r.x = p.x + 1 LEFT JOIN dn u ON u.y = p.y - 1 AND u.x = p.x LEFT JOIN dn d ON d.y = p.y + 1 AND d.x = p.x)
+SELECT y, x, CAST(CASE WHEN l IS NULL OR r IS NULL OR u IS NULL OR d IS NULL OR (abs(a - l) < 8 AND abs(a - r) < 8 AND abs(a - u) < 8 AND abs(a - d) < 8) THEN a WHEN a + 3 + ((a >> 3) & 1) > 255 THEN 255 ELSE ((a + 3 + ((a >> 3) & 1)) // 8) * 8 END AS INT) AS a FROM n""")
+def near_lossless(spark, sf_dir):
+    from ..operators.planes import near_lossless_pass
+
+    return near_lossless_pass(dense(spark, sf_dir).select("y", "x", "a"), "a", 3)
+
+
+_HAT = "h(d, w) AS (VALUES (-3, 1), (-2, 2), (-1, 3), (0, 4), (1, 3), (2, 2), (3, 1))"
+
+
+@query(f"""WITH {_DENSE}, {_HAT}, w AS (SELECT p.y, p.x, sum(hx.w * hy.w) AS n, sum(hx.w * hy.w * q.a) AS xm, sum(hx.w * hy.w * q.b) AS ym, sum(hx.w * hy.w * q.a * q.a) AS xx, sum(hx.w * hy.w * q.a * q.b) AS xy, sum(hx.w * hy.w * q.b * q.b) AS yy
+ FROM dn p CROSS JOIN h hx CROSS JOIN h hy JOIN dn q ON q.y = p.y + hy.d AND q.x = p.x + hx.d GROUP BY 1, 2),
+s AS (SELECT y, x, CAST(n AS BIGINT) AS n, CAST(xm AS BIGINT) AS xm, CAST(ym AS BIGINT) AS ym, CAST(xx AS BIGINT) AS xx, CAST(xy AS BIGINT) AS xy, CAST(yy AS BIGINT) AS yy FROM w)
+SELECT y, x, round(CASE WHEN xm * xm + ym * ym < 64 * n * n THEN 1.0 ELSE CAST((2 * xm * ym + 20 * n * n) * ((2 * greatest(xy * n - xm * ym, 0) + 60 * n * n) >> 8) AS DOUBLE) / CAST((xm * xm + ym * ym + 20 * n * n) * ((xx * n - xm * xm + yy * n - ym * ym + 60 * n * n) >> 8) AS DOUBLE) END, 6) AS ssim FROM s""")
+def ssim_windows(spark, sf_dir):
+    from ..operators.planes import structural_similarity
+
+    return structural_similarity(dense(spark, sf_dir), "a", "b").withColumn("ssim", F.round("ssim", 6))
+
+
+@query(f"""WITH {_DENSE}, o(dy, dx) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1))
+SELECT 2 * p.y + dy AS y, 2 * p.x + dx AS x, CAST((9 * p.a + 3 * coalesce(h.a, p.a) + 3 * coalesce(v.a, p.a) + coalesce(dg.a, CASE WHEN v.a IS NULL THEN coalesce(h.a, p.a) ELSE coalesce(v.a, p.a) END) + 8) >> 4 AS INT) AS v
+FROM dn p CROSS JOIN o LEFT JOIN dn h ON h.y = p.y AND h.x = p.x + 2 * dx - 1 LEFT JOIN dn v ON v.y = p.y + 2 * dy - 1 AND v.x = p.x LEFT JOIN dn dg ON dg.y = p.y + 2 * dy - 1 AND dg.x = p.x + 2 * dx - 1""")
+def chroma_upsampled(spark, sf_dir):
+    from ..operators.planes import upsampled
+
+    return upsampled(dense(spark, sf_dir).select("y", "x", "a"), "a")
+
+
+_E32 = ", ".join(f"CAST(floor(embedding[{k + 1}] * 100) AS INT) AS e{k}" for k in range(32))
+
+
+def _dct_sql() -> str:
+    """The forward transform as nested selects."""
+    e = [f"e{k}" for k in range(16)]
+    rows, out = [], []
+    for k in range(4):
+        a, b, c, d = e[4 * k : 4 * k + 4]
+        p, q, r, s = f"({a}+{d})", f"({b}+{c})", f"({b}-{c})", f"({a}-{d})"
+        rows += [f"({p}+{q})*8 AS m{4 * k}", f"({r}*2217+{s}*5352+1812)>>9 AS m{4 * k + 1}", f"({p}-{q})*8 AS m{4 * k + 2}", f"({s}*2217-{r}*5352+937)>>9 AS m{4 * k + 3}"]
+    for k in range(4):
+        a, b, c, d = (f"m{k + 4 * r}" for r in range(4))
+        p, q, r, s = f"({a}+{d})", f"({b}+{c})", f"({b}-{c})", f"({a}-{d})"
+        out += [(k, f"({p}+{q}+7)>>4"), (4 + k, f"(({r}*2217+{s}*5352+12000)>>16)+CASE WHEN {s}<>0 THEN 1 ELSE 0 END"), (8 + k, f"({p}-{q}+7)>>4"), (12 + k, f"({s}*2217-{r}*5352+51000)>>16")]
+    return f"SELECT vec_id, {', '.join(f'CAST({x} AS INT) AS c{n}' for n, x in sorted(out))} FROM (SELECT vec_id, {', '.join(rows)} FROM q)"
+
+
+@query(f"WITH q AS (SELECT vec_id, {_E16} FROM embeddings) {_dct_sql()}")
+def block_dct(spark, sf_dir):
+    vec = table(spark, sf_dir, "embeddings").select("vec_id", *[i(F.floor(F.col("embedding")[k] * 100)).alias(f"e{k}") for k in range(16)])
+    return vec.select("vec_id", *[i(c).alias(f"c{k}") for k, c in enumerate(P.forward_dct([F.col(f"e{k}") for k in range(16)]))])
+
+
+@query(f"WITH q AS (SELECT vec_id, {_E16} FROM embeddings) SELECT vec_id, TRUE AS near FROM q")
+def dct_roundtrip(spark, sf_dir):
+    """The inverse transform of the forward one gives each difference back to within 1."""
+    vec = table(spark, sf_dir, "embeddings").select("vec_id", *[i(F.floor(F.col("embedding")[k] * 100)).alias(f"e{k}") for k in range(16)])
+    vec = vec.select("*", *[c.alias(f"c{k}") for k, c in enumerate(P.forward_dct([F.col(f"e{k}") for k in range(16)]))])
+    back = P.inverse_dct([F.col(f"c{k}") for k in range(16)])
+    return vec.select("vec_id", F.greatest(*[F.abs(b - F.col(f"e{k}")) for k, b in enumerate(back)]).alias("d")).select("vec_id", (F.col("d") <= 1).alias("near"))
+
+
+def _texture_sql(first: int) -> str:
+    def four(a, b, c, d):
+        p, q, r, s = f"({a}+{c})", f"({b}+{d})", f"({b}-{d})", f"({a}-{c})"
+        return f"({p}+{q})", f"({s}+{r})", f"({s}-{r})", f"({p}-{q})"
+
+    rows = [four(*(f"e{first + 4 * k + j}" for j in range(4))) for k in range(4)]
+    cols = [four(*(rows[r][k] for r in range(4))) for k in range(4)]
+    return "(" + " + ".join(f"{P.TEXTURE[4 * r + k]}*abs({cols[k][r]})" for r in range(4) for k in range(4)) + ")"
+
+
+@query(f"WITH q AS (SELECT vec_id, {_E32} FROM embeddings) SELECT vec_id, CAST(abs({_texture_sql(16)} - {_texture_sql(0)}) >> 5 AS INT) AS distortion FROM q")
+def texture_distortion(spark, sf_dir):
+    vec = table(spark, sf_dir, "embeddings").select("vec_id", *[i(F.floor(F.col("embedding")[k] * 100)).alias(f"e{k}") for k in range(32)])
+    e = [F.col(f"e{k}") for k in range(32)]
+    return vec.select("vec_id", i(P.texture_distortion(e[:16], e[16:])).alias("distortion"))
+
+
+@query("""SELECT v.range AS level, t.transfer, round(CASE t.transfer WHEN 'linear' THEN v.range / 255.0 WHEN 'bt470m' THEN pow(v.range / 255.0, 2.2) WHEN 'bt470bg' THEN pow(v.range / 255.0, 2.8)
+ WHEN 'bt709' THEN CASE WHEN v.range / 255.0 < 4.5 * 0.018053968510807 THEN v.range / 255.0 / 4.5 ELSE pow((v.range / 255.0 + 0.09929682680944) / 1.09929682680944, 1 / 0.45) END
+ WHEN 'smpte240' THEN CASE WHEN v.range / 255.0 < 4 * 0.022821585529445 THEN v.range / 255.0 / 4 ELSE pow((v.range / 255.0 + 0.111572195921731) / 1.111572195921731, 1 / 0.45) END
+ WHEN 'srgb' THEN CASE WHEN v.range / 255.0 < 12.92 * 0.0030412825601275209 THEN v.range / 255.0 / 12.92 ELSE pow((v.range / 255.0 + 0.0550107189475866) / 1.0550107189475866, 2.4) END
+ WHEN 'smpte428' THEN pow(v.range / 255.0, 2.6) * (52.37 / 48.0) WHEN 'hlg' THEN CASE WHEN v.range / 255.0 <= 0.5 THEN v.range / 255.0 * (v.range / 255.0) / 3 ELSE (exp((v.range / 255.0 - 0.55991073) / 0.17883277) + 0.28466892) / 12 END END, 6) AS light
+FROM range(256) v CROSS JOIN (VALUES ('linear'), ('bt470m'), ('bt470bg'), ('bt709'), ('smpte240'), ('srgb'), ('smpte428'), ('hlg')) t(transfer)""")
+def transfer_functions(spark, sf_dir):
+    v = F.col("id") / 255.0
+    kinds = ("linear", "bt470m", "bt470bg", "bt709", "smpte240", "srgb", "smpte428", "hlg")
+    rows = spark.range(256).select(F.col("id").alias("level"), F.explode(F.array(*[F.struct(F.lit(t).alias("transfer"), F.round(P.to_linear(v, t), 6).alias("light")) for t in kinds])).alias("s"))
+    return rows.select("level", "s.transfer", "s.light")
+
+
+@query()
+def segment_centres(spark, sf_dir):
+    """k-means of the parts' values, brand by brand."""
+    from ..operators.planes import segment_centres as centres
+
+    return centres(table(spark, sf_dir, "part").select("p_brand", i(F.col("p_size") * 5 % 256).alias("alpha")), "p_brand", "alpha")
