@@ -448,25 +448,60 @@ def cross_multipliers(px: np.ndarray, bits: int) -> np.ndarray:
     return words(np.full(g2r.shape, 255), r2b, g2b, g2r)
 
 
-def _matches(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a flat image: (start, length, distance code), code 0 for a literal. Runs that repeat the pixel to the left or
-    the row above are found for all pixels at once, and taken greedily from the longer of the two."""
+def _runs(same: np.ndarray) -> np.ndarray:
+    """How many places from each on are true without a break."""
+    breaks = np.flatnonzero(~same)
+    at = np.arange(len(same))
+    return np.concatenate((breaks, [len(same)]))[np.searchsorted(breaks, at)] - at
+
+
+def _earlier(keys: np.ndarray) -> np.ndarray:
+    """The last place before each that has the same key, -1 where there is none."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1)
+    again = np.flatnonzero(keys[order[1:]] == keys[order[:-1]]) + 1
+    out[order[again]] = order[again - 1]
+    return out
+
+
+def distance_codes(width: int) -> dict[int, int]:
+    """The short code of each distance that has one, the least where it has several."""
+    return {plane_distance(width, c): c for c in range(120, 0, -1)}
+
+
+def _matches(px: np.ndarray, search: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a flat image: (start, length, distance code), code 0 for a literal. Repeats of the pixel to the left and of the
+    row above are found for all pixels at once; with ``search``, so are those of the last place where the next four pixels
+    were the same (a match goes on as long as its distance does). The longest is taken, from left to right."""
     height, width = px.shape
     flat = px.ravel()
     n = len(flat)
-
-    def run_lengths(same: np.ndarray) -> np.ndarray:
-        breaks = np.flatnonzero(~same)
-        nxt = np.searchsorted(breaks, np.arange(n))
-        return np.concatenate((breaks, [n]))[nxt] - np.arange(n)
-
     left = np.zeros(n, bool)
     left[1:] = flat[1:] == flat[:-1]
     above = np.zeros(n, bool)
     above[width:] = flat[width:] == flat[:-width]
-    a, b = run_lengths(left), run_lengths(above)
-    longest = np.minimum(np.maximum(a, b), 4096)
-    code = np.where(b >= a, 1, 2)  # short distance codes of (0, 1) and (1, 0)
+    a, b = _runs(left), _runs(above)
+    longest, code = np.maximum(a, b), np.where(b >= a, 1, 2)  # short distance codes of (0, 1) and (1, 0)
+    if search and n > 8:
+        h = flat.astype(np.uint64)
+        h = (h[:-3] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:-2] * np.uint64(0xBF58476D1CE4E5B9)) ^ (h[2:-1] * np.uint64(0x94D049BB133111EB)) ^ h[3:]
+        before = _earlier(h)
+        distance = np.full(n, 0)
+        distance[: n - 3] = np.where(before >= 0, np.arange(n - 3) - before, 0)
+        far = np.flatnonzero(distance)
+        same = np.zeros(n, bool)
+        same[far] = flat[far] == flat[far - distance[far]]
+        goes_on = same.copy()
+        goes_on[:-1] &= distance[1:] == distance[:-1]  # the next place matches at the same distance
+        c = np.minimum(_runs(goes_on) + 1, n - np.arange(n))
+        c[~same] = 0
+        c = np.where((c > 0) & (distance < (1 << 20) - 120), c, 0)
+        better = c > longest + 2
+        short = distance_codes(width)
+        kinds, at = np.unique(distance[better], return_inverse=True)
+        longest = np.where(better, c, longest)
+        code[better] = np.array([short.get(int(d), int(d) + 120) for d in kinds], np.int64)[at] if len(kinds) else 0
+    longest = np.minimum(longest, 4096)
     out_at, out_n, out_c = [], [], []
     starts = np.flatnonzero(longest >= 4)
     i = 0
@@ -486,6 +521,13 @@ def _matches(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out_at), np.concatenate(out_n), np.concatenate(out_c)
 
 
+def cache_hits(flat: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, hit) of each pixel in a colour cache that every pixel before it has entered."""
+    slot = ((flat.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
+    before = _earlier(slot)
+    return slot, (before >= 0) & (flat[before] == flat)
+
+
 def prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, extra bits, their value) of values of at least 1."""
     v = v.astype(np.int64) - 1
@@ -553,18 +595,37 @@ def _write_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return canonical(lengths) if lengths.any() else np.zeros(len(counts), np.uint64), lengths
 
 
-def _write_image(w: Writer, px: np.ndarray, main: bool) -> None:
-    at, n, code = _matches(px)
+def _bits(counts: np.ndarray) -> float:
+    """What an optimal code spends on these symbols, and about what its lengths take."""
+    used = counts[counts > 0].astype(np.float64)
+    return float((used * np.log2(used.sum() / used)).sum()) + 3 * len(used) if len(used) > 1 else 0.0
+
+
+def _write_image(w: Writer, px: np.ndarray, main: bool, search: bool = False) -> None:
+    at, n, code = _matches(px, search)
+    flat = px.ravel()
     a, r, g, b = (c.ravel()[at] for c in planes(px))
-    literal = code == 0
+    single = code == 0
     symbol, bits, extra = prefix(n)
     d_symbol, d_bits, d_extra = prefix(np.maximum(code, 1))
-    first = np.where(literal, g, 256 + symbol)
-    w.put(0, 1)  # no colour cache
+    count = lambda v, size: np.bincount(v, minlength=size)
+    best = None
+    for cache in (0, 4, 8) if search else (0,):
+        slot, hit = cache_hits(flat, cache) if cache else (np.zeros(len(flat), np.int64), np.zeros(len(flat), bool))
+        hit = hit[at] & single
+        literal = single & ~hit
+        first = np.where(literal, g, np.where(hit, 280 + slot[at], 256 + symbol))
+        counts = (count(first, N_LITERALS + N_LENGTHS + (1 << cache if cache else 0)), count(r[literal], 256), count(b[literal], 256), count(a[literal], 256), count(d_symbol[~single], N_DISTANCES))
+        size = sum(map(_bits, counts))
+        if best is None or size < best[0]:
+            best = size, cache, literal, first, counts
+    _, cache, literal, first, counts = best
+    w.put(int(cache > 0), 1)
+    if cache:
+        w.put(cache, 4)
     if main:
         w.put(0, 1)  # one group of codes
-    count = lambda v, size: np.bincount(v, minlength=size)
-    codes = [_write_code(w, c) for c in (count(first, N_LITERALS + N_LENGTHS), count(r[literal], 256), count(b[literal], 256), count(a[literal], 256), count(d_symbol[~literal], N_DISTANCES))]
+    codes = [_write_code(w, c) for c in counts]
     pick = lambda k, s: (codes[k][0][s], codes[k][1][s])
     columns = [pick(0, first)]
     for k, v, v_extra, v_bits in ((1, r, extra, bits), (2, b, d_symbol, None), (3, a, d_extra, d_bits)):
@@ -573,6 +634,7 @@ def _write_image(w: Writer, px: np.ndarray, main: bool) -> None:
             other, other_size = pick(4, v_extra)
         else:
             other, other_size = v_extra.astype(np.uint64), v_bits
+        other_size = np.where(single, 0, other_size)  # what the cache holds has no more to say
         columns.append((np.where(literal, lit_code, other), np.where(literal, lit_size, other_size)))
     w.put_all(np.stack([c for c, _ in columns], 1).ravel(), np.stack([s for _, s in columns], 1).ravel())
 
@@ -635,5 +697,5 @@ def encode(px: np.ndarray, quality: float = 75.0, header: bool = True) -> bytes:
             w.put(5 - 2, 3)
             _write_image(w, tile, False)
     w.put(0, 1)
-    _write_image(w, px, True)
+    _write_image(w, px, True, quality >= 25)
     return w.getvalue()
