@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.container import Bad, parse
-from . import alpha, lossless
+from . import alpha, lossless, lossy
 from .bits import Corrupt
 
 IMAGE = "width int, height int, data binary, error string"
@@ -26,17 +26,24 @@ def argb(data: bytes, width: int, height: int) -> np.ndarray:
     return p[..., 3] << np.uint32(24) | p[..., 0] << np.uint32(16) | p[..., 1] << np.uint32(8) | p[..., 2]
 
 
-def decode_image(content: bytes | None) -> tuple:
-    """(width, height, RGBA bytes, error) of a file's first frame."""
+def decode_image(content: bytes | None, tables: lossy.Tables | None = None) -> tuple:
+    """(width, height, RGBA bytes, error) of a file's first frame; lossy ones need the format's probability tables."""
     f = parse(content, "strict", max_frames=1)
     if f.error:
         return None, None, None, f.error
     if not f.frames:
         return None, None, None, "no frames"
     frame = f.frames[0]
-    if not frame.lossless:
-        return frame.w, frame.h, None, "lossy images aren't decoded yet"
+    if not frame.lossless and tables is None:
+        return frame.w, frame.h, None, "lossy images need probability tables"
     try:
+        if not frame.lossless:
+            width, height, *planes = lossy.decode(frame.data, tables)
+            out = np.full((height, width, 4), 255, np.uint8)
+            out[..., :3] = lossy.to_rgb(*planes)
+            if frame.alpha_data is not None:
+                out[..., 3] = alpha.decode(frame.alpha_data, width, height)
+            return width, height, out.tobytes(), None
         px = lossless.decode(frame.data)
     except (Corrupt, Bad, IndexError, ValueError) as e:
         return None, None, None, str(e) or type(e).__name__
@@ -59,6 +66,26 @@ def encode_image(data: bytes | None, width: int | None, height: int | None, qual
     return b"RIFF" + (size + 12).to_bytes(4, "little") + b"WEBPVP8L" + size.to_bytes(4, "little") + body, None
 
 
+def encode_lossy(data: bytes | None, width: int | None, height: int | None, quality: float, tables: lossy.Tables, alpha_quality: int = 100) -> tuple:
+    """(file, error) of RGBA bytes: a lossy frame, and an alpha plane beside it if a pixel isn't opaque."""
+    if data is None or width is None or height is None:
+        return None, "no image"
+    if not (1 <= width <= 16383 and 1 <= height <= 16383):
+        return None, "bad dimensions"
+    if len(data) != 4 * width * height:
+        return None, "size differs from the dimensions"
+    px = np.frombuffer(data, np.uint8).reshape(height, width, 4)
+    q = lossy.quality_index(quality)
+    frame = lossy.encode(*lossy.to_planes(px[..., :3]), q, tables, level=min(63, q // 3))
+    chunk = lambda kind, body: kind + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    if (px[..., 3] == 255).all():
+        body = chunk(b"VP8 ", frame)
+    else:
+        head = (16).to_bytes(4, "little") + (width - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little")
+        body = chunk(b"VP8X", head) + chunk(b"ALPH", alpha.encode(px[..., 3], alpha_quality)) + chunk(b"VP8 ", frame)
+    return b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WEBP" + body, None
+
+
 def _each(df: DataFrame, key: str, columns: list[str], schema: str, kinds: list[pa.DataType], f) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -72,14 +99,15 @@ def _each(df: DataFrame, key: str, columns: list[str], schema: str, kinds: list[
     return one.mapInArrow(run, f"`{key}` {one.schema[key].dataType.simpleString()}, {schema}")
 
 
-def decoded(files: DataFrame, key: str = "path") -> DataFrame:
+def decoded(files: DataFrame, key: str = "path", tables: lossy.Tables | None = None) -> DataFrame:
     """``files(key, content)`` -> ``(key, width, height, data, error)``."""
-    return _each(files, key, ["content"], IMAGE, [pa.int32(), pa.int32(), pa.binary(), pa.string()], decode_image)
+    return _each(files, key, ["content"], IMAGE, [pa.int32(), pa.int32(), pa.binary(), pa.string()], lambda c: decode_image(c, tables))
 
 
-def encoded(images: DataFrame, key: str, quality: float = 75.0) -> DataFrame:
-    """``images(key, data, width, height)`` -> ``(key, content, error)``."""
-    return _each(images, key, ["data", "width", "height"], "content binary, error string", [pa.binary(), pa.string()], lambda d, w, h: encode_image(d, w, h, quality))
+def encoded(images: DataFrame, key: str, quality: float = 75.0, tables: lossy.Tables | None = None) -> DataFrame:
+    """``images(key, data, width, height)`` -> ``(key, content, error)``: lossless, or lossy if tables are given."""
+    one = (lambda d, w, h: encode_image(d, w, h, quality)) if tables is None else (lambda d, w, h: encode_lossy(d, w, h, quality, tables))
+    return _each(images, key, ["data", "width", "height"], "content binary, error string", [pa.binary(), pa.string()], one)
 
 
 def alpha_encoded(planes: DataFrame, key: str, quality: int = 100, filtering: int = 1) -> DataFrame:
