@@ -79,6 +79,9 @@ class Vocabulary:
         byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
         self.byte_ids = np.array([self.bytes[b] for b in range(256)], np.int64)
         self.spelling = [byte_of.get(i, p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
+        self.flat = np.frombuffer(b"".join(self.spelling), np.uint8)
+        self.sizes = np.array([len(x) for x in self.spelling], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         text = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if any(SPACE in self.pieces[i].lstrip(SPACE) for i in text):
             raise ValueError("a piece goes on over a space; its lattice doesn't fall into words")
@@ -132,6 +135,15 @@ class Vocabulary:
         return b"".join(map(self.spelling.__getitem__, ids))[1:]
 
 
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all these pieces one after the other, and how many there are before each and after the last."""
+        size = self.sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(ends[-1])
+        at += np.repeat(self.begins[ids] - ends[:-1], size)
+        return self.flat[at], ends
+
+
 def vocabulary(path: str = MODEL, theta: float = THETA) -> Vocabulary:
     if (path, theta) not in _vocabularies:
         _vocabularies[path, theta] = Vocabulary(path, theta)
@@ -180,7 +192,7 @@ class Lattice:
         self.chance, self.log, self.others = (np.empty(self.room[1]) for _ in range(3))
         self.at, self.go, self.piece = np.empty(self.room[1], np.int64), np.empty(self.room[1], np.int64), np.empty(self.room[1], np.int32)
         self.offset, self.best, self.first = np.empty(places, np.int64), np.empty(places, np.int64), np.zeros(places + 1, np.int64)
-        self.codes, self.best_chance = np.empty(places, np.uint32), np.empty(places)
+        self.codes, self.best_chance, self.base, self.mass = np.empty(places, np.uint32), np.empty(places), np.empty(places), 0.0
 
     def begin(self, units_of: list[list[str]]) -> np.ndarray:
         """The first place of each unit of these texts; new units are added."""
@@ -213,9 +225,12 @@ class Lattice:
         n, none, wide = len(codes), len(vocab.pieces), vocab.longest
         left = np.repeat(start + sizes, sizes) - np.arange(n)
         order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
-        place = np.empty(n + 1, np.int64)
+        place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        place[n] = n
+        # the places once more with a stop after each unit, from which an edge's end is read
+        stopped = np.arange(n) + np.repeat(np.arange(len(found)), sizes)
+        ahead = np.full(n + len(found), n, np.int64)
+        ahead[stopped] = place
         piece = np.full(n * wide, none, np.uint16 if none < 1 << 16 else np.int32)
         h, here = np.zeros(n, np.uint64), np.arange(n)
         for k in range(wide):
@@ -236,10 +251,7 @@ class Lattice:
         at = some // wide if wide & (wide - 1) else some >> (wide.bit_length() - 1)
         k = some - at * wide
         m = len(at)
-        begun = order[at]
-        go = place[np.minimum(begun + k + 1, n)]
-        ends = k + 1 == left[begun]
-        go[ends] = n
+        go = ahead[stopped[order][at] + k + 1]
         first = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=n))))
         ids = piece[some].astype(np.int64)
         weight = vocab.weight[ids]
@@ -270,12 +282,11 @@ class Lattice:
         others = chance.copy()
         others[best] = 0.0
         others = np.cumsum(others)
-        base = np.concatenate(([0.0], others))[first]
-        span = np.maximum(base[1:] - base[:-1], 1e-300)
-        others = np.minimum((others - base[at]) / span[at], 1.0) + (at + p0)
-        others[first[1:] - 1] = np.arange(p0 + 1, p0 + n + 1)
+        others += self.mass
+        self.base[p0 : p0 + n] = np.concatenate(([self.mass], others[first[1:-1] - 1]))
+        self.mass = float(others[-1])
+        go[go == n] = self.END - p0
         go += p0
-        go[ends] = self.END
         edges, places = slice(e0, e0 + m), slice(p0, p0 + n)
         self.chance[edges], self.log[edges], self.others[edges], self.at[edges], self.go[edges], self.piece[edges] = chance, weight, others, at + p0, go, ids
         self.offset[places], self.codes[places], self.best[places], self.best_chance[places] = (np.arange(n) - np.repeat(start, sizes))[order], codes, best + e0, best_chance
@@ -284,11 +295,13 @@ class Lattice:
         return place[start] + p0
 
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
-        edge, most = self.best[at], self.best_chance[at]
+        most = self.best_chance[at]
+        edge = self.best[at]
         miss = np.flatnonzero(u >= most)
         if len(miss):
-            a, m = at[miss], most[miss]
-            edge[miss] = np.searchsorted(self.others[: self.n_edges], a + np.clip((u[miss] - m) / np.maximum(1.0 - m, 1e-300), 1e-9, 1.0))
+            a = at[miss]
+            last = self.others[self.first[a + 1] - 1]
+            edge[miss] = np.searchsorted(self.others[: self.n_edges], np.minimum(self.base[a] + np.maximum(u[miss] - most[miss], 1e-9), last))
         return edge
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
@@ -340,8 +353,14 @@ def sampled(texts: list[str | None], keys: np.ndarray, lattice: Lattice, k: int
     row = keys.astype(np.uint64) ^ mixed(np.full(1, seed, np.uint64))
 
     def drawn(word: np.ndarray, at: np.ndarray, stream: int) -> np.ndarray:
-        key = mixed(row + np.uint64(stream))[word_doc[word]]
-        return as_uniform(mixed(key ^ ((word_place[word] << 24) ^ lattice.offset[at]).astype(np.uint64)))
+        x = mixed(row + np.uint64(stream))[word_doc[word]]
+        x ^= ((word_place[word] << 24) ^ lattice.offset[at]).view(np.uint64)
+        x *= _MIX[1]
+        x ^= x >> np.uint64(32)
+        x *= _MIX[2]
+        x ^= x >> np.uint64(29)
+        x *= _MIX[0]
+        return as_uniform(x)
 
     def downwards(word: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Draw from each place to its unit's end: (word, edge)."""
@@ -487,11 +506,14 @@ def sampled(texts: list[str | None], keys: np.ndarray, lattice: Lattice, k: int
     threshold = np.stack([p.best()[0] for p in paths]).max(0)
     for p, has in zip(paths, taken):
         score = np.bincount(p.doc, lattice.log[p.edge], minlength=n_docs)
+        ids = lattice.piece[p.edge]
+        odd = np.zeros(n_docs, bool)  # texts with characters that are spelled with several pieces
+        odd[p.doc[ids == len(lattice.vocab.pieces)]] = True
         for d in np.flatnonzero(has).tolist():
             a, b = p.begin[d], p.end[d]
             gap = score[d] - threshold[d]
             inclusion = 0.0 if gap > 700 or threshold[d] == -math.inf else gap if gap < -30 else math.log(-math.expm1(-math.exp(gap)))
-            out[d].append((lattice.ids(p.edge[a:b]), float(score[d]), float(inclusion)))
+            out[d].append((lattice.ids(p.edge[a:b]) if odd[d] else ids[a:b], float(score[d]), float(inclusion)))
     return out
 
 
@@ -516,10 +538,18 @@ def samples(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, seed: int =
         for batch in batches:
             for part in blocks(batch, most=_BLOCK):
                 doc_ids, texts = column(part, "doc_id").to_pylist(), column(part, "text").to_pylist()
-                rows = []
-                for i, t, found in zip(doc_ids, texts, sampled(texts, row_keys(doc_ids, texts), lattice, k, seed)):
-                    for s, (x, score, inclusion) in enumerate(found):
-                        rows.append((i, s, len(x), round(score, 9), round(inclusion, 9), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), vocab.decode(x.tolist()) == (t or "").encode(), x if ids else None))
+                found = sampled(texts, row_keys(doc_ids, texts), lattice, k, seed)
+                every = [x for f in found for x, _, _ in f]
+                flat = np.concatenate([np.zeros(0, np.int32), *every]).astype("<i4")
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in every], dtype=np.int64)))
+                spelt, before = vocab.decode_all(flat)
+                spelt, raw, rows, s = memoryview(spelt), memoryview(flat.tobytes()), [], 0
+                for i, t, f in zip(doc_ids, texts, found):
+                    want = (" " + t).encode() if t else b""
+                    for j, (x, score, inclusion) in enumerate(f):
+                        a, b = int(ends[s]), int(ends[s + 1])
+                        rows.append((i, j, b - a, round(score, 9), round(inclusion, 9), hashlib.sha256(raw[4 * a : 4 * b]).hexdigest(), spelt[before[a] : before[b]] == want, x if ids else None))
+                        s += 1
                 cols = list(zip(*rows)) or [()] * 8
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
                 arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds)]
