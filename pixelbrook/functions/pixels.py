@@ -25,7 +25,7 @@ def channels(word: Column) -> dict[str, Column]:
 
 # Rows of the colour matrices in 16-bit fixed point (Y, U, V; each with R, G, B and an offset).
 MATRICES = {
-    "webp": ((16839, 33059, 6420, 16 << 16), (-9719, -19081, 28800, 128 << 16), (28800, -24116, -4684, 128 << 16)),
+    "native": ((16839, 33059, 6420, 16 << 16), (-9719, -19081, 28800, 128 << 16), (28800, -24116, -4684, 128 << 16)),
     "rec601_limited": ((16829, 33039, 6416, 16 << 16), (-9714, -19071, 28784, 128 << 16), (28784, -24103, -4681, 128 << 16)),
     "rec601_full": ((19595, 38470, 7471, 0), (-11058, -21710, 32768, 128 << 16), (32768, -27439, -5329, 128 << 16)),
     "rec709_limited": ((11966, 40254, 4064, 16 << 16), (-6596, -22189, 28784, 128 << 16), (28784, -26145, -2639, 128 << 16)),
@@ -39,12 +39,12 @@ def matrix_row(r: Column, g: Column, b: Column, row: tuple[int, int, int, int])
 
 def luma(r: Column, g: Column, b: Column) -> Column:
     """Video-range luma of one pixel."""
-    return matrix_row(r, g, b, MATRICES["webp"][0])
+    return matrix_row(r, g, b, MATRICES["native"][0])
 
 
 def chroma(r4: Column, g4: Column, b4: Column, which: str) -> Column:
     """U or V from the sums of four pixels."""
-    row = MATRICES["webp"]["yuv".index(which)]
+    row = MATRICES["native"]["yuv".index(which)]
     return clip(shr(r4 * row[0] + g4 * row[1] + b4 * row[2] + ((1 << 17) + (128 << 18)), 18))
 
 
