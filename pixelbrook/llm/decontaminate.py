@@ -86,8 +86,13 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return rolling_at(ids, np.arange(len(ids) - n + 1), n)
 
 
-def _scan_batches(shared, carried: bool):
-    """Hits of one set; ``carried``: added to those of earlier sets."""
+def leaked(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and SHARE * n_hit >= n_words
+
+
+def _scan_batches(shared, carried: bool, cut: bool = False):
+    """Hits of one set; ``carried``: added to those of earlier sets; ``cut``: hit words are cut from texts that aren't leaked
+    as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: WindowSet = shared.value
@@ -110,9 +115,16 @@ def _scan_batches(shared, carried: bool):
                     k = int(np.searchsorted(ends, at, side="right"))
                     hit[k].append((at - int(starts[k]), at - int(starts[k]) + n))
                     items[k].update(found)
+                hit = [merged(h) for h in hit]
                 out = {c: part.column(c) for c in part.schema.names if c not in ("n_words", "hit", "items")}
+                if cut and any(hit):
+                    texts = part.column("text").to_pylist()
+                    for k, h in enumerate(hit):
+                        if h and not leaked(sum(b - a for a, b in h), len(seqs[k])):
+                            texts[k] = cut_spans(texts[k], h)
+                    out["text"] = pa.array(texts, part.schema.field("text").type)
                 out["n_words"] = pa.array(sizes)
-                out["hit"] = pa.array([[{"start": a, "stop": b} for a, b in merged(h)] for h in hit], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+                out["hit"] = pa.array([[{"start": a, "stop": b} for a, b in h] for h in hit], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
                 out["items"] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_pydict(out)
 
@@ -129,35 +141,40 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_parts(benchmark: DataFrame, most: int = SET_BYTES) -> Iterator[list[tuple[str, bytes | None]]]:
-    """The items in parts of about ``most`` bytes, one at a time on the driver."""
+def benchmark_parts(benchmark: DataFrame, most: int = SET_BYTES) -> Iterator[tuple[bool, list[tuple[str, bytes | None]]]]:
+    """The items in parts of about ``most`` bytes, one at a time on the driver, and whether a part is the last."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").cast("binary").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // most)) if total > most else 1
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r.item if r.item is not None else "", bytes(r.text)) for r in part.collect()]
+        yield k == n - 1, [(r.item if r.item is not None else "", bytes(r.text)) for r in part.collect()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, most: int = SET_BYTES) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with ``n_words``, ``hit`` (merged ranges of word numbers) and ``items`` added."""
+def scan(docs: DataFrame, benchmark: DataFrame, most: int = SET_BYTES, cut: bool = False) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with ``n_words``, ``hit`` (merged ranges of word numbers) and ``items`` added; with ``cut``, texts
+    that aren't leaked as a whole come without their hit words."""
     spark, kept = docs.sparkSession, docs.schema
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
     out, carried = docs, False
-    for part in benchmark_parts(benchmark, most):
+    for last, part in benchmark_parts(benchmark, most):
         shared = spark.sparkContext.broadcast(WindowSet(part))
         if carried:
             out = checkpointed(out)
-        out = out.mapInArrow(_scan_batches(shared, carried), ", ".join([*columns, HITS]))
+        out = out.mapInArrow(_scan_batches(shared, carried, cut and last), ", ".join([*columns, HITS]))
         carried = True
     return out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, most: int = SET_BYTES) -> DataFrame:
-    """Documents of which at least one word in ``SHARE`` is hit go; all others stay as they are, with all columns."""
+    """Documents of which at least one word in ``SHARE`` is hit go. Others stay, with all columns; their hit words, from the
+    first to the last of each range, are cut and ``n_chars``, where there is one, is counted anew."""
     names = [c for c in docs.columns if c not in ("n_words", "hit", "items")]
     hit = _n_hit()
-    return scan(docs.select(*[F.col(f"`{c}`") for c in names]), benchmark, most).where(~((hit > 0) & (SHARE * hit >= F.col("n_words")))).select(*[f"`{c}`" for c in names])
+    kept = scan(docs.select(*[F.col(f"`{c}`") for c in names]), benchmark, most, cut=True).where(~((hit > 0) & (SHARE * hit >= F.col("n_words"))))
+    if "n_chars" in names:
+        kept = kept.withColumn("n_chars", F.when(F.size("hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*[f"`{c}`" for c in names])
 
 
 def cut_spans(text: str, hit: list[tuple[int, int]]) -> str:

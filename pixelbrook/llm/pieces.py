@@ -2,7 +2,8 @@
 
 The lattice of a text has an edge for each piece of a SentencePiece model that occurs in it (a character without piece is an
 edge of its UTF-8 bytes' pieces). A piece's weight is Zipf's: p ~ 1 / (1 + r) for the r-th piece by score, raised to
-``theta``. No piece continues a word over a space, so the lattice falls into units (spaces and the word after them): edges and
+``theta``. No piece continues a word over a space, and none has a line end, so the lattice falls into units (spaces and the word after them, or a line end
+and what follows it): edges and
 the backward sums of units are computed once each, all new units of a block of documents side by side.
 
 Search. A text's whole lattice is the first region of the queue; its perturbed bound is a Gumbel draw. The best region is
@@ -40,10 +41,10 @@ from .arrow import blocks, column
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, THETA, SEED = 3, 1.0, 42
 SPACE, ESCAPED = "▁", "\ud800"  # no UTF-8 text has the latter, which stands for a literal U+2581
-_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_BLOCK = 1 << 19
+_UNIT = re.compile(f"\n[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+_BLOCK = 1 << 18
 #: Places that a worker's lattice grows to, and nodes from a branching on whose regions are kept apart at once.
-PLACES, HEAD = 700_000, 96
+PLACES, HEAD = 1_200_000, 96
 _SLOTS = 20
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _vocabularies: dict[tuple[str, float], Vocabulary] = {}
@@ -85,6 +86,8 @@ class Vocabulary:
         text = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if any(SPACE in self.pieces[i].lstrip(SPACE) for i in text):
             raise ValueError("a piece goes on over a space; its lattice doesn't fall into words")
+        if any("\n" in self.pieces[i] for i in text):
+            raise ValueError("a piece has a line end; its lattice doesn't fall into lines")
         rank = {i: r for r, i in enumerate(sorted(text, key=lambda i: (-model.get_score(i), i)))}
         total = sum(1 / (1 + r) for r in range(n))
         self.weight = np.full(n + 1, -math.inf)
@@ -151,14 +154,18 @@ def vocabulary(path: str = MODEL, theta: float = THETA) -> Vocabulary:
 
 
 def units(text: str) -> list[str]:
-    """The text's units, each without the space that begins it (encoding puts one first)."""
+    """The text's units, each without the space that begins it (encoding puts one first); line ends begin units without one."""
     if not text:
         return []
     if SPACE in text:
         text = text.replace(SPACE, ESCAPED)
-    if text[0] != " " and "  " not in text:
-        return text.split(" ")
-    return [u[1:] for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))]
+    if text[0] not in " \n" and "  " not in text and " \n" not in text:
+        return text.replace("\n", " \n").split(" ")
+    return [u if u[0] == "\n" else u[1:] for u in _UNIT.findall(SPACE + text.replace(" ", SPACE))]
+
+
+def whole(unit: str) -> str:
+    return unit if unit[:1] == "\n" else SPACE + unit
 
 
 class Starts(dict):
@@ -189,7 +196,7 @@ class Lattice:
         self.starts = Starts()
         self.n_places = self.n_edges = 0
         self.room = places, 4 * places
-        self.chance, self.log, self.others = (np.empty(self.room[1]) for _ in range(3))
+        self.log, self.others = np.empty(self.room[1]), np.empty(self.room[1])
         self.at, self.go, self.piece = np.empty(self.room[1], np.int64), np.empty(self.room[1], np.int64), np.empty(self.room[1], np.int32)
         self.offset, self.best, self.first = np.empty(places, np.int64), np.empty(places, np.int64), np.zeros(places + 1, np.int64)
         self.codes, self.best_chance, self.base, self.mass = np.empty(places, np.uint32), np.empty(places), np.empty(places), 0.0
@@ -210,7 +217,7 @@ class Lattice:
             self.clear(max(PLACES, -(-need * self.vocab.longest // 4)))
             self.starts = starts
         if found:
-            start = self._add([SPACE + u for u in found])
+            start = self._add(list(map(whole, found)))
             self.starts.update(zip(found, start.tolist()))
             new = np.flatnonzero(out < 0)
             out[new] = start[-out[new] - 1]
@@ -288,7 +295,7 @@ class Lattice:
         go[go == n] = self.END - p0
         go += p0
         edges, places = slice(e0, e0 + m), slice(p0, p0 + n)
-        self.chance[edges], self.log[edges], self.others[edges], self.at[edges], self.go[edges], self.piece[edges] = chance, weight, others, at + p0, go, ids
+        self.log[edges], self.others[edges], self.at[edges], self.go[edges], self.piece[edges] = weight, others, at + p0, go, ids
         self.offset[places], self.codes[places], self.best[places], self.best_chance[places] = (np.arange(n) - np.repeat(start, sizes))[order], codes, best + e0, best_chance
         self.first[p0 : p0 + n + 1] = first + e0
         self.n_places, self.n_edges = p0 + n, e0 + m
@@ -391,7 +398,7 @@ def sampled(texts: list[str | None], keys: np.ndarray, lattice: Lattice, k: int
         """Chances of the edges at each place, one row for each."""
         begin, n = lattice.first[at], lattice.first[at + 1] - lattice.first[at]
         k = np.arange(lattice.vocab.longest)
-        return np.where(k < n[:, None], lattice.chance[np.minimum(begin[:, None] + k, lattice.n_edges - 1)], 0.0)
+        return np.where(k < n[:, None], np.exp(lattice.log[np.minimum(begin[:, None] + k, lattice.n_edges - 1)]), 0.0)
 
     def shut(chances: np.ndarray, barred: np.ndarray) -> np.ndarray:
         return np.where((barred[:, None] >> np.arange(chances.shape[1])) & 1, 0.0, chances)
@@ -399,7 +406,7 @@ def sampled(texts: list[str | None], keys: np.ndarray, lattice: Lattice, k: int
     def rest_mass(edge: np.ndarray, barred: np.ndarray) -> np.ndarray:
         """Log chance of the edges of a node that are neither taken nor barred."""
         at = lattice.at[edge]
-        left = 1.0 - lattice.chance[edge]
+        left = -np.expm1(lattice.log[edge])
         left[lattice.first[at + 1] - lattice.first[at] == 1] = 0.0
         odd = np.flatnonzero(barred)
         if len(odd):

@@ -136,6 +136,10 @@ def test_decontaminate(spark, docs, rows, empty):
     assert sorted((tuple(r) for r in parts.collect()), key=key) == sorted(((r[0], r[1], r[3]) for r in want), key=key)
     kept = decontaminate.remove(docs, bench)
     assert kept.count() == sum(not r[5] for r in want) and set(kept.columns) == set(docs.columns) - {"hit", "items"}
+    passage = next(t for i, t in items if i == 5)
+    long = spark.createDataFrame([(1, "before, it " * 500 + passage + " and after " * 300, 7), (2, passage, 7), (3, None, 0)], "doc_id long, text string, n_chars long")
+    left = {r.doc_id: r for r in decontaminate.remove(long, bench.where("item_id = 5")).collect()}
+    assert set(left) == {1, 3} and passage not in left[1].text and left[1].text.startswith("before, it ") and left[1].text.endswith(" and after ") and left[1].n_chars == len(left[1].text)
     assert decontaminate.report(empty, bench).count() == 0 and decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.cut_spans("A b, c d! e", [(1, 3)]) == "A  d! e"
 
@@ -308,12 +312,12 @@ def every_segmentation(text, vocab):
 
     found = [((), 0.0)]
     for u in pieces.units(text):
-        found = [(a + b, x + y) for a, x in found for b, y in of(pieces.SPACE + u)]
+        found = [(a + b, x + y) for a, x in found for b, y in of(pieces.whole(u))]
     total = math.log(sum(math.exp(w) for _, w in found))
     return {a: w - total for a, w in found}
 
 
-@pytest.mark.parametrize("text", ["cat", "to be", "a▁b ✓\nx", "  x"])
+@pytest.mark.parametrize("text", ["cat", "to be", "a▁b ✓\nx", "  x", "\n\nyou", "a \n be"])
 def test_pieces_follow_the_lattice(text):
     vocab = pieces.vocabulary(theta=0.3)
     lattice = pieces.Lattice(vocab)
