@@ -272,6 +272,24 @@ def test_grammar_scores_clauses():
     assert all(0 <= x < len(step) for row in step for x in row) and len(step) == len(factor)
 
 
+def test_toxicity_of_long_texts():
+    """A stray word makes no long text toxic; many of them, or a passage of abuse, do, with or without punctuation."""
+    rng = random.Random(8)
+    g = toxicity.Grammar({"blargo": 4.6, "snerg": 1.4}, {"wumpf": 1.4})
+    toxic = lambda w: g.read(" ".join(w))[0] >= toxicity.THRESHOLD
+    for n in (1000, 5000, 20_000):
+        clean = words(rng, n).split()
+        half = n // 2
+        for mark in ("", "."):
+            text = [w + mark * (k % 9 == 8) for k, w in enumerate(clean)]
+            for stray in ("blargo", "snerg", "wumpfta", "trash"):
+                assert not toxic([*text[:half], stray, *text[half:]])
+            assert not toxic(["snerg", *text, "blargo"])
+            assert toxic([*text[:half], *"you idiot , you scum , you blargo , stupid snerg .".split(), *text[half:]])
+            assert toxic([x for k, w in enumerate(text) for x in ([w, "snerg"] if k % 50 == 0 else [w])])
+    assert toxic(["snerg"]) and toxic([*words(rng, 60).split(), "blargo"])
+
+
 def test_chat(spark):
     rng = random.Random(3)
     roles = ["system", "user", "assistant", "user", "assistant", None, "tool"]
