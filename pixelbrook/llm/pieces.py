@@ -570,7 +570,7 @@ def samples(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, seed: int =
 
 
 def report(docs: DataFrame, k: int = SAMPLES) -> DataFrame:
-    return samples(docs, k, ids=False)
+    return samples(docs, k)
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:

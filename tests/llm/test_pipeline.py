@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from pixelbrook.llm import decontaminate, queries, secrets, simhash, toxicity
+from pixelbrook.llm import decontaminate, pieces, queries, secrets, simhash, toxicity
 from pixelbrook.llm.arrow import read
 
 SF = "/root/testdata/sf0.001"
@@ -53,5 +53,13 @@ def test_stages_are_their_operators(spark):
     assert one == {r.component_id for r in simhash.near_duplicates(docs).collect()}
 
 
+def test_results_hold_the_segmentations(spark):
+    """The registered query and the last stage give ids, from which the text that was segmented comes back."""
+    docs = read(spark, SF, "documents", "doc_id", "text")
+    for rows in (queries.QUERIES["op9_pieces"](spark, SF), corpus_pipeline.STAGES[-1][1](spark, docs, SF)):
+        back = pieces.decoded(rows).join(docs.withColumnRenamed("text", "want"), "doc_id")
+        assert back.count() > 0 and back.where("not coalesce(size(ids) = n_pieces and text = coalesce(want, ''), false)").count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
