@@ -226,6 +226,21 @@ def test_bm25_prunes_exactly():
         assert np.allclose(scores, np.round(all_[best], 6), atol=2e-6) and len(found) == len(best)
 
 
+def test_bm25_of_great_scores():
+    """Near ties among scores whose last place in single precision is worth more than the ties differ by."""
+    rng = np.random.default_rng(4)
+    n, rare, common = 2000, 60, 20
+    idf = np.concatenate((1e5 + rng.random(rare) * 0.1, rng.random(common) * 0.05 + 0.01))
+    has = [np.sort(np.concatenate((rng.choice(rare, 12, replace=False), rare + rng.choice(common, 8, replace=False)))) for _ in range(n)]
+    postings = [[d for d in range(n) if t in has[d]] for t in range(rare + common)]
+    table = pa.table({"id": pa.array([0], pa.int64()), "terms": pa.array([[{"term": t, "idf": x} for t, x in enumerate(idf)]], pa.list_(pa.struct([("term", pa.int64()), ("idf", pa.float64())])))})
+    docs = np.concatenate(postings)
+    shard = bm25.Shard(list(range(n)), np.full(n, 20), np.arange(rare + common, dtype=np.uint64), np.array([len(p) for p in postings]), docs, np.ones(len(docs), np.int64), bm25.Queries(table, 20.0))
+    ((_, found, scores),) = shard.search(bm25.Queries(table, 20.0), 10)
+    full = np.round([idf[h].sum() for h in has], 6)
+    assert found.tolist() == np.lexsort((np.arange(n), -full))[:10].tolist() and np.allclose(scores, np.sort(full)[::-1][:10], rtol=0, atol=2e-6)
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
