@@ -7,7 +7,8 @@ case folded; queries are answered by intersecting and uniting postings, and only
 expression. A rule without a mandatory trigram (hex runs) scans every document.
 
 Base rules match leftmost without overlap, and a match that fails its length is dropped after it has taken its text.
-Spans are in code points, end exclusive. Defined results: null is an empty text; repeated rows each get a row; other
+Spans are in code points, end exclusive. The pem span of ``report`` is the BEGIN line, as in the SQL; ``redact`` masks the
+whole key. Defined results: null is an empty text; repeated rows each get a row; other
 columns are ignored by ``report`` and kept by ``redact``.
 """
 
@@ -50,6 +51,11 @@ RULES = (
 #: A run of hex digits shorter than this rule's least length can't count, and runs don't overlap: scanned with it built in.
 _SCAN = {"hex": r"[0-9a-f]{24,}"}
 
+#: What follows a BEGIN line without an END line: headers and lines of base64 (line ends may be spelled out, or be spaces).
+_BODY = re.compile(r"(?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:(?:\s|\\[nr])*[A-Za-z0-9+/]{16,}={0,2}(?![^\s\\\"',<]))*")
+#: A last line of base64 that is short.
+_LAST = re.compile(r"[^\S\n]*(?:\n|\\n)[^\S\n]*(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{4}|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{2}==)(?=[^\S\n]*(?:\n|\\[nr]|$))")
+
 ALL = None  # the query that every document satisfies
 
 
@@ -214,6 +220,23 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
+def whole_keys(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
+    """The spans, with those of BEGIN lines drawn out to the END line of the same label, or over what looks like a key's body."""
+    out = []
+    for a, k, b in spans:
+        if rules[k].kind == "pem":
+            end = text.find(text[a:b].replace("BEGIN", "END", 1), b)
+            begin = text.find("-----BEGIN ", b)
+            if end >= 0 and not 0 <= begin < end:
+                b = end + (b - a) - 2
+            else:
+                body = _BODY.match(text, b).end()
+                last = _LAST.match(text, body) if body > b else None
+                b = last.end() if last else body
+        out.append((a, k, b))
+    return out
+
+
 def masked(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
     out, done = [], 0
     for a, k, b in spans:
@@ -233,7 +256,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         for batch in batches:
             for part in blocks(batch):
                 texts = column(part, "text").to_pylist()
-                texts = [masked(t, s, rules) if s else t for t, s in zip(texts, scanner.find(part))]
+                texts = [masked(t, whole_keys(t, s, rules), rules) if s else t for t, s in zip(texts, scanner.find(part))]
                 at = part.schema.get_field_index("text")
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
