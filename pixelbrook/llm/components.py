@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark) -> None:
-    """Take the cluster's ``spark.checkpoint.dir``; a folder of this machine is used only where none is set, as in tests."""
+    """Take the cluster's ``spark.checkpoint.dir``. Where none is set, a folder of this machine serves only if executors share
+    it with the driver, that is in local mode; a cluster without the setting is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = "/tmp/checkpoints"
+        context.setCheckpointDir(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

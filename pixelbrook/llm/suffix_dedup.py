@@ -7,17 +7,18 @@ where it is. Equal strips are aggregated before the shuffle. Only strips whose a
 only one occurrence of each different strip has its bytes fetched.
 
 Suffix arrays by bucket-pointer refinement. Strips of one anchor meet in one task, sorted by anchor; some MB of whole anchor
-groups at a time are joined to a text whose suffixes are put in buckets by their first 8 bytes; then buckets are refined by
-sorting on the bucket pointers of later offsets (8, 16, 32, 64, then 72: the depth is 200), each pass reusing the pointers
-that the one before has updated. Windows left together in a bucket are equal; one that is alone in a strip that occurs
-once is unique. What repeats goes back to all occurrences of the strip, and a document's ranges are merged.
+groups at a time are joined to a text whose suffixes are put in buckets by their first 8 bytes; then buckets are refined,
+some at a time and down to the last, by sorting on the bucket pointers of later offsets, which those refined before have
+already updated. What repeats goes back to all occurrences of the strip, and a document's ranges are merged.
 
-Hot anchors. An anchor with over ``HOT`` different strips (a passage in very many contexts) isn't gathered. Its strips are cut
-into pieces of up to 16 windows, dealt out by the 185 bytes that all windows of a piece share, and summed before the
-shuffle; only different pieces whose shared bytes occur again are looked at window by window, by 128-bit hash.
+Hot anchors. All windows are judged by that refinement; what differs is only how an anchor's strips are dealt out. Those of
+an anchor with over ``KINDS`` different ones (a passage in very many contexts) are cut into pieces of up to ``WIDTHS[0]``
+windows, at equal distances from the anchor; a piece goes to the shard of the bytes that all windows of such a piece have
+in common, and equal pieces are summed before the shuffle. Shards that are still crowded are cut once more, into single
+windows, whose shards hold one string each. Joins on anchors and strips deal hot keys over tasks (``spread``).
 
 Defined results: null is an empty text; texts under 200 bytes keep everything; repeated rows repeat each other's strings;
-a null doc_id keeps its row; other columns are ignored.
+a null doc_id keeps its row; rows are told apart by two 64-bit hashes of id and text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +35,15 @@ from pyspark.sql import functions as F
 
 from .arrow import blocks, column, joined_bytes, utf8
 from .components import written
+from .spread import LEAST, hot_keys, spread_join
 
 LENGTH, GRAM = 200, 32
-#: Most different strips of an anchor that are sorted together.
-HOT = 2000
-#: Windows of a piece of a hot strip.
-SCORE = 16
+#: Most different strips (or pieces) of a shard; beyond it the shard is dealt out again by more of the bytes.
+KINDS = 2000
+#: Windows of a piece of a strip, at the first and the second dealing.
+WIDTHS = (16, 1)
+#: Suffixes that are refined together, and how few of them wait for the next ones.
+TOGETHER, FEW = 1 << 15, 1 << 12
 #: Bytes of text in a suffix array (more only if one anchor's strips have more).
 TEXT = 1 << 20
 _BLOCK = 1 << 17
@@ -91,49 +95,72 @@ def strips(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.
 
 
 def repeated_windows(strings: list[bytes], weights: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the string, offset) of each window that occurs again, a string of weight w standing for w of it."""
+    """(number of the string, offset) of each window that occurs again, a string of weight w standing for w of it.
+
+    ``pointer`` names each suffix's bucket by its first place in the order, and all suffixes of a bucket agree in ``depth``
+    bytes. Refining a bucket sorts it by the pointers that its suffixes have ``depth`` bytes on, so a suffix gains as many
+    bytes as the bucket met there has by then. Some buckets are refined at a time, down to the last, before the next ones:
+    what they found out shortens the way of all that meet them later.
+    """
     sizes = np.array([len(s) for s in strings], np.int64)
+    n = int(sizes.sum())
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.frombuffer(b"".join(strings) + bytes(8), np.uint8)
     begin = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(strings)), sizes)
-    left = np.repeat(begin + sizes, sizes) - np.arange(len(owner))  # bytes from here to the string's end
-    # buckets of the first 8 bytes
-    word = np.zeros(len(owner), np.uint64)
+    left = np.repeat(begin + sizes, sizes) - np.arange(n)  # bytes from here to the string's end
+    word = np.zeros(n, np.uint64)
     for k in range(8):
-        word = (word << np.uint64(8)) | text[k : k + len(owner)]
-    here = np.flatnonzero(left >= 8)
-    pointer = np.zeros(len(owner), np.int64)
-    size = np.zeros(len(owner), np.int64)
-
-    def settle(positions: np.ndarray, keys: np.ndarray, old: np.ndarray | None) -> None:
-        """Give each position the pointer (first place) and size of its bucket of equal keys."""
-        order = np.argsort(keys)
+        word = (word << np.uint64(8)) | text[k : k + n]
+    short = np.flatnonzero(left < 8)
+    beyond = (8 * (8 - left[short])).astype(np.uint64)
+    word[short] = (word[short] >> beyond) << beyond
+    need = np.minimum(left, length)  # no more bytes of a suffix matter to any window
+    # the end of a string is the suffix n: before all others, and nothing follows that could tell two of them apart
+    pointer, depth = np.zeros(n + 1, np.int64), np.full(n + 1, 8, np.int64)
+    depth[n] = length
+
+    def settle(positions: np.ndarray, keys: np.ndarray, deep: np.ndarray, old: np.ndarray | None) -> np.ndarray:
+        """Give buckets of equal keys their pointers and depths; what is to be refined further, in order."""
+        order = np.argsort(keys, kind="stable")
         keys, positions = keys[order], positions[order]
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         first = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
         count = np.diff(np.concatenate((first, [len(keys)])))
-        if old is None:
-            place = first
-        else:  # places inside the bucket that is refined
+        place = first + 1
+        if old is not None:  # places inside the bucket that is refined
             old = old[order][first]
-            outer = np.concatenate(([True], old[1:] != old[:-1]))
-            place = old + first - np.repeat(first[outer], np.diff(np.concatenate((np.flatnonzero(outer), [len(first)]))))
-        pointer[positions], size[positions] = place[run], count[run]
-
-    if len(here):
-        settle(here, word[here], None)
-    del word
-    depth = 8
-    while depth < length:
-        offset = min(depth, length - depth)
-        depth += offset
-        here = here[(left[here] >= depth)]
-        some = here[size[here] > 1]
-        if len(some):
-            settle(some, (pointer[some] << 32) | pointer[some + offset], pointer[some])
-    total = np.bincount(pointer[here], weights[owner[here]], minlength=1) if len(here) else np.zeros(1)
-    some = here[total[pointer[here]] > 1]
+            outer = np.flatnonzero(np.concatenate(([True], old[1:] != old[:-1])))
+            place = old + first - np.repeat(first[outer], np.diff(np.concatenate((outer, [len(first)]))))
+        pointer[positions] = np.repeat(place, count)
+        depth[positions] = reached = np.repeat(np.minimum.reduceat(deep[order], first), count)
+        open_ = (reached < need[positions]) & np.repeat(count > 1, count)
+        positions, run = positions[open_], np.repeat(np.arange(len(first)), count)[open_]
+        return positions[np.bincount(run, minlength=len(first))[run] > 1]
+
+    rest = settle(np.arange(n), word, depth[:n], None)
+    edges = np.flatnonzero(np.diff(pointer[rest])) + 1
+    cuts = [0, *edges[np.flatnonzero(np.diff(edges // TOGETHER)) + 1].tolist(), len(rest)]
+    held = rest[:0]
+    for a, b in zip(cuts, cuts[1:]):
+        held = np.concatenate((held, rest[a:b]))
+        while len(held) > (FEW if b < len(rest) else 0):
+            d = depth[held]
+            on = np.where(d < left[held], held + d, n)
+            held = settle(held, (pointer[held] << 32) | pointer[on], d + depth[on], pointer[held])
+    # equal windows are neighbours now; a bucket may know more than a window's bytes, so neighbours are compared
+    here = np.flatnonzero(left >= length)
+    here = here[np.argsort(pointer[here], kind="stable")]
+    if not len(here):
+        return here, here
+    alive = np.arange(len(here) - 1)
+    for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        alive = alive[word[here[alive] + k] == word[here[alive + 1] + k]]
+    same = np.zeros(len(here), bool)
+    same[alive + 1] = True
+    run = np.cumsum(~same) - 1
+    some = np.sort(here[np.bincount(run, weights[owner[here]])[run] > 1])
     return owner[some], some - begin[owner[some]]
 
 
@@ -150,8 +177,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist())), np.uint64, len(first))
             rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(body.view(np.int64)), column(part, "doc_id").take(rows), column(part, "tag").take(rows), pa.array((first - ends[doc]) << 16 | n)],
-                ["gram", "body", "doc_id", "tag", "place"],
+                [pa.array(gram.view(np.int64)), pa.array(body.view(np.int64)), column(part, "row1").take(rows), column(part, "row2").take(rows), pa.array((first - ends[doc]) << 16 | n)],
+                ["gram", "body", "row1", "row2", "place"],
             )
 
 
@@ -160,7 +187,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         for part in blocks(batch):
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "tag"), pa.array([pack(t or b"") for t in utf8(part)], pa.binary())], ["doc_id", "tag", "packed"])
+            yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("doc_id", "row1", "row2")), pa.array([pack(t or b"") for t in utf8(part)], pa.binary())], ["doc_id", "row1", "row2", "packed"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,18 +207,20 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strips come sorted by anchor; whole anchors are sorted together, about ``TEXT`` bytes at a time."""
-    held: list[pa.RecordBatch] = []
-    held_bytes = 0
+def _refined(rows: DataFrame, shard: list[str], ids: list[str]) -> DataFrame:
+    """``(shard..., ids..., weight, data)`` -> ``(ids..., runs)``: the runs of windows that occur again in a shard."""
+    rows = rows.select(*dict.fromkeys([*shard, *ids]), "weight", "data")
+    return rows.repartition(*shard).sortWithinPartitions(*dict.fromkeys([*shard, *ids])).mapInArrow(_refine(shard[0], ids), ", ".join([*(f"{c} long" for c in ids), "runs array<struct<a:int,b:int>>"]))
+
+
+def _refine(shard: str, ids: list[str]):
+    """Strips come sorted by shard; whole shards are sorted together, about ``TEXT`` bytes at a time."""
 
     def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        both = np.stack([rows[c].to_numpy() for c in ("gram", "body")])  # repeated documents send their strips again
+        both = np.stack([rows[c].to_numpy() for c in ids])  # repeated documents send their strips again
         rows = rows.take(pa.array(np.flatnonzero(np.concatenate(([True], (both[:, 1:] != both[:, :-1]).any(0))))))
         strings = rows["data"].to_pylist()
         owner, at = repeated_windows(strings, rows["weight"].to_numpy().astype(np.float64))
-        order = np.lexsort((at, owner))
-        owner, at = owner[order], at[order]
         if not len(owner):
             return
         new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)))
@@ -201,37 +230,43 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.concatenate(([True], who[1:] != who[:-1]))
         offsets = np.concatenate((np.flatnonzero(cut), [len(who)])).astype(np.int32)
         runs = pa.StructArray.from_arrays([pa.array(at[first].astype(np.int32)), pa.array((at[last] + 1).astype(np.int32))], ["a", "b"])
-        picked = rows.select(["gram", "body"]).take(pa.array(who[cut])).combine_chunks()
-        yield pa.RecordBatch.from_arrays([*(picked[c].combine_chunks() if not isinstance(picked[c], pa.Array) else picked[c] for c in ("gram", "body")), pa.ListArray.from_arrays(pa.array(offsets), runs)], ["gram", "body", "runs"])
+        picked = rows.select(ids).take(pa.array(who[cut]))
+        yield pa.RecordBatch.from_arrays([*(pa.array(picked[c].to_numpy()) for c in ids), pa.ListArray.from_arrays(pa.array(offsets), runs)], [*ids, "runs"])
 
     def solved_by_text(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        gram = rows["gram"].to_numpy()
+        key = rows[shard].to_numpy()
         sizes = np.cumsum([len(x) for x in rows["data"].to_pylist()])
-        edges = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         part = sizes[edges] // TEXT
-        cuts = [*edges[np.concatenate(([True], part[1:] != part[:-1]))].tolist(), len(gram)]
+        cuts = [*edges[np.concatenate(([True], part[1:] != part[:-1]))].tolist(), len(key)]
         for a, b in zip(cuts, cuts[1:]):
             yield from solved(rows.slice(a, b - a))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        held_bytes += batch.nbytes
-        if held_bytes >= 8 * TEXT:
-            rows = pa.Table.from_batches(held)
-            gram = rows["gram"].to_numpy()
-            whole = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
-            if whole:
-                yield from solved_by_text(rows.slice(0, whole))
-            rest = rows.slice(whole).combine_chunks()
-            held = rest.to_batches()
-            held_bytes = sum(x.nbytes for x in held)
-    if held:
-        yield from solved_by_text(pa.Table.from_batches(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        held_bytes = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            held_bytes += batch.nbytes
+            if held_bytes >= 8 * TEXT:
+                rows = pa.Table.from_batches(held)
+                key = rows[shard].to_numpy()
+                whole = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+                if whole:
+                    yield from solved_by_text(rows.slice(0, whole))
+                rest = rows.slice(whole).combine_chunks()
+                held = rest.to_batches()
+                held_bytes = sum(x.nbytes for x in held)
+        if held:
+            yield from solved_by_text(pa.Table.from_batches(held))
+
+    return run
 
 
-_SCORES = "k1 long, k2 long, p1 long, p2 long, gram long, body long, weight long, low int, data binary"
+_PIECES = "k1 long, k2 long, p1 long, p2 long, gram long, body long, weight long, anchor int, low int, data binary"
+_PIECES_NAMES = ["k1", "k2", "p1", "p2", "gram", "body", "weight", "anchor", "low", "data"]
 
 
 def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
@@ -239,53 +274,58 @@ def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
     return pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hot strips in pieces of up to ``SCORE`` windows at equal distances from the anchor, under the hash of the bytes that all
-    windows of such a piece have in common."""
-    digest = xxhash.xxh3_128_digest
+def _pieces(width: int):
+    """Cut strips into pieces of up to ``width`` windows at equal distances from the anchor; (k1, k2) is the hash of the bytes
+    that all windows of such a piece have in common, (p1, p2) that of the piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            for part in blocks(batch, "data", max(1 << 14, TEXT * width // 64)):
+                cores, pieces, rows, lows, data = [], [], [], [], []
+                for i, (strip, anchor) in enumerate(zip(column(part, "data").to_pylist(), column(part, "anchor").to_pylist())):
+                    n = len(strip) - LENGTH + 1
+                    for c in range((anchor - n + 1) // width, anchor // width + 1):
+                        high = anchor - width * c
+                        low, high_ = max(0, high - width + 1), min(n - 1, high)
+                        if low > high_:
+                            continue
+                        c = c.to_bytes(2, "little")
+                        cores.append(digest(strip[high : high - width + 1 + LENGTH] + c))
+                        data.append(strip[low : high_ + LENGTH])
+                        pieces.append(digest(data[-1] + c))
+                        rows.append(i)
+                        lows.append(low)
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*_halves(cores), *_halves(pieces), *(column(part, c).take(take) for c in ("gram", "body", "weight", "anchor")), pa.array(lows, pa.int32()), pa.array(data, pa.binary())], _PIECES_NAMES)
+
+    return run
+
+
+def _with_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where in its strip an anchor begins."""
     for batch in batches:
-        cores, pieces, rows, lows, data = [], [], [], [], []
         grams = column(batch, "gram").to_numpy().view(np.uint64)
-        for i, (strip, gram) in enumerate(zip(column(batch, "data").to_pylist(), grams)):
-            n = len(strip) - LENGTH + 1
-            anchor = int(np.flatnonzero(gram_hashes(np.frombuffer(strip, np.uint8)) == gram)[0])
-            for c in range((anchor - n + 1) // SCORE, anchor // SCORE + 1):
-                high = anchor - SCORE * c
-                low, high_ = max(0, high - SCORE + 1), min(n - 1, high)
-                if low > high_:
-                    continue
-                cores.append(digest(strip[high : high - SCORE + 1 + LENGTH] + c.to_bytes(2, "little")))
-                data.append(strip[low : high_ + LENGTH])
-                pieces.append(digest(data[-1]))
-                rows.append(i)
-                lows.append(low)
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([*_halves(cores), *_halves(pieces), *(column(batch, c).take(take) for c in ("gram", "body", "weight")), pa.array(lows, pa.int32()), pa.array(data, pa.binary())], ["k1", "k2", "p1", "p2", "gram", "body", "weight", "low", "data"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single windows of pieces, by the halves of their 128-bit hash."""
-    digest = xxhash.xxh3_128_digest
-    for batch in batches:
-        data = column(batch, "data").to_pylist()
-        n = np.array([len(x) - LENGTH + 1 for x in data], np.int64)
-        rows = np.repeat(np.arange(len(data)), n)
-        at = (np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        take = pa.array(rows)
-        yield pa.RecordBatch.from_arrays([*_halves([digest(x[i : i + LENGTH]) for x, k in zip(data, n.tolist()) for i in range(k)]), *(column(batch, c).take(take) for c in ("p1", "p2", "weight")), pa.array(at)], ["h1", "h2", "p1", "p2", "weight", "at"])
-
-
-def _crowded(strips_of: DataFrame) -> DataFrame:
-    """``(gram, body, weight, data)`` of hot strips -> ``(gram, body, runs)``."""
-    pieces = strips_of.dropDuplicates(["gram", "body"]).mapInArrow(_scores, _SCORES)
-    shared = pieces.groupBy("k1", "k2").agg(F.sum("weight").alias("w")).where("w > 1").select("k1", "k2")
-    pieces = pieces.join(shared, ["k1", "k2"], "left_semi")
-    different = pieces.groupBy("p1", "p2").agg(F.sum("weight").alias("weight"), F.first("data").alias("data"))
-    windows = different.mapInArrow(_windows, "h1 long, h2 long, p1 long, p2 long, weight long, at int")
-    twice = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2")
-    found = windows.join(twice, ["h1", "h2"], "left_semi").groupBy("p1", "p2").agg(F.collect_list("at").alias("ats"))
-    runs = F.transform("ats", lambda a: F.struct((F.col("low") + a).alias("a"), (F.col("low") + a + 1).alias("b")))
-    return pieces.join(found, ["p1", "p2"]).select("gram", "body", runs.alias("runs"))
+        at = [int(np.flatnonzero(gram_hashes(np.frombuffer(d, np.uint8)) == g)[0]) for d, g in zip(column(batch, "data").to_pylist(), grams)]
+        yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("gram", "body", "weight")), pa.array(at, pa.int32()), column(batch, "data")], ["gram", "body", "weight", "anchor", "data"])
+
+
+def _dealt_again(strips_of: DataFrame, kinds: int, widths: tuple[int, ...]) -> DataFrame:
+    """``(gram, body, weight, anchor, data)`` of different strips in crowded shards -> ``(gram, body, runs)``."""
+    shard, piece = ["k1", "k2"], ["p1", "p2"]
+    pieces = strips_of.mapInArrow(_pieces(widths[0]), _PIECES)
+    different = written(pieces.groupBy(*shard, *piece).agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), F.first("data").alias("data"), F.first(F.col("anchor") - F.col("low")).alias("anchor")))
+    shards = written(different.groupBy(*shard).agg(F.count("*").alias("kinds"), F.sum("weight").alias("all")).where("`all` > 1").drop("all"))
+    hot = hot_keys(shards, shard, "kinds")
+    many = shards.where(F.col("kinds") > kinds)
+    plain = spread_join(different, shards.where(F.col("kinds") <= kinds).select(*shard), shard, hot, piece, "left_semi")
+    solved = _refined(plain, shard, piece)
+    if len(widths) > 1 and not many.isEmpty():
+        rest = spread_join(different, many.select(*shard), shard, hot, piece, "left_semi")
+        rest = rest.select(F.col("p1").alias("gram"), F.col("p2").alias("body"), "weight", "anchor", "data")
+        solved = solved.unionByName(_dealt_again(rest, kinds, widths[1:]).select(F.col("gram").alias("p1"), F.col("body").alias("p2"), "runs"))
+    places = spread_join(pieces.select(*piece, "gram", "body", "low"), solved, piece, hot_keys(different, piece), ["gram", "body", "low"])
+    return places.select("gram", "body", F.transform("runs", lambda r: F.struct((F.col("low") + r["a"]).alias("a"), (F.col("low") + r["b"]).alias("b"))).alias("runs"))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -307,40 +347,43 @@ def cut(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row1"), F.xxhash64(F.lit(1), doc_id, text).alias("row2"), text.alias("text"))
 
 
-def repeats(docs: DataFrame, packed: DataFrame, hot: int = HOT) -> DataFrame:
-    """``docs(doc_id, tag, text)`` and the same with packed texts -> ``(of_id, of_tag, ranges)``: for each document with
+def repeats(docs: DataFrame, packed: DataFrame, kinds: int = KINDS) -> DataFrame:
+    """``docs(row1, row2, text)`` and the same with packed texts -> ``(row1, row2, ranges)``: for each document with
     repeats the byte ranges, unmerged."""
-    found = docs.mapInArrow(_anchors, "gram long, body long, doc_id long, tag int, place long")
-    # written, so that the join below has plain exchanges, of which Spark can split skewed ones
-    again = written(found.groupBy("gram").agg(F.count("*").alias("all")).where(F.col("all") > 1).select("gram"))
-    some = written(found.join(again, "gram", "left_semi"))  # mostly a fraction of the strips
-    kinds = some.groupBy("gram", "body").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "tag", "place")).alias("one"))
-    many = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("gram")
+    row, strip = ["row1", "row2"], ["gram", "body"]
+    found = docs.mapInArrow(_anchors, "gram long, body long, row1 long, row2 long, place long")
+    again = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    some = written(spread_join(found, again.select("gram"), ["gram"], hot_keys(again, ["gram"]), ["row1", "place"], "left_semi"))  # mostly a fraction of the strips
+    different = written(some.groupBy(*strip).agg(F.count("*").alias("weight"), F.min(F.struct(*row, "place")).alias("one")))
+    shards = written(different.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > min(kinds, LEAST)))
+    many = shards.where(F.col("kinds") > kinds).select("gram")
 
     def bytes_of(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy(F.col("one.doc_id").alias("one_id"), F.col("one.tag").alias("one_tag")).agg(F.collect_list(F.struct("gram", "body", "weight", F.col("one.place").alias("place"))).alias("wanted"))
-        texts = packed.join(wanted, packed.doc_id.eqNullSafe(F.col("one_id")) & (packed.tag == F.col("one_tag")))
-        return texts.select("packed", "wanted").mapInArrow(_fetch, "gram long, body long, weight long, data binary")
-
-    runs = "gram long, body long, runs array<struct<a:int,b:int>>"
-    plain = bytes_of(kinds.join(many, "gram", "left_anti")).repartition("gram").sortWithinPartitions("gram", "body").mapInArrow(_refine, runs)
-    crowded = _crowded(bytes_of(kinds.join(many, "gram", "left_semi")))
-    solved = plain.unionByName(crowded).select(F.col("gram").alias("g"), F.col("body").alias("b"), "runs")
+        wanted = rows.groupBy(*(F.col("one")[c].alias(c) for c in row)).agg(F.collect_list(F.struct(*strip, "weight", F.col("one.place").alias("place"))).alias("wanted"))
+        return packed.join(wanted, row).select("packed", "wanted").mapInArrow(_fetch, "gram long, body long, weight long, data binary")
+
+    if many.isEmpty():
+        solved = _refined(bytes_of(different), ["gram"], strip)
+    else:
+        hot = hot_keys(shards, ["gram"], "kinds", different.count())
+        part = lambda how: bytes_of(spread_join(different, many, ["gram"], hot, ["body"], how))
+        # repeated rows send a strip's bytes once each
+        crowded = written(part("left_semi").dropDuplicates(strip).mapInArrow(_with_anchor, "gram long, body long, weight long, anchor int, data binary"))
+        solved = _refined(part("left_anti"), ["gram"], strip).unionByName(_dealt_again(crowded, kinds, WIDTHS))
     first = F.shiftright("place", 16).cast("int")
     ranges = F.transform("runs", lambda r: F.struct((first + r["a"]).alias("a"), (first + r["b"] + LENGTH - 1).alias("b")))
-    place = some.join(solved, (F.col("gram") == F.col("g")) & (F.col("body") == F.col("b")))
-    return place.select(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag"), ranges.alias("ranges")).groupBy("of_id", "of_tag").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    place = spread_join(some, solved, strip, hot_keys(different, strip, "weight"), ["row1", "place"])
+    return place.select(*row, ranges.alias("ranges")).groupBy(*row).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def _with_ranges(docs: DataFrame, hot: int) -> DataFrame:
+def _with_ranges(docs: DataFrame, kinds: int) -> DataFrame:
     keyed = _keyed(docs)
-    packed = keyed.mapInArrow(_pack, "doc_id long, tag int, packed binary")
-    found = repeats(keyed, packed, hot)
-    return packed.join(found, packed.doc_id.eqNullSafe(found.of_id) & (packed.tag == found.of_tag), "left").select("doc_id", "packed", "ranges")
+    packed = keyed.mapInArrow(_pack, "doc_id long, row1 long, row2 long, packed binary")
+    return packed.join(repeats(keyed, packed, kinds), ["row1", "row2"], "left").select("doc_id", "packed", "ranges")
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
@@ -349,7 +392,7 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]
         yield unpack(text), merged([(r["a"], r["b"]) for r in ranges or ()])
 
 
-def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, kinds: int = KINDS) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, kept, removed)``: the remaining bytes, and the byte ranges that went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,10 +401,10 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 both = list(_each(part))
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([cut(*x) for x in both], pa.binary()), pa.array([[{"a": a, "b": b} for a, b in r] for _, r in both], _RUNS)], ["doc_id", "kept", "removed"])
 
-    return _with_ranges(docs, hot).mapInArrow(run, "doc_id long, kept binary, removed array<struct<a:int,b:int>>")
+    return _with_ranges(docs, kinds).mapInArrow(run, "doc_id long, kept binary, removed array<struct<a:int,b:int>>")
 
 
-def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def report(docs: DataFrame, kinds: int = KINDS) -> DataFrame:
     """The contract's row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +414,7 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 cols = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_ranges(docs, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_ranges(docs, kinds).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def brute_force(docs: list[tuple[int, str | None]], length: int = LENGTH) -> list[tuple]:

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pixelbrook.llm import bm25, chat, components, decontaminate, pieces, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
+from pixelbrook.llm import bm25, chat, components, decontaminate, pieces, quality, secrets, simhash, spread, suffix_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
@@ -52,13 +52,34 @@ def key(row):
     return tuple((v is None, str(v)) for v in row)
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_suffix_dedup(docs, rows, empty, hot):
-    got = sorted((tuple(r) for r in suffix_dedup.report(docs, hot).collect()), key=key)
+@pytest.mark.parametrize("kinds", [2000, 3, 1])
+def test_suffix_dedup(docs, rows, empty, kinds, monkeypatch):
+    if kinds == 1:  # hot keys among few rows
+        monkeypatch.setattr(spread, "LEAST", 2)
+        monkeypatch.setattr(suffix_dedup, "LEAST", 2)
+    got = sorted((tuple(r) for r in suffix_dedup.report(docs, kinds).collect()), key=key)
     assert got == sorted(suffix_dedup.brute_force(rows), key=key)
     assert any(r[2] for r in got) and suffix_dedup.report(empty).count() == 0
 
 
+def test_suffix_dedup_of_a_passage_in_many_contexts(spark):
+    """The contexts differ close to the passage, so an anchor has over ``KINDS`` different strips, and many windows repeat."""
+    rng = random.Random(12)
+    passage = words(rng, 50)[:230]
+    few = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    rows = [(i, few(90) + passage + few(90)) for i in range(suffix_dedup.KINDS + 1500)]
+    got = suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(suffix_dedup.brute_force(rows))
+
+
+def test_suffix_dedup_tells_rows_without_ids_apart(spark):
+    rng = random.Random(13)
+    rows = [(None, "%0200x" % rng.getrandbits(800) + "tail") for _ in range(70_000)]
+    rows += [(None, r[1] + "more") for r in rows[:200]]
+    got = Counter(map(tuple, suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == Counter(suffix_dedup.brute_force(rows))
+
+
 def test_suffix_dedup_keeps_bytes(docs, rows):
     for r in suffix_dedup.dedup(docs).collect():
         assert len(r.kept) + sum(x.b - x.a for x in r.removed) in {len((t or "").encode()) for i, t in rows if i == r.doc_id}
