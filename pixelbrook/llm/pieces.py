@@ -4,7 +4,9 @@ The lattice of a text has an edge for each piece of a SentencePiece model that o
 edge of its UTF-8 bytes' pieces). A piece's weight is Zipf's: p ~ 1 / (1 + r) for the r-th piece by score, raised to
 ``theta``. No piece continues a word over a space, and none has a line end, so the lattice falls into units (spaces and the word after them, or a line end
 and what follows it): edges and
-the backward sums of units are computed once each, all new units of a block of documents side by side.
+the backward sums of units are computed once each, all new units of a block of documents side by side. A long unit (a text without
+spaces) falls apart further where no piece goes over a place; what still holds together over more than ``TALL`` characters is
+summed place by place, and its paths follow edges drawn for all its places at once, so time and memory grow with its length.
 
 Search. A text's whole lattice is the first region of the queue; its perturbed bound is a Gumbel draw. The best region is
 taken, its best path drawn downwards edge by edge, and at each node the edges not taken stay as a new region, whose bound
@@ -13,12 +15,13 @@ the best, which draws from the same distribution). So each taken path is the nex
 perturbed scores, paths are distinct, and no path is ever weighed twice. The bound left in the queue after k paths is the
 threshold from which each path's inclusion score follows: log(1 - exp(-exp(score - threshold))), 0 if nothing is left.
 
-Every draw is a hash of seed, row key, sample and place, so results don't depend on how rows are dealt out (scores are
-rounded to 9 decimals, as sums over a block end in differing last digits). ``decode``
-gives back the text exactly (a literal U+2581 goes as bytes).
+Every draw is a hash of seed, row key, sample and place, and is held against the chances of that place alone, so results don't
+depend on how rows are dealt out (scores are rounded to 9 decimals, as sums over a block end in differing last digits).
+``decode`` gives back the text exactly (a literal U+2581 goes as bytes).
 
 Defined results: null and empty texts have one segmentation without pieces; a text with fewer than k segmentations has them
-all; repeated rows repeat their samples; rows without doc_id are keyed by their text; other columns are ignored.
+all; repeated rows repeat their samples; rows without doc_id are keyed by their text; texts are segmented whole whatever
+their length; other columns are ignored. ``ids`` are packed, 4 bytes each (little-endian); ``unpacked`` gives them as arrays.
 """
 
 from __future__ import annotations
@@ -40,11 +43,13 @@ from .arrow import blocks, column
 #: A SentencePiece model file, by default that of the public tokenizers' package.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, THETA, SEED = 3, 1.0, 42
-SPACE, ESCAPED = "▁", "\ud800"  # no UTF-8 text has the latter, which stands for a literal U+2581
+SPACE, ESCAPED, GOES_ON = "▁", "\ud800", "\ud801"  # no UTF-8 text has the latter: a literal U+2581, and a part of a unit
 _UNIT = re.compile(f"\n[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _BLOCK = 1 << 18
 #: Places that a worker's lattice grows to, and nodes from a branching on whose regions are kept apart at once.
 PLACES, HEAD = 1_200_000, 96
+#: Characters from which a unit is looked at for places where it falls apart, and those summed and drawn side by side.
+LONG, TALL = 64, 256
 _SLOTS = 20
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _vocabularies: dict[tuple[str, float], Vocabulary] = {}
@@ -133,11 +138,32 @@ class Vocabulary:
                 break
         return out, known
 
+    def apart(self, unit: str) -> list[str]:
+        """The parts of a unit between places that no piece goes over."""
+        text = whole(unit)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes)
+        reach = np.arange(1, n + 1)
+        for a in range(0, n, _BLOCK):
+            here, h = np.arange(a, min(a + _BLOCK, n)), np.zeros(min(_BLOCK, n - a), np.uint64)
+            for k in range(self.longest):
+                ok = here + k < n
+                here, h = here[ok], h[ok]
+                if not len(here):
+                    break
+                h = self.grown(h, codes[here + k])
+                ids, known = self.find(h)
+                reach[here[ids < len(self.pieces)]] = here[ids < len(self.pieces)] + k + 1
+                here, h = here[known], h[known]
+        reach = np.maximum.accumulate(reach)
+        cuts = [0, *(np.flatnonzero(reach[:-1] <= np.arange(1, n)) + 1).tolist(), n]
+        parts = [GOES_ON + text[a:b] for a, b in zip(cuts, cuts[1:])]
+        return [parts[0][2 if text[0] == SPACE else 1 :], *parts[1:]]
+
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text, without the space that encoding puts first."""
         return b"".join(map(self.spelling.__getitem__, ids))[1:]
 
-
     def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all these pieces one after the other, and how many there are before each and after the last."""
         size = self.sizes[ids]
@@ -165,7 +191,16 @@ def units(text: str) -> list[str]:
 
 
 def whole(unit: str) -> str:
-    return unit if unit[:1] == "\n" else SPACE + unit
+    first = unit[:1]
+    return unit if first == "\n" else unit[1:] if first == GOES_ON else SPACE + unit
+
+
+def in_parts(text: str, vocab: Vocabulary) -> list[str]:
+    """The text's units, long ones in parts."""
+    out = units(text)
+    if len(text) > LONG and max(map(len, out)) > LONG:
+        return [p for u in out for p in (vocab.apart(u) if len(u) > LONG else (u,))]
+    return out
 
 
 class Starts(dict):
@@ -196,10 +231,11 @@ class Lattice:
         self.starts = Starts()
         self.n_places = self.n_edges = 0
         self.room = places, 4 * places
+        self.tall: dict[int, np.ndarray] = {}  # all places of a tall unit, by its first
         self.log, self.others = np.empty(self.room[1]), np.empty(self.room[1])
         self.at, self.go, self.piece = np.empty(self.room[1], np.int64), np.empty(self.room[1], np.int64), np.empty(self.room[1], np.int32)
         self.offset, self.best, self.first = np.empty(places, np.int64), np.empty(places, np.int64), np.zeros(places + 1, np.int64)
-        self.codes, self.best_chance, self.base, self.mass = np.empty(places, np.uint32), np.empty(places), np.empty(places), 0.0
+        self.codes, self.best_chance = np.empty(places, np.uint32), np.empty(places)
 
     def begin(self, units_of: list[list[str]]) -> np.ndarray:
         """The first place of each unit of these texts; new units are added."""
@@ -269,7 +305,7 @@ class Lattice:
             ids[first[ascii_]] = vocab.byte_ids[codes[ascii_].astype(np.int64)]
         back = np.zeros(n + 1)
         levels = np.concatenate(([0], np.cumsum(np.bincount(left)[1:])))
-        for a, b in zip(levels[:-1].tolist(), levels[1:].tolist()):
+        for a, b in zip(levels[:-1].tolist()[:TALL], levels[1:].tolist()):
             if a == b:
                 continue
             s, t = int(first[a]), int(first[b])
@@ -280,18 +316,19 @@ class Lattice:
             total = np.log(np.add.reduceat(np.exp(w), cuts))
             back[a:b] = most + total
             weight[s:t] = w - total[owner]
-        # each place's likeliest edge is tried first; the others, by cumulated chance, are looked up in one sorted array
+        if len(levels) > TALL + 1:
+            self._tall(int(levels[TALL]), first, go, weight, back)
+            for u in np.flatnonzero(sizes > TALL).tolist():
+                mine = place[start[u] : start[u] + sizes[u]] + p0
+                self.tall[int(mine[0])] = mine
+        # each place's likeliest edge is tried first, then the others in order
         chance = np.exp(weight)
         best_chance = np.maximum.reduceat(chance, first[:-1])
         top = np.flatnonzero(chance == best_chance[at])[::-1]
         best = np.empty(n, np.int64)
         best[at[top]] = top
-        others = chance.copy()
+        others = chance
         others[best] = 0.0
-        others = np.cumsum(others)
-        others += self.mass
-        self.base[p0 : p0 + n] = np.concatenate(([self.mass], others[first[1:-1] - 1]))
-        self.mass = float(others[-1])
         go[go == n] = self.END - p0
         go += p0
         edges, places = slice(e0, e0 + m), slice(p0, p0 + n)
@@ -301,14 +338,41 @@ class Lattice:
         self.n_places, self.n_edges = p0 + n, e0 + m
         return place[start] + p0
 
+    @staticmethod
+    def _tall(begin: int, first: np.ndarray, go: np.ndarray, weight: np.ndarray, back: np.ndarray) -> None:
+        """Backward sums of the places from ``begin`` on, one after the other; ``weight`` becomes log chances."""
+        s0 = int(first[begin])
+        ends, to, w, sums = (first[begin:] - s0).tolist(), go[s0:].tolist(), weight[s0:].tolist(), back.tolist()
+        log, exp = math.log, math.exp
+        for i in range(len(ends) - 1):
+            s, t = ends[i], ends[i + 1]
+            if t == s + 1:
+                sums[begin + i] = w[s] + sums[to[s]]
+                w[s] = 0.0
+                continue
+            here = [w[e] + sums[to[e]] for e in range(s, t)]
+            most = max(here)
+            total = most + log(sum([exp(x - most) for x in here]))
+            sums[begin + i] = total
+            w[s:t] = [x - total for x in here]
+        weight[s0:] = w
+
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         most = self.best_chance[at]
         edge = self.best[at]
         miss = np.flatnonzero(u >= most)
         if len(miss):
             a = at[miss]
-            last = self.others[self.first[a + 1] - 1]
-            edge[miss] = np.searchsorted(self.others[: self.n_edges], np.minimum(self.base[a] + np.maximum(u[miss] - most[miss], 1e-9), last))
+            begin = self.first[a]
+            n = self.first[a + 1] - begin
+            k = np.arange(n.max())
+            chance = self.others[np.minimum(begin[:, None] + k, self.n_edges - 1)]
+            chance[k >= n[:, None]] = 0.0
+            cdf = np.cumsum(chance, axis=1)
+            # rounding may leave a draw above all of them, or at an end of an edge without chance
+            x = np.minimum(np.maximum(u[miss] - most[miss], 1e-300), cdf[:, -1])
+            other = begin + (cdf < x[:, None]).sum(1)
+            edge[miss] = np.where(cdf[:, -1] > 0, other, edge[miss])
         return edge
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
@@ -317,12 +381,20 @@ class Lattice:
         odd = np.flatnonzero(out == len(self.vocab.pieces))
         if not len(odd):
             return out
-        parts, done = [], 0
-        for i in odd.tolist():
-            c = chr(int(self.codes[self.at[edges[i]]]))
-            parts += [out[done:i], np.array([self.vocab.bytes[b] for b in (SPACE if c == ESCAPED else c).encode()], np.int32)]
-            done = i + 1
-        return np.concatenate([*parts, out[done:]])
+        c = self.codes[self.at[edges[odd]]].astype(np.int64)
+        c[c == ord(ESCAPED)] = ord(SPACE)
+        more = (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
+        size = np.ones(len(out), np.int64)
+        size[odd] += more
+        begin = np.cumsum(size) - size
+        full = np.empty(int(size.sum()), out.dtype)
+        full[begin] = out
+        begin = begin[odd]
+        full[begin] = self.vocab.byte_ids[np.where(more == 0, c, np.array([0, 0xC0, 0xE0, 0xF0])[more] | c >> 6 * more)]
+        for k in (1, 2, 3):
+            has = np.flatnonzero(more >= k)
+            full[begin[has] + k] = self.vocab.byte_ids[0x80 | c[has] >> 6 * (more[has] - k) & 0x3F]
+        return full
 
 
 class Path:
@@ -350,7 +422,7 @@ class Path:
 
 def sampled(texts: list[str | None], keys: np.ndarray, lattice: Lattice, k: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its samples in order: (ids, score, inclusion score)."""
-    split = [units(t) if t else [] for t in texts]
+    split = [in_parts(t, lattice.vocab) if t else [] for t in texts]
     word_start = lattice.begin(split)
     sizes = np.array([len(s) for s in split], np.int64)
     n_docs, out = len(texts), [[] for _ in texts]
@@ -372,20 +444,33 @@ def sampled(texts: list[str | None], keys: np.ndarray, lattice: Lattice, k: int
     def downwards(word: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Draw from each place to its unit's end: (word, edge)."""
         # words come in order; the n-th round draws the n-th edge of those that aren't at their end
-        words, edges, here, begin = [], [], np.arange(len(word)), word
-        while len(word):
+        drawn_: list[tuple] = []
+        here, begin = np.arange(len(word)), word
+        while len(word) and len(drawn_) < TALL:
             edge = lattice.draw(at, drawn(word, at, 2 * t))
-            words.append(here)
-            edges.append(edge)
+            drawn_.append((here, len(drawn_), edge))
             at = lattice.go[edge]
             rest = np.flatnonzero(at < lattice.END)
             word, at, here = word[rest], at[rest], here[rest]
-        if not edges:
+        for w, a, i in zip(word.tolist(), at.tolist(), here.tolist()):
+            # a tall unit: an edge for each of its places, then those that follow each other
+            places = lattice.tall[int(word_start[w])][int(lattice.offset[a]) :]
+            edges = lattice.draw(places, drawn(np.full(len(places), w), places, 2 * t))
+            to = lattice.go[edges]
+            on = to < lattice.END
+            to[on] = lattice.offset[to[on]] - lattice.offset[a]
+            to[~on] = len(places)
+            to, x, path_of = to.tolist(), 0, []
+            while x < len(to):
+                path_of.append(x)
+                x = to[x]
+            drawn_.append((np.full(len(path_of), i), TALL + np.arange(len(path_of)), edges[path_of]))
+        if not drawn_:
             return (np.zeros(0, np.int64),) * 2
-        count = np.bincount(np.concatenate(words), minlength=len(begin))
+        count = np.bincount(np.concatenate([h for h, _, _ in drawn_]), minlength=len(begin))
         place = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
-        for n, (h, e) in enumerate(zip(words, edges)):
+        for h, n, e in drawn_:
             out[place[h] + n] = e
         return np.repeat(begin, count), out
 
@@ -535,9 +620,9 @@ def row_keys(doc_ids: list[int | None], texts: list[str | None]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(i) if i is not None else "\0" + (t or ""), SEED) for i, t in zip(doc_ids, texts)], np.uint64)
 
 
-def samples(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, seed: int = SEED, path: str = MODEL, ids: bool = True) -> DataFrame:
+def samples(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, seed: int = SEED, path: str = MODEL) -> DataFrame:
     """``docs(doc_id, text)`` -> a row for each sample: ``(doc_id, sample, n_pieces, score, log_inclusion, ids_sha256,
-    round_trip)`` and, if asked for, ``ids``."""
+    round_trip, ids)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, theta)
@@ -555,17 +640,15 @@ def samples(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, seed: int =
                     want = (" " + t).encode() if t else b""
                     for j, (x, score, inclusion) in enumerate(f):
                         a, b = int(ends[s]), int(ends[s + 1])
-                        rows.append((i, j, b - a, round(score, 9), round(inclusion, 9), hashlib.sha256(raw[4 * a : 4 * b]).hexdigest(), spelt[before[a] : before[b]] == want, x if ids else None))
+                        rows.append((i, j, b - a, round(score, 9), round(inclusion, 9), hashlib.sha256(raw[4 * a : 4 * b]).hexdigest(), spelt[before[a] : before[b]] == want))
                         s += 1
-                cols = list(zip(*rows)) or [()] * 8
+                cols = list(zip(*rows)) or [()] * 7
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
                 arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds)]
-                names = ["doc_id", "sample", "n_pieces", "score", "log_inclusion", "ids_sha256", "round_trip"]
-                if ids:
-                    arrays, names = [*arrays, pa.array(cols[7], pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([*arrays, packed], ["doc_id", "sample", "n_pieces", "score", "log_inclusion", "ids_sha256", "round_trip", "ids"])
 
-    schema = "doc_id long, sample int, n_pieces long, score double, log_inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids
+    schema = "doc_id long, sample int, n_pieces long, score double, log_inclusion double, ids_sha256 string, round_trip boolean, ids binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -573,15 +656,27 @@ def report(docs: DataFrame, k: int = SAMPLES) -> DataFrame:
     return samples(docs, k)
 
 
-def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
-    """``rows(ids, ...)`` with the ids' ``text`` added."""
+def unpacked(rows: DataFrame) -> DataFrame:
+    """``rows(ids, ...)`` with ``ids`` as arrays of integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([None if x is None else np.frombuffer(x, "<i4") for x in column(batch, "ids").to_pylist()], pa.list_(pa.int32()))
+            k = batch.schema.get_field_index("ids")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], ids, *batch.columns[k + 1 :]], batch.schema.names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in rows.schema))
+
+
+def decoded(rows: DataFrame, path: str = MODEL, name: str = "text") -> DataFrame:
+    """``rows(ids, ...)`` with the ids' text added as column ``name``, which is an error if there is one already."""
+    if name in rows.columns:
+        raise ValueError(f"there is a column {name} already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, THETA)
         for batch in batches:
-            texts = pa.array([None if x is None else vocab.decode(x).decode("utf-8", "replace") for x in column(batch, "ids").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "text"])
+            texts = pa.array([None if x is None else vocab.decode(np.frombuffer(x, "<i4").tolist()).decode("utf-8", "replace") for x in column(batch, "ids").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, name])
 
-    names = [c for c in rows.columns if c != "text"]
-    rows = rows.select(*[f"`{c}`" for c in names])
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "text string"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{name}` string"]))

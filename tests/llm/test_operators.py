@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -410,6 +411,31 @@ def test_pieces_follow_the_lattice(text):
     assert len(pieces.sampled([text], np.zeros(1, np.uint64), lattice, 500)[0]) == len(full)
 
 
+@pytest.mark.parametrize("long", [16, 1])
+def test_pieces_of_long_units(monkeypatch, long):
+    """Units in parts and tall units follow the same lattice, and a long text without spaces takes seconds."""
+    monkeypatch.setattr(pieces, "LONG", 1)
+    monkeypatch.setattr(pieces, "TALL", long)
+    vocab = pieces.vocabulary(theta=0.3)
+    for text in ("abab", "中a的b", "ab中\ncd"):
+        full = every_segmentation(text, vocab)
+        n = 4000
+        drawn = pieces.sampled([text] * n, np.arange(n, dtype=np.uint64) * np.uint64(7919), pieces.Lattice(vocab), 2)
+        first = Counter(tuple(s[0][0].tolist()) for s in drawn)
+        assert all(abs(full[tuple(ids.tolist())] - score) < 1e-9 for s in drawn[:100] for ids, score, _ in s)
+        for a, w in full.items():
+            p = math.exp(w)
+            assert abs(first[a] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+    monkeypatch.setattr(pieces, "LONG", 64)
+    monkeypatch.setattr(pieces, "TALL", 256)
+    rng = random.Random(3)
+    for text in ("ab" * 50_000, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(100_000)), "".join(rng.choice("abcdefABCDEF0123456789+/") for _ in range(100_000))):
+        began = time.process_time()
+        (got,) = pieces.sampled([text], np.ones(1, np.uint64), pieces.Lattice(vocab), 3)
+        assert time.process_time() - began < 10 and len(got) == (3 if text[0] < "一" else 1)
+        assert all(vocab.decode(ids.tolist()) == text.encode() for ids, _, _ in got)
+
+
 def test_pieces_on_tables(docs, rows, empty):
     got = pieces.samples(docs, 3).collect()
     assert all(r.round_trip for r in got)
@@ -418,5 +444,6 @@ def test_pieces_on_tables(docs, rows, empty):
     again = pieces.samples(docs.repartition(5), 3).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert pieces.report(empty).count() == 0
+    assert all(len(r.ids) == r.n_pieces and hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() == r.ids_sha256 for r in pieces.unpacked(pieces.samples(docs, 3)).collect())
     back = pieces.decoded(pieces.samples(docs, 1)).select("doc_id", "text").collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t in rows)
