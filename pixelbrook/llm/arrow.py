@@ -50,6 +50,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    k, out = 0, name
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
 def read(spark, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df

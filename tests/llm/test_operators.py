@@ -313,8 +313,8 @@ def test_toxicity_and_quality_learn(spark):
         assert sum(r.predicted == truth[r.doc_id] for r in test) / len(test) > 0.95
         none = report(docs, lab.limit(0)).collect()
         assert len(none) == len(data) and report(docs.limit(0), lab).count() == 0
-    names = toxicity.reject(docs, lab).columns
-    assert names == docs.columns
+    kept = toxicity.reject(docs, lab)
+    assert kept.columns == docs.columns and kept.where("not (score = 1 and label = 1 and toxicity = 1)").count() == 0 < kept.count()
 
 
 def test_grammar_scores_clauses():
@@ -322,15 +322,57 @@ def test_grammar_scores_clauses():
     s = lambda t: g.read(t)[0]
     assert s("you idiot") > s("an idiot") > s("not an idiot") > s("nothing here") == g.base == s(None) == s("")
     assert s("he said: fine. an idiot") == s("an idiot") > s("he said an idiot")
-    assert s("kill the lights") < s("i will kill you") or s("kill the lights") < s("you i will kill")
-    step, factor = toxicity.compose()
-    assert all(0 <= x < len(step) for row in step for x in row) and len(step) == len(factor)
+    high = ("you idiot", "you are such an idiot", "idiots like you", "he is not nice, idiot", "i will kill you", "you i will kill", "we kill all of them")
+    low = ("idiot", "an idiot, he said", "you are not an idiot", "he said you are an idiot", "kill the lights", "kill me", "i will not kill you", "i hurt my knee", "i hurt my knee and they hurt too", "they hurt")
+    assert min(map(s, high)) >= toxicity.THRESHOLD > max(map(s, low))
+    assert g.read("You idiot! Fine, all of you.\n")[1:] == (5, 1)
+
+
+def test_composed_machines():
+    """On random sentences, the products' factors are those of the ten machines run one by one over whole sides."""
+    rng = random.Random(4)
+    g = toxicity.Grammar()
+    names = {toxicity.OTHER: "x", toxicity.INSULT: "idiot", toxicity.THREAT: "kill", toxicity.TARGET: "you", toxicity.SELF: "i", toxicity.COPULA: "are", toxicity.NEGATION: "not", toxicity.REPORT: "said", toxicity.COMMA: ","}
+    near = lambda side, symbol, reach, keeps, stops: next((True for k, c in enumerate(side) if c == symbol and not set(side[:k]) & set(stops) and sum(x not in keeps for x in side[:k]) < reach), False)
+    T = toxicity
+    for _ in range(3000):
+        symbols = [rng.choice(list(names)) for _ in range(rng.randint(1, 12))]
+        found = dict(g.sentence([names[c] for c in symbols], symbols))
+        words = [k for k, c in enumerate(symbols) if c != T.COMMA]
+        want = {}
+        for k, i in enumerate(words):
+            if symbols[i] not in (T.INSULT, T.THREAT):
+                continue
+            left, right = symbols[:i][::-1], symbols[i + 1 :]
+            sides = []
+            for machines, side in ((T.LEFT, symbols[:i]), (T.RIGHT, symbols[:i:-1])):
+                state = list(T.START)
+                for c in side:
+                    state = [f(x, c) for f, x in zip(machines, state)]
+                sides.append(tuple(state))
+            e = g.evidence[names[symbols[i]]] * T.factor(symbols[i], *sides)
+            want[k] = e
+            # and what the rules mean, in words
+            aimed = near(left, T.TARGET, 3, (T.COPULA, T.INSULT), (T.COMMA, T.REPORT)) or near(right, T.TARGET, 2, (T.COPULA, T.INSULT), (T.COMMA, T.REPORT))
+            called = (not left or left[0] == T.COMMA) and (not right or right[0] == T.COMMA) and bool(left or right)
+            if symbols[i] == T.INSULT:
+                base = T.AIMED if aimed else T.CALLED if called else T.BARE
+            else:
+                clause = left[: left.index(T.COMMA)] if T.COMMA in left else left
+                named = T.TARGET in clause and T.SELF in clause[: clause.index(T.TARGET)]
+                base = T.AIMED_THREAT if near(right, T.TARGET, 3, (), (T.COMMA, T.SELF)) or named else T.UNAIMED_THREAT
+            odd = sides[0][3] > 0
+            assert odd <= near(left, T.NEGATION, 3, (), (T.COMMA,))
+            base *= T.NEGATED if odd or near(right, T.NEGATION, 2, (), (T.COMMA,)) else 1
+            base *= T.REPORTED if T.REPORT in symbols[:i] + right else 1
+            assert math.isclose(e, 2.0 * base), symbols
+        assert found.keys() == want.keys() and all(math.isclose(found[k], want[k]) for k in want)
 
 
 def test_toxicity_of_long_texts():
     """A stray word makes no long text toxic; many of them, or a passage of abuse, do, with or without punctuation."""
     rng = random.Random(8)
-    g = toxicity.Grammar({"blargo": 4.6, "snerg": 1.4}, {"wumpf": 1.4})
+    g = toxicity.Grammar({"blargo": 9.2, "snerg": 2.8}, {"wumpf": 2.8})
     toxic = lambda w: g.read(" ".join(w))[0] >= toxicity.THRESHOLD
     for n in (1000, 5000, 20_000):
         clean = words(rng, n).split()
