@@ -39,7 +39,7 @@ from .spread import LEAST, hot_keys, spread_join
 
 LENGTH, GRAM = 200, 32
 #: Most different strips (or pieces) of a shard; beyond it the shard is dealt out again by more of the bytes.
-KINDS = 2000
+KINDS = 512
 #: Windows of a piece of a strip, at the first and the second dealing.
 WIDTHS = (16, 1)
 #: Suffixes that are refined together, and how few of them wait for the next ones.
@@ -116,17 +116,19 @@ def repeated_windows(strings: list[bytes], weights: np.ndarray, length: int = LE
     short = np.flatnonzero(left < 8)
     beyond = (8 * (8 - left[short])).astype(np.uint64)
     word[short] = (word[short] >> beyond) << beyond
-    need = np.minimum(left, length)  # no more bytes of a suffix matter to any window
+    need = np.minimum(left, length).astype(np.int32)  # no more bytes of a suffix matter to any window
+    # the windows of a string that occurs again do so too; a bucket of nothing else is left as it is
+    again = weights[owner] > 1
+    asks = (left >= length) & ~again
     # the end of a string is the suffix n: before all others, and nothing follows that could tell two of them apart
-    pointer, depth = np.zeros(n + 1, np.int64), np.full(n + 1, 8, np.int64)
+    pointer, depth = np.zeros(n + 1, np.int64), np.full(n + 1, 8, np.int32)
     depth[n] = length
 
     def settle(positions: np.ndarray, keys: np.ndarray, deep: np.ndarray, old: np.ndarray | None) -> np.ndarray:
         """Give buckets of equal keys their pointers and depths; what is to be refined further, in order."""
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, positions = keys[order], positions[order]
-        new = np.concatenate(([True], keys[1:] != keys[:-1]))
-        first = np.flatnonzero(new)
+        first = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
         count = np.diff(np.concatenate((first, [len(keys)])))
         place = first + 1
         if old is not None:  # places inside the bucket that is refined
@@ -134,9 +136,16 @@ def repeated_windows(strings: list[bytes], weights: np.ndarray, length: int = LE
             outer = np.flatnonzero(np.concatenate(([True], old[1:] != old[:-1])))
             place = old + first - np.repeat(first[outer], np.diff(np.concatenate((outer, [len(first)]))))
         pointer[positions] = np.repeat(place, count)
-        depth[positions] = reached = np.repeat(np.minimum.reduceat(deep[order], first), count)
-        open_ = (reached < need[positions]) & np.repeat(count > 1, count)
-        positions, run = positions[open_], np.repeat(np.arange(len(first)), count)[open_]
+        some = np.flatnonzero(count > 1)  # nobody else meets a suffix that is alone in its bucket
+        if not len(some):
+            return positions[:0]
+        inside = np.repeat(count > 1, count)
+        positions, deep, count = positions[inside], deep[order[inside]], count[some]
+        first = np.cumsum(count) - count
+        run = np.repeat(np.arange(len(first)), count)
+        depth[positions] = reached = np.minimum.reduceat(deep, first)[run]
+        open_ = (reached < need[positions]) & np.logical_or.reduceat(asks[positions], first)[run]
+        positions, run = positions[open_], run[open_]
         return positions[np.bincount(run, minlength=len(first))[run] > 1]
 
     rest = settle(np.arange(n), word, depth[:n], None)
@@ -151,16 +160,16 @@ def repeated_windows(strings: list[bytes], weights: np.ndarray, length: int = LE
             held = settle(held, (pointer[held] << 32) | pointer[on], d + depth[on], pointer[held])
     # equal windows are neighbours now; a bucket may know more than a window's bytes, so neighbours are compared
     here = np.flatnonzero(left >= length)
-    here = here[np.argsort(pointer[here], kind="stable")]
+    here = here[np.argsort(pointer[here])]
     if not len(here):
         return here, here
-    alive = np.arange(len(here) - 1)
+    same = np.concatenate(([False], pointer[here[1:]] == pointer[here[:-1]]))
+    alive = np.flatnonzero(~same[1:])
     for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
         alive = alive[word[here[alive] + k] == word[here[alive + 1] + k]]
-    same = np.zeros(len(here), bool)
     same[alive + 1] = True
     run = np.cumsum(~same) - 1
-    some = np.sort(here[np.bincount(run, weights[owner[here]])[run] > 1])
+    some = np.sort(here[again[here] | (np.bincount(run)[run] > 1)])
     return owner[some], some - begin[owner[some]]
 
 
