@@ -4,10 +4,12 @@ A window is 13 consecutive words of an item, or all words of a shorter item. Wor
 vocabulary; a document's runs of known words are hashed window by window, looked up, and a hit is verified word by word.
 
 The set is broadcast only up to ``SET_BYTES`` of benchmark text. A larger benchmark is dealt into parts of at most that
-size, which are scanned one after the other; each pass carries the hits so far with the documents through a checkpoint.
+size, for which the documents are read one part after the other; only hits are written, and joined to the documents at the
+end, by two 64-bit hashes of id and text.
 
-Defined results: null or wordless documents have no words and no hits; a null item text has no window; items of equal
-text all count; repeated rows each get a row; other columns are ignored by ``scan`` and kept by ``remove``.
+Defined results: null or wordless documents have no words and no hits; a null item text has no window; a null item_id counts as
+an item named by the empty text; items of equal text all count; repeated rows each get a row; texts are scanned whole; other
+columns are ignored by ``report`` and keep their values in ``scan`` and ``remove``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import blocks, utf8
-from .components import checkpointed
+from .arrow import blocks, column, unused, utf8
+from .components import written
 
 WINDOW = 13
 #: Most bytes of benchmark text whose windows are broadcast at once.
@@ -34,7 +36,8 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-HITS = "n_words long, hit array<struct<start:int,stop:int>>, items array<string>"
+_HIT, _ITEMS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string())
+NAMES = ("n_words", "hit", "items")
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -90,47 +93,68 @@ def leaked(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and SHARE * n_hit >= n_words
 
 
-def _scan_batches(shared, carried: bool, cut: bool = False):
-    """Hits of one set; ``carried``: added to those of earlier sets; ``cut``: hit words are cut from texts that aren't leaked
-    as a whole."""
+def _found(windows: WindowSet, seqs: list[list[bytes]]) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+    """Merged hits and items of each sequence of words."""
+    get = windows.ids.get
+    sizes = np.array([len(s) for s in seqs], np.int64)
+    ends = np.cumsum(sizes + 1)
+    ids = np.full(int(ends[-1]), -1, np.int32)  # a stop after each document
+    starts = ends - sizes - 1
+    for a, s in zip(starts.tolist(), seqs):
+        ids[a : a + len(s)] = [get(w, -1) for w in s]
+    hit: list[list[tuple[int, int]]] = [[] for _ in seqs]
+    items: list[set[str]] = [set() for _ in seqs]
+    for at, n, found in windows.find(ids):
+        k = int(np.searchsorted(ends, at, side="right"))
+        hit[k].append((at - int(starts[k]), at - int(starts[k]) + n))
+        items[k].update(found)
+    return [merged(h) for h in hit], items
+
+
+def _hits(hit: list[list[tuple[int, int]]], items: list[set[str]]) -> tuple[pa.Array, pa.Array]:
+    return pa.array([[{"start": a, "stop": b} for a, b in h] for h in hit], _HIT), pa.array([sorted(x) for x in items], _ITEMS)
+
+
+def _scan_batches(shared, names: tuple[str, str, str], cut: bool):
+    """Adds the hits of a set, or, without one, those that come with the rows (columns ``names[1:]``); with ``cut``, hit words are
+    cut from texts that aren't leaked as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: WindowSet = shared.value
-        get = windows.ids.get
         for batch in batches:
             for part in blocks(batch):
                 seqs = [words(t) for t in utf8(part)]
-                sizes = np.array([len(s) for s in seqs], np.int64)
-                ends = np.cumsum(sizes + 1)
-                ids = np.full(int(ends[-1]), -1, np.int32)  # a stop after each document
-                starts = ends - sizes - 1
-                for a, s in zip(starts.tolist(), seqs):
-                    ids[a : a + len(s)] = [get(w, -1) for w in s]
-                hit: list[list[tuple[int, int]]] = [[] for _ in seqs]
-                items: list[set[str]] = [set() for _ in seqs]
-                if carried:
-                    hit = [[(x["start"], x["stop"]) for x in v] for v in part.column("hit").to_pylist()]
-                    items = [set(v) for v in part.column("items").to_pylist()]
-                for at, n, found in windows.find(ids):
-                    k = int(np.searchsorted(ends, at, side="right"))
-                    hit[k].append((at - int(starts[k]), at - int(starts[k]) + n))
-                    items[k].update(found)
-                hit = [merged(h) for h in hit]
-                out = {c: part.column(c) for c in part.schema.names if c not in ("n_words", "hit", "items")}
+                if shared is not None:
+                    hit, items = _found(shared.value, seqs)
+                else:
+                    hit = [merged([(x["start"], x["stop"]) for x in v or ()]) for v in column(part, names[1]).to_pylist()]
+                    items = [set(v or ()) for v in column(part, names[2]).to_pylist()]
+                out = {c: column(part, c) for c in part.schema.names if c not in names}
                 if cut and any(hit):
-                    texts = part.column("text").to_pylist()
+                    texts = out["text"].to_pylist()
                     for k, h in enumerate(hit):
                         if h and not leaked(sum(b - a for a, b in h), len(seqs[k])):
                             texts[k] = cut_spans(texts[k], h)
                     out["text"] = pa.array(texts, part.schema.field("text").type)
-                out["n_words"] = pa.array(sizes)
-                out["hit"] = pa.array([[{"start": a, "stop": b} for a, b in h] for h in hit], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-                out["items"] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+                out[names[0]] = pa.array([len(s) for s in seqs], pa.int64())
+                out[names[1]], out[names[2]] = _hits(hit, items)
                 yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
+def _only_hits(shared):
+    """``(row1, row2, text)`` -> ``(row1, row2, hit, items)`` of rows with hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch):
+                hit, items = _found(shared.value, [words(t) for t in utf8(part)])
+                some = pa.array([k for k, h in enumerate(hit) if h], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(x.take(some) for x in (column(part, "row1"), column(part, "row2"), *_hits(hit, items)))], ["row1", "row2", "hit", "items"])
+
+    return run
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -141,40 +165,51 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_parts(benchmark: DataFrame, most: int = SET_BYTES) -> Iterator[tuple[bool, list[tuple[str, bytes | None]]]]:
-    """The items in parts of about ``most`` bytes, one at a time on the driver, and whether a part is the last."""
+def benchmark_parts(benchmark: DataFrame, most: int = SET_BYTES) -> Iterator[tuple[int, list[tuple[str, bytes | None]]]]:
+    """The number of parts, and the items in parts of about ``most`` bytes, one at a time on the driver."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").cast("binary").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // most)) if total > most else 1
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield k == n - 1, [(r.item if r.item is not None else "", bytes(r.text)) for r in part.collect()]
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, most: int = SET_BYTES, cut: bool = False) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with ``n_words``, ``hit`` (merged ranges of word numbers) and ``items`` added; with ``cut``, texts
-    that aren't leaked as a whole come without their hit words."""
-    spark, kept = docs.sparkSession, docs.schema
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-    out, carried = docs, False
-    for last, part in benchmark_parts(benchmark, most):
+        yield n, [(r.item if r.item is not None else "", bytes(r.text)) for r in part.collect()]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, most: int = SET_BYTES, cut: bool = False, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with the number of words, the merged ranges of hit word numbers and the items added, under these
+    ``names``, one of which in ``docs`` already is an error; with ``cut``, texts that aren't leaked as a whole come without
+    their hit words."""
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"there are columns {sorted(clash)} already")
+    spark = docs.sparkSession
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{names[0]}` long, `{names[1]}` array<struct<start:int,stop:int>>, `{names[2]}` array<string>"])
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id")
+    key = (F.xxhash64(doc_id, text), F.xxhash64(F.lit(1), doc_id, text))
+    found = None
+    for n, part in benchmark_parts(benchmark, most):
         shared = spark.sparkContext.broadcast(WindowSet(part))
-        if carried:
-            out = checkpointed(out)
-        out = out.mapInArrow(_scan_batches(shared, carried, cut and last), ", ".join([*columns, HITS]))
-        carried = True
-    return out
+        if n == 1:
+            return docs.mapInArrow(_scan_batches(shared, names, cut), schema)
+        here = docs.select(key[0].alias("row1"), key[1].alias("row2"), text.alias("text"))
+        here = written(here.mapInArrow(_only_hits(shared), "row1 long, row2 long, hit array<struct<start:int,stop:int>>, items array<string>"))
+        shared.destroy()
+        found = here if found is None else found.unionByName(here)
+    rows = tuple(unused(docs, c) for c in ("row1", "row2"))
+    lists = (F.flatten(F.collect_list("hit")).alias(names[1]), F.flatten(F.collect_list("items")).alias(names[2]))
+    found = found.groupBy(F.col("row1").alias(rows[0]), F.col("row2").alias(rows[1])).agg(*lists)
+    joined = docs.withColumns(dict(zip(rows, key))).join(found, list(rows), "left").drop(*rows)
+    return joined.mapInArrow(_scan_batches(None, names, cut), schema)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, most: int = SET_BYTES) -> DataFrame:
     """Documents of which at least one word in ``SHARE`` is hit go. Others stay, with all columns; their hit words, from the
     first to the last of each range, are cut and ``n_chars``, where there is one, is counted anew."""
-    names = [c for c in docs.columns if c not in ("n_words", "hit", "items")]
-    hit = _n_hit()
-    kept = scan(docs.select(*[F.col(f"`{c}`") for c in names]), benchmark, most, cut=True).where(~((hit > 0) & (SHARE * hit >= F.col("n_words"))))
-    if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.when(F.size("hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*[f"`{c}`" for c in names])
+    names = tuple(unused(docs, n) for n in NAMES)
+    hit = _n_hit(names[1])
+    kept = scan(docs, benchmark, most, True, names).where(~((hit > 0) & (SHARE * hit >= F.col(names[0]))))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.size(names[1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.drop(*names)
 
 
 def cut_spans(text: str, hit: list[tuple[int, int]]) -> str:
@@ -188,8 +223,8 @@ def cut_spans(text: str, hit: list[tuple[int, int]]) -> str:
     return (b"".join(out) + raw[done:]).decode()
 
 
-def _n_hit():
-    return F.aggregate("hit", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+def _n_hit(name: str = "hit"):
+    return F.aggregate(name, F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -216,7 +251,7 @@ def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str |
             for i in range(len(w) - n + 1):
                 if tuple(w[i : i + n]) in windows:
                     hit |= set(range(i, i + n))
-                    found.add(str(item))
+                    found.add("" if item is None else str(item))
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(found), digest, bool(hit) and SHARE * len(hit) >= len(w)))
     return out

@@ -75,7 +75,7 @@ s AS (SELECT q.doc_id AS query_id, x.doc_id, round(sum(ln(1 + (n.n - df.df + 0.5
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
 
 ORACLE_SQL["op5_decontaminate"] = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
 g AS (SELECT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
 v AS (SELECT DISTINCT n, split_part(g, ' ', 1) AS f FROM g),
 p AS (SELECT doc_id, w, unnest(w) AS f, generate_subscripts(w, 1) AS i FROM d),

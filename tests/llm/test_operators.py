@@ -117,7 +117,7 @@ def test_simhash(docs, rows, empty):
     assert got == sorted(((rows[i][0], f"{fps[i]:016x}", least[root[i]]) for i in range(len(rows))), key=key)
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.distinct_documents(docs).collect()
-    assert len(kept) == len(set(root)) and kept[0].__fields__ == docs.columns
+    assert len(kept) == len(set(root)) and kept[0].__fields__ == docs.columns and all(r[c] == 7 for r in kept for c in CLASHING)
 
 
 def test_trie_self_join():
@@ -134,6 +134,26 @@ def test_trie_self_join():
             assert found == set(zip(i.tolist(), j.tolist()))
 
 
+def test_large_shards_are_dealt_out(spark):
+    """A family of near copies with different fingerprints fills a few shards; every pair of deeper nodes is joined."""
+    rng = random.Random(21)
+    centre = rng.getrandbits(64)
+    fps = list({centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(1500)} | {rng.getrandbits(64) for _ in range(300)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    classes = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    a = np.array(fps, np.uint64)
+    want = [{int(j) for j in np.flatnonzero(np.bitwise_count(a ^ x) <= 3)} for x in a]
+    root = list(range(len(fps)))
+    for _ in range(12):
+        root = [min(root[j] for j in near) for near in want]
+    place = {signed(x): i for i, x in enumerate(fps)}
+    for most in (simhash.SHARD_KEYS, 40):
+        groups = {}
+        for r in components.components(simhash.links(classes, most)).collect():
+            groups.setdefault(r.root, set()).add(place[r.node])
+        assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i in range(len(fps)) if root[i] == k) for k in set(root) if root.count(k) > 1)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)] + [(500, i) for i in range(501, 560)] + [(7, 7), (None, 3)]
@@ -149,15 +169,16 @@ def test_components(spark):
 
 def test_decontaminate(spark, docs, rows, empty):
     rng = random.Random(4)
-    items = [(i, rows[60][1] if i == 3 else words(rng, n)) for i, n in enumerate([1, 2, 12, 13, 14, 40])] + [(10, None), (11, " ?! "), (12, rows[61][1]), (13, rows[61][1]), (2, "Two WORDS")]
+    items = [(i, rows[60][1] if i == 3 else words(rng, n)) for i, n in enumerate([1, 2, 12, 13, 14, 40])] + [(10, None), (11, " ?! "), (12, rows[61][1]), (13, rows[61][1]), (2, "Two WORDS"), (None, rows[62][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(decontaminate.brute_force(rows, items), key=key)
     assert sorted((tuple(r) for r in decontaminate.report(docs, bench).collect()), key=key) == want
     assert any(r[5] for r in want) and not all(r[5] for r in want)
     parts = decontaminate.scan(docs.select("doc_id", "text"), bench, most=200).select("doc_id", "n_words", F.size("items"))
+    assert sorted((tuple(r) for r in decontaminate.remove(docs, bench, 200).collect()), key=key) == sorted((tuple(r) for r in decontaminate.remove(docs, bench).collect()), key=key)
     assert sorted((tuple(r) for r in parts.collect()), key=key) == sorted(((r[0], r[1], r[3]) for r in want), key=key)
     kept = decontaminate.remove(docs, bench)
-    assert kept.count() == sum(not r[5] for r in want) and set(kept.columns) == set(docs.columns) - {"hit", "items"}
+    assert kept.count() == sum(not r[5] for r in want) and kept.columns == docs.columns and kept.where("hit = 7 and items = 7").count() == kept.count()
     passage = next(t for i, t in items if i == 5)
     long = spark.createDataFrame([(1, "before, it " * 500 + passage + " and after " * 300, 7), (2, passage, 7), (3, None, 0)], "doc_id long, text string, n_chars long")
     left = {r.doc_id: r for r in decontaminate.remove(long, bench.where("item_id = 5")).collect()}
