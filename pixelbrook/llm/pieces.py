@@ -47,7 +47,7 @@ SPACE, ESCAPED, GOES_ON = "▁", "\ud800", "\ud801"  # no UTF-8 text has the lat
 _UNIT = re.compile(f"\n[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _BLOCK = 1 << 18
 #: Places that a worker's lattice grows to, and nodes from a branching on whose regions are kept apart at once.
-PLACES, HEAD = 1_200_000, 96
+PLACES, HEAD = 2_000_000, 96
 #: Characters from which a unit is looked at for places where it falls apart, and those summed and drawn side by side.
 LONG, TALL = 64, 256
 _SLOTS = 20

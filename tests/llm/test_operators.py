@@ -409,23 +409,30 @@ def test_toxicity_of_long_texts():
 
 
 def test_chat(spark):
+    """Pieces are those of trying every sequence of moves, whatever the stretches; an overlong conversation keeps its order."""
     rng = random.Random(3)
     roles = ["system", "user", "assistant", "user", "assistant", None, "tool"]
-    rows = [(i, t, rng.choice(roles), rng.choice(["a", "b<|x", None, ""])) for i in range(50) for t in range(rng.randint(1, 14))]
-    rows += [(60, None, "user", "x"), (60, 1, "assistant", "y"), (None, 0, "assistant", "z"), (61, 2, "user", "q"), (61, 2, "user", "q")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("piece", "cost", "stretch")})
-    for stretch in (4096, 3):
+    rows = [(i, t, rng.choice(roles), rng.choice(["a", "b<|x", None, ""])) for i in range(120) for t in range(rng.randint(1, 5))]
+    rows += [(200, None, "user", "x"), (200, 1, "assistant", "y"), (None, 0, "assistant", "z"), (None, None, None, None), (201, 2, "user", "q"), (201, 2, "user", "q"), (202, 0, "user", "long " * 5000)]
+    rows += [(203, 1, r, t) for r in ("user", None, "assistant") for t in ("", None, "b" * 70 + "x", "b" * 70 + "y")][:5]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("piece", "cost", "stretch", "k1", "part")})
+    first = lambda v: (v is not None, v if v is not None else 0)
+    cut = lambda v, n: None if v is None else v[:n]
+    digest = lambda r: hashlib.md5(((r[2] or "") + "\0" + (r[3] or "")).encode()).hexdigest()
+    want = {}
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (first(r[1]), first(cut(r[2], 32)), first(cut(r[3], 64)), digest(r)))
+        want[conv] = chat.brute_force([r[1:] for r in mine])
+    for stretch in (chat.STRETCH, 3, 1):
         out = {}
-        for r in sorted(chat.repaired(turns, stretch).collect(), key=lambda r: (r.conv_id is None, r.conv_id, r.stretch, r.piece)):
-            out.setdefault(r.conv_id, []).append(r)
-        for conv, parts in out.items():
-            mine = sorted((r for r in rows if r[0] == conv), key=lambda r: tuple((v is not None, v if v is not None else 0) if not isinstance(v, str) else (True, v) for v in r[1:]))
-            assert sum(p.cost for p in parts) == chat.brute_force([r[2] for r in mine])
-            assert sum(p.action != "insert" for p in parts) == len(mine)
-            shown = re.findall(r"<\|(\w+)\|>", "".join(p.rendered for p in parts))
-            shown = shown[1:] if shown[0] == "system" else shown
-            assert all(x == ("user", "assistant")[k % 2] for k, x in enumerate(shown))
+        for r in chat.repaired(turns, stretch).collect():
+            out.setdefault(r.conv_id, []).append(tuple(r)[1:])
+        assert {c: sorted(p) for c, p in out.items()} == want
     assert chat.repaired(turns.limit(0)).count() == 0
+    many = spark.range(3000).select(F.lit(7).alias("conv_id"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    got = sorted(chat.repaired(many, 100).collect(), key=lambda r: r.piece)
+    assert [r.piece for r in got] == [2 * n + 1 for n in range(3000)] and sum(r.cost for r in got) == 2999
+    assert [int(r.rendered.split("\n")[-2]) for r in got[1000:]] == [n for n in range(3000) if n % 3]
 
 
 def every_segmentation(text, vocab):
