@@ -39,7 +39,7 @@ from .spread import LEAST, hot_keys, spread_join
 
 LENGTH, GRAM = 200, 32
 #: Most different strips (or pieces) of a shard; beyond it the shard is dealt out again by more of the bytes.
-KINDS = 512
+KINDS = 256
 #: Windows of a piece of a strip, at the first and the second dealing.
 WIDTHS = (16, 1)
 #: Suffixes that are refined together, and how few of them wait for the next ones.
@@ -328,13 +328,13 @@ def _dealt_again(strips_of: DataFrame, kinds: int, widths: tuple[int, ...]) -> D
     hot = hot_keys(shards, shard, "kinds")
     many = shards.where(F.col("kinds") > kinds)
     plain = spread_join(different, shards.where(F.col("kinds") <= kinds).select(*shard), shard, hot, piece, "left_semi")
-    solved = _refined(plain, shard, piece)
+    solved = written(_refined(plain, shard, piece))
     if len(widths) > 1 and not many.isEmpty():
         rest = spread_join(different, many.select(*shard), shard, hot, piece, "left_semi")
         rest = rest.select(F.col("p1").alias("gram"), F.col("p2").alias("body"), "weight", "anchor", "data")
         solved = solved.unionByName(_dealt_again(rest, kinds, widths[1:]).select(F.col("gram").alias("p1"), F.col("body").alias("p2"), "runs"))
     places = spread_join(pieces.select(*piece, "gram", "body", "low"), solved, piece, hot_keys(different, piece), ["gram", "body", "low"])
-    return places.select("gram", "body", F.transform("runs", lambda r: F.struct((F.col("low") + r["a"]).alias("a"), (F.col("low") + r["b"]).alias("b"))).alias("runs"))
+    return written(places.select("gram", "body", F.transform("runs", lambda r: F.struct((F.col("low") + r["a"]).alias("a"), (F.col("low") + r["b"]).alias("b"))).alias("runs")))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -382,7 +382,7 @@ def repeats(docs: DataFrame, packed: DataFrame, kinds: int = KINDS) -> DataFrame
         part = lambda how: bytes_of(spread_join(different, many, ["gram"], hot, ["body"], how))
         # repeated rows send a strip's bytes once each
         crowded = written(part("left_semi").dropDuplicates(strip).mapInArrow(_with_anchor, "gram long, body long, weight long, anchor int, data binary"))
-        solved = _refined(part("left_anti"), ["gram"], strip).unionByName(_dealt_again(crowded, kinds, WIDTHS))
+        solved = written(_refined(part("left_anti"), ["gram"], strip)).unionByName(_dealt_again(crowded, kinds, WIDTHS))
     first = F.shiftright("place", 16).cast("int")
     ranges = F.transform("runs", lambda r: F.struct((first + r["a"]).alias("a"), (first + r["b"] + LENGTH - 1).alias("b")))
     place = spread_join(some, solved, strip, hot_keys(different, strip, "weight"), ["row1", "place"])
