@@ -338,6 +338,47 @@ def test_toxicity_and_quality_learn(spark):
     assert kept.columns == docs.columns and kept.where("not (score = 1 and label = 1 and toxicity = 1)").count() == 0 < kept.count()
 
 
+def test_votes_are_those_of_all_cosines(rows):
+    """Scores against a vote over every labelled text in double precision, with copies, ties, empty and long texts."""
+    rng = random.Random(9)
+    texts = [words(rng, rng.randint(1, 40)) + rng.choice(["", "!!", " ||", "\nA b\nA b"]) for _ in range(60)]
+    labelled = [(rng.randint(0, 1), t.encode()) for t in texts + texts[:10] + ["one two", "two one", ""]]
+
+    def terms(text):
+        out, codes, seen = Counter(), [], set()
+        for line in text.split(b"\n"):
+            if line.split():
+                codes += [(None, 3 if line in seen else 2), *(divmod(quality.coded(w), 1 << 16) for w in line.split())]
+                seen.add(line)
+        out.update(c[0] for c in codes if c[0] is not None)
+        shapes = [s if k == 0 or codes[k] != codes[k - 1] else 1 for k, (_, s) in enumerate(codes)]
+        out.update(quality.WORDS + ((a << 16 | b) * 0x9E3779B97F4A7C15 % 2**64 >> 52) for a, b in zip(shapes, shapes[1:]))
+        return out
+
+    of = [(y, sorted(terms(t)), [terms(t)[k] for k in sorted(terms(t))]) for y, t in labelled]
+    space = quality.space(of)
+    assert len(space.labels) == len({tuple(sorted(terms(t).items())) for _, t in labelled if t}) == 61  # two texts have the same terms
+    df = Counter(k for key in {tuple(sorted(terms(t).items())) for _, t in labelled if t} for k, _ in key)
+    idf = {k: math.log((1 + len(space.labels)) / (1 + n)) for k, n in df.items()}
+
+    def vector(text):
+        w = {k: math.log1p(n) * idf.get(k, 0.0) for k, n in terms(text).items()}
+        norm = [math.sqrt(sum(x * x for k, x in w.items() if (k >= quality.WORDS) == part)) or 1 for part in (False, True)]
+        z = sum((x / norm[k >= quality.WORDS] * space.axes[k].astype(float) for k, x in w.items()), np.zeros(space.axes.shape[1]))
+        return z / (np.linalg.norm(z) or 1)
+
+    others = [t.encode() for _, t in rows if t] + texts[3].encode().splitlines() + [b"", b"??", b"two two two one", b"word " * 100_000]
+    got = space.score(quality.term_counts(others, {}))
+    for text, score in zip(others, got):
+        cosine = space.vectors.astype(float) @ vector(text)
+        best = sorted(range(len(cosine)), key=lambda i: (-cosine[i], i))
+        w = np.maximum(cosine[best[:15]], 0) ** 8
+        if len(best) <= 15 or cosine[best[14]] - cosine[best[15]] > 1e-6:
+            assert abs(score - (w @ space.labels[best[:15]] / w.sum() if w.sum() > 0 else space.prior)) < 1e-3, text[:50]
+    tied = quality.space([(y, [7], [float(k)]) for k, y in ((1, 1), (2, 1), (3, 0), (4, 0))] * 5 + [(1, [8, 9], [1.0, 1.0])])
+    assert len(tied.labels) == 5
+
+
 def test_grammar_scores_clauses():
     g = toxicity.Grammar()
     s = lambda t: g.read(t)[0]
