@@ -30,11 +30,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def table_path(spark) -> str:
+    """A new path in the session's checkpoint folder, which goes as its checkpoints do."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the checkpoint folder: more compact than a checkpoint, and as safe to read again."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, table_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
