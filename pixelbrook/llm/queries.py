@@ -103,3 +103,22 @@ z AS (SELECT y.doc_id, r.k, r.kind, r.base, coalesce(list_sum(list_transform(s[1
 o AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, k) FILTER (base) AS b,
  string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, k) AS spans FROM z GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (doc_id)"""
+
+# states: 0 start, 1 system, 2 user, 3 assistant; a role outside the three is ''
+ORACLE_SQL["op6_chat"] = r"""WITH RECURSIVE legal(b, a) AS (VALUES (0, 1), (0, 2), (1, 2), (2, 3), (3, 2)), names(a, name) AS (VALUES (1, 'system'), (2, 'user'), (3, 'assistant')), roles(r) AS (VALUES ('system'), ('user'), ('assistant'), ('')),
+change AS (SELECT r, a, CASE WHEN r = name THEN 0 WHEN r = '' THEN 1 ELSE 3 END AS x, CASE WHEN r = name THEN '' ELSE 'relabel' END AS how FROM roles CROSS JOIN names),
+moves AS (SELECT r, b, a, x AS c, CASE how WHEN '' THEN 'keep' ELSE how END AS act, 0 AS m FROM change JOIN legal USING (a)
+ UNION ALL SELECT r, a, a, x + 1, CASE how WHEN '' THEN 'merge' ELSE how || '+merge' END, 0 FROM change
+ UNION ALL SELECT r, p.b, q.a, x + 2, 'insert+' || CASE how WHEN '' THEN 'keep' ELSE how END, p.a FROM change JOIN legal q ON q.a = change.a JOIN legal p ON p.a = q.b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY c, length(act), b, a, m) AS k FROM moves),
+t AS (SELECT conv_id, turn, role, text, CASE WHEN role IN ('system', 'user', 'assistant') THEN role ELSE '' END AS r,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 32) NULLS FIRST, left(text, 64) NULLS FIRST, md5(coalesce(role, '') || chr(0) || coalesce(text, ''))) - 1 AS n FROM conversations),
+f(conv_id, n, s, cost, k) AS (SELECT DISTINCT conv_id, CAST(-1 AS BIGINT), 0, 0, CAST(0 AS BIGINT) FROM t
+ UNION ALL SELECT f.conv_id, f.n + 1, v.a, CAST(min(f.cost + v.c) AS INTEGER), arg_min(v.k, (f.cost + v.c) * 1000 + v.k) FROM f JOIN t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.n = f.n + 1 JOIN ranked v ON v.r = t.r AND v.b = f.s GROUP BY f.conv_id, f.n, v.a),
+e AS (SELECT conv_id, max(n) AS n FROM t GROUP BY conv_id),
+w(conv_id, n, s) AS (SELECT f.conv_id, f.n, arg_min(f.s, f.cost * 10 + f.s) FROM f JOIN e ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.n = f.n GROUP BY f.conv_id, f.n
+ UNION ALL SELECT w.conv_id, w.n - 1, v.b FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n AND f.s = w.s JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.n JOIN ranked v ON v.r = t.r AND v.k = f.k WHERE w.n > 0),
+o AS (SELECT t.*, v.a, v.c, v.act, v.m FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n AND f.s = w.s JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.n JOIN ranked v ON v.r = t.r AND v.k = f.k)
+SELECT conv_id, 2 * n AS piece, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS role_in, name AS role_out, 'insert' AS action, 2 AS cost, '<|' || name || '|>' || chr(10) || chr(10) AS rendered FROM o JOIN names ON names.a = o.m
+UNION ALL SELECT conv_id, 2 * n + 1, turn, role, name, replace(act, 'insert+', ''), CASE WHEN m > 0 THEN c - 2 ELSE c END,
+ CASE WHEN act LIKE '%merge' THEN '' ELSE '<|' || name || '|>' || chr(10) END || replace(coalesce(text, ''), '<|', '< |') || chr(10) FROM o JOIN names USING (a)"""
