@@ -26,28 +26,36 @@ def argb(data: bytes, width: int, height: int) -> np.ndarray:
     return p[..., 3] << np.uint32(24) | p[..., 0] << np.uint32(16) | p[..., 1] << np.uint32(8) | p[..., 2]
 
 
+def decode_frame(data: bytes | None, alpha_data: bytes | None, lossless_: bool | None, tables: lossy.Tables | None = None) -> tuple:
+    """(width, height, RGBA bytes, error) of a frame's bitstream; lossy ones need the format's probability tables."""
+    if not data:
+        return None, None, None, "frame without image"
+    if not lossless_ and tables is None:
+        return None, None, None, "lossy images need probability tables"
+    try:
+        if lossless_:
+            px = lossless.decode(data)
+            return px.shape[1], px.shape[0], rgba(px), None
+        width, height, *planes = lossy.decode(data, tables)
+        out = np.full((height, width, 4), 255, np.uint8)
+        out[..., :3] = lossy.to_rgb(*planes)
+        if alpha_data is not None:
+            out[..., 3] = alpha.decode(alpha_data, width, height)
+        return width, height, out.tobytes(), None
+    except (Corrupt, Bad, IndexError, ValueError) as e:
+        return None, None, None, str(e) or type(e).__name__
+
+
 def decode_image(content: bytes | None, tables: lossy.Tables | None = None) -> tuple:
-    """(width, height, RGBA bytes, error) of a file's first frame; lossy ones need the format's probability tables."""
+    """(width, height, RGBA bytes, error) of a file's first frame."""
     f = parse(content, "strict", max_frames=1)
     if f.error:
         return None, None, None, f.error
     if not f.frames:
         return None, None, None, "no frames"
     frame = f.frames[0]
-    if not frame.lossless and tables is None:
-        return frame.w, frame.h, None, "lossy images need probability tables"
-    try:
-        if not frame.lossless:
-            width, height, *planes = lossy.decode(frame.data, tables)
-            out = np.full((height, width, 4), 255, np.uint8)
-            out[..., :3] = lossy.to_rgb(*planes)
-            if frame.alpha_data is not None:
-                out[..., 3] = alpha.decode(frame.alpha_data, width, height)
-            return width, height, out.tobytes(), None
-        px = lossless.decode(frame.data)
-    except (Corrupt, Bad, IndexError, ValueError) as e:
-        return None, None, None, str(e) or type(e).__name__
-    return px.shape[1], px.shape[0], rgba(px), None
+    out = decode_frame(frame.data, frame.alpha_data, frame.lossless, tables)
+    return out if out[0] is not None or not frame.data else (frame.w, frame.h, *out[2:])
 
 
 def encode_image(data: bytes | None, width: int | None, height: int | None, quality: float = 75.0) -> tuple:
@@ -104,6 +112,22 @@ def decoded(files: DataFrame, key: str = "path", tables: lossy.Tables | None = N
     return _each(files, key, ["content"], IMAGE, [pa.int32(), pa.int32(), pa.binary(), pa.string()], lambda c: decode_image(c, tables))
 
 
+def frames_decoded(frames: DataFrame, tables: lossy.Tables | None = None) -> DataFrame:
+    """``frames(anim_id, frame_idx, x, y, w, h, duration_ms, dispose, no_blend, lossless, data, alpha_data)``, as ``tables.frames``
+    gives them, with RGBA bytes in ``data`` and ``to_background``; an image of another size than its frame's is an error."""
+    kept = ["anim_id", "frame_idx", "x", "y", "w", "h", "duration_ms", "no_blend", F.col("dispose").cast("boolean").alias("to_background")]
+    rows = frames.select(F.struct(*kept).alias("f"), "data", "alpha_data", "lossless", "w", "h")
+
+    def one(data, alpha_data, lossless_, w, h):
+        width, height, out, error = decode_frame(data, alpha_data, lossless_, tables)
+        if error is None and (width, height) != (w, h):
+            out, error = None, "frame size differs from its image"
+        return out, error
+
+    out = _each(rows, "f", ["data", "alpha_data", "lossless", "w", "h"], "data binary, error string", [pa.binary(), pa.string()], one)
+    return out.select("f.*", "data", "error")
+
+
 def encoded(images: DataFrame, key: str, quality: float = 75.0, tables: lossy.Tables | None = None) -> DataFrame:
     """``images(key, data, width, height)`` -> ``(key, content, error)``: lossless, or lossy if tables are given."""
     one = (lambda d, w, h: encode_image(d, w, h, quality)) if tables is None else (lambda d, w, h: encode_lossy(d, w, h, quality, tables))
@@ -145,9 +169,32 @@ def pixel_rows(images: DataFrame, key: str) -> DataFrame:
 
 
 def images_of(pixels: DataFrame, key: str, width: int, height: int) -> DataFrame:
-    """Dense images of ``pixels(key, y, x, r, g, b, a)`` with unique places; places without a pixel are 0."""
-    byte = lambda c: F.lpad(F.hex(c), 2, "0")
-    hexed = F.concat(*[byte(c) for c in ("r", "g", "b", "a")])
-    cells = pixels.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).cast("int").alias("at"), hexed.alias("v")))).alias("m"))
-    whole = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit("00000000")))
-    return cells.select(key, F.lit(width).alias("width"), F.lit(height).alias("height"), F.unhex(F.array_join(whole, "")).alias("data"))
+    """Dense images of ``pixels(key, y, x, r, g, b, a)`` with unique places; places without a pixel are 0. An image's pixels come
+    sorted to one task and are filled in; a row holds one image, so that bounds its memory."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, image = None, np.zeros(width * height, np.uint32)
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([held, pa.array([width], pa.int32()), pa.array([height], pa.int32()), pa.array([image.tobytes()], pa.binary())], [key, "width", "height", "data"])
+
+        for batch in batches:
+            keys = batch.column(0)
+            codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if batch.num_rows else np.zeros(0, np.int64)
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), batch.num_rows]
+            at, word = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.uint32)
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                one = keys.slice(a, 1)
+                if held is None or one[0].as_py() != held[0].as_py():
+                    if held is not None:
+                        yield full()
+                    held, image = one, np.zeros(width * height, np.uint32)
+                image[at[a:b]] = word[a:b]
+        if held is not None:
+            yield full()
+
+    channel = lambda c, n: F.col(c).cast("long") * (1 << n)  # noqa: E731  little-endian words are R, G, B, A bytes
+    rows = pixels.select(key, (F.col("y") * width + F.col("x")).cast("int").alias("at"), (channel("r", 0) + channel("g", 8) + channel("b", 16) + channel("a", 24)).alias("word"))
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.repartition(key).sortWithinPartitions(key, "at").mapInArrow(run, f"`{key}` {kind}, width int, height int, data binary")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 MAX_INPUT, MAX_CHUNK, MAX_FRAMES = 256 << 20, (1 << 32) - 10, 10_000
+#: Pixels of a canvas or frame are fewer; most bytes of metadata or an unknown chunk; most chunks kept besides images.
+MAX_AREA, MAX_METADATA, MAX_KEPT = 1 << 30, 100 << 20, 1000
 ANIMATION, XMP, EXIF, ALPHA, ICC = 2, 4, 8, 16, 32
 
 
@@ -57,23 +59,29 @@ def lossy_size(p: bytes, strict: bool = True) -> tuple[int, int]:
     return le(p, 6, 2) & 0x3FFF, le(p, 8, 2) & 0x3FFF
 
 
-def lossless_size(p: bytes) -> tuple[int, int, bool]:
+def lossless_size(p: bytes, strict: bool = True) -> tuple[int, int, bool]:
     if len(p) < 5:
         raise Bad("truncated")
     word = le(p, 1, 4)
     if p[0] != 0x2F:
         raise Bad("bad signature")
-    if word >> 29:
+    if strict and word >> 29:
         raise Bad("bad version")
     return (word & 0x3FFF) + 1, (word >> 14 & 0x3FFF) + 1, bool(word >> 28 & 1)
 
 
+def alpha_bit(p: bytes) -> bool:
+    """Whether a bitstream is a lossless one with alpha."""
+    return len(p) >= 5 and p[0] == 0x2F and bool(le(p, 1, 4) >> 28 & 1)
+
+
 def walk(data: bytes, begin: int, end: int, strict: bool):
-    """(fourcc, offset, payload) of each chunk; a chunk that is cut short is an error, or ends a lenient walk."""
+    """(fourcc, offset, payload) of each chunk; one that is cut short (its pad byte too, strictly) is an error, or ends a
+    lenient walk."""
     at = begin
     while at + 8 <= end:
         size = le(data, at + 4, 4)
-        if size > MAX_CHUNK or at + 8 + size > end:
+        if size > MAX_CHUNK or at + 8 + size + (size & 1 if strict else 0) > end:
             if strict:
                 raise Bad("truncated chunk")
             return
@@ -81,36 +89,43 @@ def walk(data: bytes, begin: int, end: int, strict: bool):
         at += 8 + size + (size & 1)
 
 
-def _image(frame: Frame, kind: str, payload: bytes, strict: bool) -> None:
+def _sized(frame: Frame, kind: str, payload: bytes, strict: bool) -> None:
+    """Take an image and the size that its header tells."""
     frame.data, frame.lossless = payload, kind == "VP8L"
     if kind == "VP8L":
-        if frame.alpha_data is not None and strict:
-            raise Bad("alpha beside a lossless image")
-        w, h, frame.has_alpha = lossless_size(payload)
+        frame.w, frame.h, frame.has_alpha = lossless_size(payload, strict)
     else:
-        w, h = lossy_size(payload, strict)
+        frame.w, frame.h = lossy_size(payload, strict)
         frame.has_alpha = frame.alpha_data is not None
-    if not w or not h:
+    if strict and not (frame.w and frame.h):
         raise Bad("zero size")
-    frame.w, frame.h = w, h
 
 
 def _frame(payload: bytes, strict: bool) -> Frame:
+    """An animation frame. Strictly, its image follows its alpha at once; leniently, the last of each counts, unread. Either way
+    a frame may have no image."""
     if len(payload) < 16:
         raise Bad("truncated frame")
     bits = payload[15]
     frame = Frame(2 * le(payload, 0, 3), 2 * le(payload, 3, 3), le(payload, 6, 3) + 1, le(payload, 9, 3) + 1, le(payload, 12, 3), bits & 1, bits >> 1 & 1)
-    w, h = frame.w, frame.h
+    if frame.w * frame.h >= MAX_AREA:
+        raise Bad("frame too large")
     for kind, _, p in walk(payload, 16, len(payload), strict):
-        if kind == "ALPH" and not frame.data:
-            frame.alpha_data = p
-        elif kind in ("VP8 ", "VP8L") and not frame.data:
-            _image(frame, kind, p, strict)
-            if strict and (frame.w, frame.h) != (w, h):
-                raise Bad("frame size differs from its image")
-    if not frame.data:
-        raise Bad("frame without image")
-    frame.w, frame.h = w, h
+        if kind == "ALPH":
+            frame.alpha_data, frame.has_alpha = p, True
+            continue
+        if kind in ("VP8 ", "VP8L"):
+            frame.data, frame.lossless = p, kind == "VP8L"
+            if strict and frame.lossless:
+                if frame.alpha_data is not None:
+                    raise Bad("alpha beside a lossless image")
+                frame.has_alpha = lossless_size(p)[2]
+        if strict:
+            break
+    if strict and frame.alpha_data is not None and not frame.data:
+        raise Bad("alpha without image")
+    if not strict:
+        frame.has_alpha = bool(frame.alpha_data) or alpha_bit(frame.data)
     return frame
 
 
@@ -130,69 +145,138 @@ def _parse(data: bytes, out: File, strict: bool, most: int | None) -> None:
     if len(data) < 12:
         raise Bad("truncated")
     size = le(data, 4, 4)
-    if data[:4] != b"RIFF" or size < 8:
+    if data[:4] != b"RIFF" or strict and size < 8:
         raise Bad("not a RIFF file")
-    if size > MAX_CHUNK:
+    if strict and size > MAX_CHUNK:
         raise Bad("file too large")
     if data[8:12] != b"WEBP":
         raise Bad("unknown form type")
     end = min(len(data), 8 + size)
-    if strict and len(data) < 8 + size and size - 4 > len(data):
-        end = len(data)
-    still, extended, flags, seen_anim = Frame(), False, 0, False
-    for idx, (kind, at, p) in enumerate(walk(data, 12, end, strict)):
+    if end < 20:
+        raise Bad("truncated" if strict else "no image")
+    first = data[12:16].decode("latin-1")
+    out.format = {"VP8 ": "lossy", "VP8L": "lossless", "VP8X": "extended"}.get(first, "unknown")
+    if out.format == "unknown":
+        raise Bad("unknown chunk")
+    chunks = _kept(walk(data, 12, end, strict), out)
+    kind, payload = next(chunks, (None, b""))
+    if kind is None:
+        raise Bad("truncated chunk")
+    if kind != "VP8X":
+        frame = Frame()
+        _sized(frame, kind, payload, strict)
+        out.frames.append(frame)
+        out.width, out.height, out.has_alpha = frame.w, frame.h, frame.has_alpha
+        return
+    if len(payload) < 10 or strict and len(payload) != 10:
+        raise Bad("bad extended header")
+    flags = payload[0]
+    if strict and flags & ~(ANIMATION | XMP | EXIF | ALPHA | ICC):
+        raise Bad("unknown flags")
+    out.width, out.height = le(payload, 4, 3) + 1, le(payload, 7, 3) + 1
+    if strict and out.width * out.height >= MAX_AREA:
+        raise Bad("canvas too large")
+    out.animated, out.has_alpha = bool(flags & ANIMATION), bool(flags & ALPHA)
+    if strict:
+        out.loop, out.background = 1, 0xFFFFFFFF
+        _strict(chunks, out, flags, most)
+    else:
+        _lenient(chunks, out, most)
+
+
+def _kept(chunks, out: File):
+    for idx, (kind, at, p) in enumerate(chunks):
         out.chunks.append((idx, kind, at, len(p), p))
-        if idx == 0:
-            out.format = {"VP8 ": "lossy", "VP8L": "lossless", "VP8X": "extended"}.get(kind, "unknown")
-            if kind == "VP8X":
-                extended = True
-                if len(p) < 10 or (strict and len(p) != 10):
-                    raise Bad("bad extended header")
-                flags = le(p, 0, 4)
-                if strict and flags & ~(ANIMATION | XMP | EXIF | ALPHA | ICC):
-                    raise Bad("unknown flags")
-                out.width, out.height = le(p, 4, 3) + 1, le(p, 7, 3) + 1
-                if out.width * out.height > 1 << 30:
-                    raise Bad("canvas too large")
-                out.animated, out.has_alpha = bool(flags & ANIMATION), bool(flags & ALPHA)
-                if strict:
-                    out.loop, out.background = 1, 0xFFFFFFFF
-                continue
-            if kind not in ("VP8 ", "VP8L"):
-                if strict:
-                    raise Bad("unknown chunk")
-                continue
-        if kind == "VP8X" and strict:
+        yield kind, p
+
+
+def _strict(chunks, out: File, flags: int, most: int | None) -> None:
+    seen_anim, kept = False, 0
+    for kind, p in chunks:
+        if kind == "VP8X":
             raise Bad("second extended header")
-        if kind == "ANIM" and len(p) >= 6:
+        if kind == "ANIM":
+            _animation(p, out)
             seen_anim = True
-            out.background, out.loop = le(p, 0, 4), le(p, 4, 2)
         elif kind == "ANMF":
-            if strict and not seen_anim:
+            if not seen_anim:
                 raise Bad("frame before animation chunk")
-            if most is not None and len(out.frames) >= most:
+            if not _framed(p, out, True, most):
                 return
-            if len(out.frames) >= MAX_FRAMES:
-                raise Bad("too many frames")
-            out.frames.append(_frame(p, strict))
-        elif kind == "ALPH" and not still.data:
-            still.alpha_data = p
-        elif kind in ("VP8 ", "VP8L"):
-            if out.animated:
-                if strict:
-                    raise Bad("image chunk in an animation")
-                continue
-            if not still.data:
-                _image(still, kind, p, strict)
-                out.frames.append(still)
-                if not extended or strict:
-                    out.width, out.height = still.w, still.h
-                out.has_alpha = out.has_alpha or still.has_alpha
-            if strict:
+        elif kind in ("ALPH", "VP8 ", "VP8L"):
+            if seen_anim or out.animated:
+                raise Bad("image chunk in an animation")
+            _only_image(kind, p, chunks, out)
+            return  # what follows a still image isn't looked at
+        else:
+            bit = {"ICCP": ICC, "EXIF": EXIF, "XMP ": XMP}.get(kind)
+            if bit is None and kept >= MAX_KEPT:
+                raise Bad("too many chunks")
+            if bit is None or flags & bit:
+                if len(p) > MAX_METADATA:
+                    raise Bad("chunk too large")
+                kept += 1
+                if bit:
+                    out.metadata.setdefault(kind, p)
+
+
+def _only_image(kind: str | None, p: bytes, chunks, out: File) -> None:
+    """Of an extended still file: alpha, and the image right behind it."""
+    frame = Frame()
+    while kind == "ALPH":
+        frame.alpha_data, out.has_alpha = p, True
+        kind, p = next(chunks, (None, b""))
+    if kind not in ("VP8 ", "VP8L"):
+        raise Bad("alpha without image")
+    if kind == "VP8L" and frame.alpha_data is not None:
+        raise Bad("alpha beside a lossless image")
+    _sized(frame, kind, p, True)
+    out.frames.append(frame)
+    out.width, out.height, out.has_alpha = frame.w, frame.h, out.has_alpha or frame.has_alpha
+
+
+def _lenient(chunks, out: File, most: int | None) -> None:
+    still: Frame | None = None  # that of a still file, which takes the first image from its first alpha or image chunk on
+    for kind, p in chunks:
+        if kind in ("ICCP", "EXIF", "XMP "):
+            if len(p) > MAX_METADATA:
+                raise Bad("chunk too large")
+            out.metadata[kind] = p  # the last one counts
+        elif kind == "ANIM":
+            _animation(p, out)
+        elif kind == "ANMF":
+            if not _framed(p, out, False, most):
                 return
-        elif kind in ("ICCP", "EXIF", "XMP "):
-            bit = {"ICCP": ICC, "EXIF": EXIF, "XMP ": XMP}[kind]
-            if not strict or flags & bit:
-                out.metadata.setdefault(kind, p)
-    if not out.frames and not strict:
+        elif kind in ("ALPH", "VP8 ", "VP8L") and not out.animated and not out.frames:
+            still = still or Frame(w=out.width, h=out.height)
+            if kind == "ALPH":
+                still.alpha_data = p
+            else:
+                still.data, still.lossless = p, kind == "VP8L"
+                still.has_alpha = bool(still.alpha_data) or alpha_bit(p)
+                out.frames.append(still)
+    if not out.frames:
         raise Bad("no image")
+
+
+def _animation(p: bytes, out: File) -> None:
+    if len(p) < 6:
+        raise Bad("bad animation chunk")
+    out.background, out.loop = le(p, 0, 4), le(p, 4, 2)
+
+
+def _framed(p: bytes, out: File, strict: bool, most: int | None) -> bool:
+    """Add a frame; False if there are as many as wanted."""
+    if most is not None and len(out.frames) >= most:
+        return False
+    if len(out.frames) >= MAX_FRAMES:
+        raise Bad("too many frames")
+    out.frames.append(_frame(p, strict))
+    return True
+
+
+def metadata(f: File, fourcc: str) -> bytes | None:
+    """The payload of a chunk: of metadata as the walk keeps it, of others the first."""
+    if fourcc in ("ICCP", "EXIF", "XMP "):
+        return f.metadata.get(fourcc)
+    return next((p for _, kind, _, _, p in f.chunks if kind == fourcc), None)

@@ -31,7 +31,7 @@ def _chunk_rows(data: bytes | None, mode: str):
 
 def _frame_rows(data: bytes | None, mode: str, most: int | None):
     f = parse(data, mode, most)
-    rows = [(i, r.x, r.y, r.w, r.h, r.duration_ms, r.dispose, r.no_blend, r.has_alpha, r.lossless, r.data, r.alpha_data, None) for i, r in enumerate(f.frames)]
+    rows = [(i, r.x, r.y, r.w, r.h, r.duration_ms, r.dispose, r.no_blend, r.has_alpha, r.lossless, r.data or None, r.alpha_data, None) for i, r in enumerate(f.frames)]
     return rows + [(len(rows), *[None] * 11, f.error)] if f.error else rows
 
 
@@ -95,7 +95,11 @@ class _Writer(DataSourceWriter):
         for row in iterator:
             if row[content] is None:
                 continue
-            target = os.path.join(self.folder, os.path.basename(row[name]))
+            parts = [p for p in row[name].split("/") if p]
+            if ".." in parts or not parts:
+                raise ValueError(f"not a name below the folder: {row[name]!r}")
+            target = os.path.join(self.folder, *parts)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
             with open(f"{target}.part", "wb") as f:
                 f.write(row[content])
             os.replace(f"{target}.part", target)  # a task that is run again leaves the same file
@@ -103,8 +107,8 @@ class _Writer(DataSourceWriter):
 
 
 class ImageFiles(DataSource):
-    """``df.write.format("raster").mode("append").save(folder)``: rows ``(name, content)``, one file each. The folder must be
-    one that all executors share."""
+    """``df.write.format("raster").mode("append").save(folder)``: rows ``(name, content)``, one file each; a name may have folders
+    of its own, and a file of the same name is replaced. The folder must be one that all executors share."""
 
     @classmethod
     def name(cls) -> str:
