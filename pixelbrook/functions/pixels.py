@@ -247,32 +247,113 @@ def _power(v: Column, e: float) -> Column:
     return F.pow(F.greatest(v, F.lit(0.0)), F.lit(e))
 
 
+# Constants of the transfer functions, from the public video standards.
+_BT709 = (0.018053968510807, 4.5, 1.09929682680944, 0.45)  # end of the linear part, its slope, scale and exponent of the rest
+_SMPTE240 = (0.022821585529445, 4.0, 1.111572195921731, 0.45)
+_SRGB = (0.0030412825601275209, 12.92, 1.0550107189475866, 1 / 2.4)
+_HLG = (0.17883277, 0.28466892, 0.55991073)
+_PQ = (107 / 128, 2413 / 128, 2392 / 128, 653 / 4096, 2523 / 32)
+_SMPTE428, _BT1361 = 0.91655527974030934, 0.27482420670236
+
+
+def _bent_to_linear(v: Column, curve: tuple[float, float, float, float]) -> Column:
+    end, slope, scale, e = curve
+    return F.when(v < slope * end, v / slope).otherwise(_power((v + (scale - 1)) / scale, 1 / e))
+
+
+def _bent_from_linear(v: Column, curve: tuple[float, float, float, float]) -> Column:
+    end, slope, scale, e = curve
+    return F.when(v < end, v * slope).otherwise(scale * _power(v, e) - (scale - 1))
+
+
+def _unit(v: Column) -> Column:
+    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+
+
+TRANSFERS = ("bt709", "bt601", "bt2020_10", "bt2020_12", "bt470m", "bt470bg", "smpte240", "linear", "log100", "log100sqrt", "iec61966", "bt1361", "srgb", "pq", "smpte428", "hlg")
+_SAME_AS = {"bt601": "bt709", "bt2020_10": "bt709", "bt2020_12": "bt709"}
+
+
 def to_linear(v: Column, transfer: str) -> Column:
-    """Light from a signal of 0..1, by the transfer functions of the public video standards."""
-    high = F.greatest(v, F.lit(0.0))
+    """Light from a signal, by the transfer functions of the public video standards."""
+    a, b, c = _HLG
+    c1, c2, c3, m1, m2 = _PQ
+    power = _power(v, 1 / m2)
     curve = {
-        "bt709": F.when(v < 4.5 * 0.018053968510807, v / 4.5).otherwise(_power((v + 0.09929682680944) / 1.09929682680944, 1 / 0.45)),
-        "bt470m": _power(v, 2.2), "bt470bg": _power(v, 2.8),
-        "smpte240": F.when(v < 4 * 0.022821585529445, v / 4).otherwise(_power((v + 0.111572195921731) / 1.111572195921731, 1 / 0.45)),
-        "linear": v, "log100": F.when(v < 0.01, 0.005).otherwise(F.pow(F.lit(10.0), 2 * (F.least(v, F.lit(1.0)) - 1))), "log100sqrt": F.when(v < 0.00316227766, 0.00158113883).otherwise(F.pow(F.lit(10.0), 2.5 * (F.least(v, F.lit(1.0)) - 1))),
-        "srgb": F.when(v < 12.92 * 0.0030412825601275209, v / 12.92).otherwise(_power((v + 0.0550107189475866) / 1.0550107189475866, 2.4)),
-        "pq": _power(F.greatest(_power(high, 1 / 78.84375) - 0.8359375, F.lit(0.0)) / (18.8515625 - 18.6875 * _power(high, 1 / 78.84375)), 1 / 0.1593017578125),
-        "smpte428": _power(v, 2.6) * (52.37 / 48.0), "hlg": F.when(v <= 0.5, v * v / 3).otherwise((F.exp((v - 0.55991073) / 0.17883277) + 0.28466892) / 12),
+        "bt709": lambda: F.least(_bent_to_linear(F.greatest(v, F.lit(0.0)), _BT709), F.lit(1.0)),
+        "bt470m": lambda: _power(_unit(v), 2.2), "bt470bg": lambda: _power(_unit(v), 2.8),
+        "smpte240": lambda: F.least(_bent_to_linear(F.greatest(v, F.lit(0.0)), _SMPTE240), F.lit(1.0)), "linear": lambda: v,
+        "log100": lambda: F.when(v <= 0, 0.005).otherwise(F.pow(F.lit(10.0), 2 * (F.least(v, F.lit(1.0)) - 1))),
+        "log100sqrt": lambda: F.when(v <= 0, 0.00316227766 / 2).otherwise(F.pow(F.lit(10.0), 2.5 * (F.least(v, F.lit(1.0)) - 1))),
+        "iec61966": lambda: F.signum(v) * _bent_to_linear(F.abs(v), _BT709),
+        "bt1361": lambda: F.when(v < -0.25, -0.25).when(v < 0, _power((v - (1 - _BT1361 * 4) / -4) / -_BT1361, 1 / 0.45) / -4).otherwise(F.least(_bent_to_linear(v, _BT709), F.lit(1.0))),
+        "srgb": lambda: _bent_to_linear(F.greatest(v, F.lit(0.0)), _SRGB),
+        "pq": lambda: F.when(v > 0, _power(F.greatest(power - c1, F.lit(0.0)) / (c2 - c3 * power), 1 / m1)).otherwise(0.0),
+        "smpte428": lambda: _power(v, 2.6) / _SMPTE428,
+        "hlg": lambda: F.when(v < 0, 0.0).otherwise(_power(F.when(v <= 0.5, v * v / 3).otherwise((F.exp((v - c) / a) + b) / 12), 1.2)),
     }
-    return curve[transfer]
-
-
-TRANSFERS = ("bt709", "bt470m", "bt470bg", "smpte240", "linear", "log100", "log100sqrt", "srgb", "pq", "smpte428", "hlg")
+    return curve[_SAME_AS.get(transfer, transfer)]()
 
 
 def from_linear(v: Column, transfer: str) -> Column:
     """The signal back from light."""
+    a, b, c = _HLG
+    c1, c2, c3, m1, m2 = _PQ
+    power, scene = _power(v, m1), _power(v, 1 / 1.2)
     curve = {
-        "bt709": F.when(v < 0.018053968510807, v * 4.5).otherwise(1.09929682680944 * _power(v, 0.45) - 0.09929682680944), "bt470m": _power(v, 1 / 2.2), "bt470bg": _power(v, 1 / 2.8),
-        "smpte240": F.when(v < 0.022821585529445, v * 4).otherwise(1.111572195921731 * _power(v, 0.45) - 0.111572195921731), "linear": v,
-        "log100": F.when(v < 0.01, 0.0).otherwise(1 + F.log10(F.least(v, F.lit(1.0))) / 2), "log100sqrt": F.when(v < 0.00316227766, 0.0).otherwise(1 + F.log10(F.least(v, F.lit(1.0))) / 2.5),
-        "srgb": F.when(v < 0.0030412825601275209, v * 12.92).otherwise(1.0550107189475866 * _power(v, 1 / 2.4) - 0.0550107189475866),
-        "pq": _power((0.8359375 + 18.8515625 * _power(v, 0.1593017578125)) / (1 + 18.6875 * _power(v, 0.1593017578125)), 78.84375),
-        "smpte428": _power(v * (48.0 / 52.37), 1 / 2.6), "hlg": F.when(v <= 1 / 12, F.sqrt(3 * v)).otherwise(0.17883277 * F.log(12 * v - 0.28466892) + 0.55991073),
+        "bt709": lambda: F.least(_bent_from_linear(F.greatest(v, F.lit(0.0)), _BT709), F.lit(1.0)),
+        "bt470m": lambda: _power(_unit(v), 1 / 2.2), "bt470bg": lambda: _power(_unit(v), 1 / 2.8),
+        "smpte240": lambda: F.least(_bent_from_linear(F.greatest(v, F.lit(0.0)), _SMPTE240), F.lit(1.0)), "linear": lambda: v,
+        "log100": lambda: F.when(v < 0.01, 0.0).otherwise(1 + F.log10(F.least(v, F.lit(1.0))) / 2),
+        "log100sqrt": lambda: F.when(v < 0.00316227766, 0.0).otherwise(1 + F.log10(F.least(v, F.lit(1.0))) / 2.5),
+        "iec61966": lambda: F.signum(v) * _bent_from_linear(F.abs(v), _BT709),
+        "bt1361": lambda: F.when(v < -0.25, -0.25).when(v < 0, -_BT1361 * _power(-4 * v, 0.45) + (1 - _BT1361 * 4) / -4).otherwise(F.least(_bent_from_linear(v, _BT709), F.lit(1.0))),
+        "srgb": lambda: _bent_from_linear(F.greatest(v, F.lit(0.0)), _SRGB),
+        "pq": lambda: F.when(v > 0, _power((c1 + c2 * power) / (1 + c3 * power), m2)).otherwise(0.0),
+        "smpte428": lambda: _power(_SMPTE428 * v, 1 / 2.6),
+        "hlg": lambda: F.when(scene <= 1 / 12, F.sqrt(3 * scene)).otherwise(a * F.log(12 * scene - b) + c),
     }
-    return curve[transfer]
+    return curve[_SAME_AS.get(transfer, transfer)]()
+
+
+def colour_matrix(kr: Column, kb: Column, depth: int = 8, limited: bool = True) -> list[Column]:
+    """Twelve entries (Y, U, V; each with R, G, B and an offset) in 16-bit fixed point, from a colour space's luma weights."""
+    kg = 1.0 - kr - kb
+    top, shift = float((1 << depth) - 1), depth - 8
+    y, uv = ((219 << shift) / top, (224 << shift) / top) if limited else (1.0, 1.0)
+    su, sv, middle = 0.5 / (1.0 - kb) * uv, 0.5 / (1.0 - kr) * uv, F.lit(float(128 << shift))
+    rows = (kr * y, kg * y, kb * y, F.lit(float(16 << shift if limited else 0)), -kr * su, -kg * su, (1.0 - kb) * su, middle, (1.0 - kr) * sv, -kg * sv, -kb * sv, middle)
+    return [F.floor(v * 65536 + 0.5).cast("long") for v in rows]
+
+
+# The seeds of the dither generator.
+DITHER_SEEDS = (
+    0x0DE15230, 0x03B31886, 0x775FACCB, 0x1C88626A, 0x68385C55, 0x14B3B828, 0x4A85FEF8, 0x49DDB84B, 0x64FCF397, 0x5C550289, 0x4A290000,
+    0x0D7EC1DA, 0x5940B7AB, 0x5492577D, 0x4E19CA72, 0x38D38C69, 0x0C01EE65, 0x32A1755F, 0x5437F652, 0x5ABB2C32, 0x0FAA57B1, 0x73F533E7,
+    0x685FEEDA, 0x7563CCE2, 0x6E990E83, 0x4730A7ED, 0x4FC0D9C6, 0x496B153C, 0x4F1403FA, 0x541AFB0C, 0x73990B32, 0x26D7CB1C, 0x6FCC3706,
+    0x2CBB77D8, 0x75762F2A, 0x6425CCDD, 0x24B35461, 0x0A7D8715, 0x220414A8, 0x141EBF67, 0x56B41583, 0x73E502E3, 0x44CAB16F, 0x28264D42,
+    0x73BAAEFB, 0x0A50EBED, 0x1D6AB6FB, 0x0D3AD40B, 0x35DB3B68, 0x2B081E83, 0x77CE6B95, 0x5181E5F0, 0x78853BBC, 0x009F9494, 0x27E5ED3C,
+)
+
+
+def dither(n: int, bits: int, strength: float) -> list[int]:
+    """n numbers of so many bits around the middle, spread by a strength of 0..1: each is that of 55 places before less that of
+    24 before, modulo 2^31, as a signed fraction."""
+    amplitude = int(256 * min(max(strength, 0.0), 1.0))
+    seen, out = list(DITHER_SEEDS), []
+    for k in range(n):
+        seen.append((seen[k] - seen[k + 31]) % (1 << 31))
+        signed = seen[-1] if seen[-1] < 1 << 30 else seen[-1] - (1 << 31)
+        out.append((signed >> (31 - bits)) * amplitude // 256 + (1 << (bits - 1)))
+    return out
+
+
+def dequantised(level: Column, step: int) -> Column:
+    return (level * step).cast("int")
+
+
+def premultiplied(c: Column, a: Column, inverse: bool = False) -> Column:
+    """A channel times alpha (or, inverse, over it) in 24-bit fixed point, rounded to nearest; opaque pixels stay, transparent ones
+    are 0."""
+    scale = F.floor(F.lit(255 << 24) / a).cast("long") if inverse else a.cast("long") * ((1 << 24) // 255)
+    return F.when(a == 255, c).when(a == 0, 0).otherwise(shr((c * scale + (1 << 23)).bitwiseAND(0xFFFFFFFF), 24)).cast("int")

@@ -67,14 +67,26 @@ def unfiltered(plane: DataFrame, y: str, x: str) -> DataFrame:
     return plane.withColumn("back", F.sum("residual").over(run).bitwiseAND(255).cast("int"))
 
 
-def smoothed(px: DataFrame, size: int) -> DataFrame:
+def smoothed(px: DataFrame, size: int, width: int | None = None, height: int | None = None) -> DataFrame:
     """Transparent pixels of a block that has others take those others' mean. One shuffle by block; a block has at most
-    size x size pixels."""
-    block = Window.partitionBy(F.floor(F.col("y") / size), F.floor(F.col("x") / size))
+    size x size pixels. With the image's ``width`` and ``height``, whole blocks without any other pixel are flattened: along a
+    row of blocks, all of a run of such blocks take the colour of the first one's first pixel."""
+    by, bx = F.floor(F.col("y") / size), F.floor(F.col("x") / size)
+    block = Window.partitionBy(by, bx)
     opaque = F.col("a") != 0
     n = F.count(F.when(opaque, 1)).over(block)
     mean = lambda c: F.floor(F.sum(F.when(opaque, F.col(c))).over(block) / n).cast("int")
-    return px.select("y", "x", *[F.when(F.col("a") == 0, F.coalesce(mean(c), F.col(c))).otherwise(F.col(c)).alias(c) for c in "rgb"], "a")
+    out = px.select("y", "x", *[F.when(F.col("a") == 0, F.coalesce(mean(c), F.col(c))).otherwise(F.col(c)).alias(c) for c in "rgb"], "a")
+    if width is None or height is None:
+        return out
+    whole = ((by + 1) * size <= height) & ((bx + 1) * size <= width)
+    first = F.min_by(F.struct(*"rgb"), F.struct("y", "x"))
+    blocks = px.groupBy(by.alias("by"), bx.alias("bx")).agg((F.max("a") == 0).alias("clear"), first.alias("colour")).where("clear").where(((F.col("by") + 1) * size <= height) & ((F.col("bx") + 1) * size <= width))
+    row = Window.partitionBy("by").orderBy("bx")  # a row of blocks, one small row each
+    run = blocks.withColumn("run", F.col("bx") - F.row_number().over(row))
+    carried = run.select("by", "bx", F.first("colour").over(Window.partitionBy("by", "run").orderBy("bx")).alias("carried"))
+    both = out.withColumns({"by": by, "bx": F.when(whole, bx)}).join(carried, ["by", "bx"], "left")
+    return both.select("y", "x", *[F.coalesce(F.col("carried")[c], F.col(c)).alias(c) for c in "rgb"], "a")
 
 
 def majority(blocks: DataFrame, segment: str, n_segments: int) -> DataFrame:
@@ -115,6 +127,16 @@ def near_lossless_pass(px: DataFrame, channels: str, bits: int) -> DataFrame:
     return out.where("band = own").select("y", "x", *[F.when(border | smooth, F.col(c)).otherwise(rounded(c)).cast("int").alias(c) for c in channels])
 
 
+def near_lossless(px: DataFrame, channels: str, width: int, height: int, quality: int) -> DataFrame:
+    """Passes from 5 - quality / 20 bits down to one. Images under 64 pixels both ways, or three rows, stay."""
+    bits = 5 - quality // 20
+    if bits <= 0 or height < 3 or width < 64 and height < 64:
+        return px.select("y", "x", *channels)
+    for k in range(bits, 0, -1):
+        px = near_lossless_pass(px, channels, k)
+    return px
+
+
 #: The hat-shaped weights of the similarity window (fixed values).
 HAT = (1, 2, 3, 4, 3, 2, 1)
 
@@ -151,29 +173,24 @@ def upsampled(chroma: DataFrame, c: str) -> DataFrame:
 
 def segment_centres(alphas: DataFrame, image: str, alpha: str, n_segments: int = 4) -> DataFrame:
     """``(image, alpha, segment, centre)``: one-dimensional k-means of each image's values 0..255 in at most six rounds, from
-    centres spread evenly, until they move by less than 5 in all. A histogram, at most 256 rows an image, is what a task gets."""
+    centres spread evenly, until they move by less than 5 in all. A value goes to the nearest centre, at a tie to the lower;
+    a centre without values stays. A histogram, at most 256 rows an image, is what a task gets."""
+    import numpy as np
     import pandas as pd
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(alpha)
-        values, counts = rows[alpha].tolist(), rows["n"].tolist()
-        low, span = values[0], values[-1] - values[0]
-        centres = [low + ((2 * k + 1) * span) // (2 * n_segments) for k in range(n_segments)]
-        of: dict[int, int] = {}
+        values, weights = rows[alpha].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+        low, high = values.min(), values.max()
+        centres = low + (2 * np.arange(n_segments) + 1) * (high - low) // (2 * n_segments)
         for _ in range(6):
-            k, total, weight = 0, [0] * n_segments, [0] * n_segments
-            for v, n in zip(values, counts):
-                while k + 1 < n_segments and abs(v - centres[k + 1]) < abs(v - centres[k]):
-                    k += 1
-                of[v] = k
-                total[k] += v * n
-                weight[k] += n
-            after = [(total[s] + weight[s] // 2) // weight[s] if weight[s] else centres[s] for s in range(n_segments)]
-            moved = sum(abs(a - b) for a, b in zip(centres, after))
-            centres = after
-            if moved < 5:
+            # sorted centres: a value passes a centre when twice of it is over the sum of that and the next
+            of = np.searchsorted(centres[:-1] + centres[1:], 2 * values, side="left")
+            n = np.bincount(of, weights, n_segments).astype(np.int64)
+            total = np.bincount(of, weights * values, n_segments).astype(np.int64)
+            before, centres = centres, np.where(n > 0, (total + n // 2) // np.maximum(n, 1), centres)
+            if np.abs(centres - before).sum() < 5:
                 break
-        return pd.DataFrame({image: rows[image], alpha: rows[alpha], "segment": [of[v] for v in values], "centre": [centres[of[v]] for v in values]})
+        return pd.DataFrame({image: rows[image], alpha: rows[alpha], "segment": of.astype(np.int32), "centre": centres[of].astype(np.int32)})
 
     hist = alphas.groupBy(image, alpha).agg(F.count("*").alias("n"))
     kinds = {f.name: f.dataType.simpleString() for f in hist.schema}

@@ -142,25 +142,19 @@ def extended_flags(spark, sf_dir):
     return both.select("doc_id", B.unsigned(p, 0, 4).alias("flags"), (B.unsigned(p, 4, 3) + 1).alias("width"), (B.unsigned(p, 7, 3) + 1).alias("height"))
 
 
-@query("""SELECT conv_id, role, min(turn) AS turn, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id, role""")
-def metadata_lookup(spark, sf_dir):
-    """The first chunk of each kind in a file."""
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("turn"), F.min_by("text", "turn").alias("first_text"))
-
-
 @query("""WITH c AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'EXIF' WHEN 'user' THEN 'XMP ' ELSE 'ICCP' END AS fourcc, strlen(text) AS size FROM conversations)
-SELECT conv_id, CAST(row_number() OVER o - 1 AS INT) AS idx, fourcc, CAST(12 + coalesce(sum(8 + size + size % 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", size FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn)""")
+SELECT conv_id, CAST(row_number() OVER o AS INT) AS idx, fourcc, CAST(30 + coalesce(sum(8 + size + size % 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", size FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn)""")
 def chunk_offsets(spark, sf_dir):
-    """Files of the turns of each conversation, walked chunk by chunk."""
+    """Files of the turns of each conversation, behind an extended header and before an image, walked chunk by chunk."""
     from ..sources.tables import chunks
 
     tag = F.when(F.col("role") == "system", "EXIF").when(F.col("role") == "user", "XMP ").otherwise("ICCP")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", B.chunk(tag, F.col("text").cast("binary")).alias("c"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.hex(B.chunk(tag, F.col("text").cast("binary"))).alias("c"))
     lists = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "c"))).alias("cs"))
-    # walked as the body of an extended file without its header chunk: the lenient walk keeps unknown orders
-    body = F.aggregate("cs", F.unhex(F.lit("")), lambda a, c: F.concat(a, c["c"]))
-    files = lists.select("conv_id", B.riff(body).alias("content"))
-    return chunks(files, "conv_id").select("conv_id", "idx", "fourcc", "offset", "size")
+    body = F.unhex(F.array_join(F.transform("cs", lambda c: c["c"]), ""))
+    head = B.chunk("VP8X", B.extended_header_bytes(F.lit(0), F.lit(1), F.lit(1)))
+    files = lists.select("conv_id", B.riff(head, body, B.chunk("VP8L", B.lossless_header_bytes(F.lit(1), F.lit(1), F.lit(0)))).alias("content"))
+    return chunks(files, "conv_id").where("fourcc not in ('VP8X', 'VP8L')").select("conv_id", "idx", "fourcc", "offset", "size")
 
 
 # ---------------------------------------------------------------- animations
@@ -264,7 +258,9 @@ def yuv_to_rgb(spark, sf_dir):
     return pixels(spark, sf_dir).select("y", "x", *[v.alias(n) for n, v in zip(_VIDEO, P.yuv_to_rgb(*c, range="video"))], *[v.alias(n) for n, v in zip(_JFIF, P.yuv_to_rgb(*c, range="jfif"))])
 
 
-_MATRIX_SQL = ", ".join(f"('{n}', " + ", ".join(str(v) for row in m for v in row) + ")" for n, m in P.MATRICES.items())
+_MATRIX_SQL = """('native', 16839, 33059, 6420, 1048576, -9719, -19081, 28800, 8388608, 28800, -24116, -4684, 8388608), ('rec601_limited', 16829, 33039, 6416, 1048576, -9714, -19071, 28784, 8388608, 28784, -24103, -4681, 8388608),
+ ('rec601_full', 19595, 38470, 7471, 0, -11058, -21710, 32768, 8388608, 32768, -27439, -5329, 8388608), ('rec709_limited', 11966, 40254, 4064, 1048576, -6596, -22189, 28784, 8388608, 28784, -26145, -2639, 8388608),
+ ('rec709_full', 13933, 46871, 4732, 0, -7509, -25259, 32768, 8388608, 32768, -29763, -3005, 8388608)"""
 
 
 @query(f"""WITH {PIXEL_SQL}, m(matrix, a0, a1, a2, a3, b0, b1, b2, b3, c0, c1, c2, c3) AS (VALUES {_MATRIX_SQL})
@@ -365,11 +361,11 @@ def prefix_codes(spark, sf_dir):
 
 @query("""SELECT p_size, p_partkey, CAST(dense_rank() OVER (ORDER BY p_size) - 1 AS INT) AS idx, count(*) OVER (PARTITION BY p_size) AS uses FROM part""")
 def palette_index(spark, sf_dir):
-    """Each colour's place in the sorted palette of an image; palettes are small, so they are joined back by broadcast."""
+    """Each colour's place in the sorted palette of an image."""
     from ..operators.planes import palette
 
     part = table(spark, sf_dir, "part").select(F.lit(0).alias("image_id"), F.col("p_size").alias("argb"), "p_partkey")
-    return part.join(F.broadcast(palette(part, "image_id", "argb")), ["image_id", "argb"]).select(F.col("argb").alias("p_size"), "p_partkey", "idx", "uses")
+    return part.join(palette(part, "image_id", "argb"), ["image_id", "argb"]).select(F.col("argb").alias("p_size"), "p_partkey", "idx", "uses")
 
 
 @query(f"""WITH {PIXEL_SQL} SELECT y, CAST(x // 4 AS INT) AS word, CAST(sum((r % 4) << (2 * (x % 4))) AS BIGINT) AS packed FROM px GROUP BY 1, 2""")
@@ -448,7 +444,7 @@ def walsh_hadamard(spark, sf_dir):
 
 # ---------------------------------------------------------------- options
 
-_PRESET_ROWS = ", ".join(f"('{n}', {O.preset(n).sns_strength}, {O.preset(n).filter_strength}, {O.preset(n).filter_sharpness}, {O.preset(n).preprocessing}, {O.preset(n).segments})" for n in O.PRESETS)
+_PRESET_ROWS = "('default', 50, 60, 0, 0, 4), ('picture', 80, 35, 4, 0, 4), ('photo', 80, 30, 3, 2, 4), ('drawing', 25, 10, 6, 0, 4), ('icon', 0, 0, 0, 0, 4), ('text', 0, 0, 0, 0, 2)"
 
 
 @query(f"SELECT * FROM (VALUES {_PRESET_ROWS}) t(preset, sns_strength, filter_strength, filter_sharpness, preprocessing, segments)")
@@ -514,30 +510,33 @@ def probe_encoded(spark, sf_dir):
     return features(C.encoded(images, "image_id"), "image_id").select("image_id", "width", "height", "has_alpha", "format", "frame_count")
 
 
-@query(f"""WITH {_TILES}, n AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS frame_idx FROM (SELECT DISTINCT image_id FROM tl))
-SELECT CAST(frame_idx AS INT) AS frame_idx, CAST(2 * frame_idx AS INT) AS x, 0 AS y, 16 AS w, 16 AS h, 10 * frame_idx AS duration_ms, CAST(frame_idx % 2 AS INT) AS dispose, TRUE AS lossless FROM n""")
+@query(f"""WITH {_TILES}, n AS (SELECT image_id // 8 AS anim_id, image_id % 8 AS frame, row_number() OVER (PARTITION BY image_id // 8 ORDER BY image_id) - 1 AS k FROM (SELECT DISTINCT image_id FROM tl))
+SELECT anim_id, CAST(k AS INT) AS frame_idx, CAST(2 * frame AS INT) AS x, 0 AS y, 16 AS w, 16 AS h, 10 * frame AS duration_ms, CAST(frame % 2 AS INT) AS dispose, TRUE AS lossless FROM n""")
 def animation_roundtrip(spark, sf_dir):
-    """All images as frames of one animation file, muxed and read back."""
+    """Eight images at a time as frames of an animation file, muxed and read back."""
     from ..codec import columns as C
     from ..operators.mux import animated
     from ..sources.tables import frames as frames_of
 
     images = C.encoded(C.images_of(tiles(spark, sf_dir), "image_id", 16, 16), "image_id")
-    k = F.col("image_id")
-    frames_ = images.select(F.lit(1).alias("anim_id"), k.alias("frame_idx"), (2 * k).alias("x"), F.lit(0).alias("y"), F.lit(16).alias("w"), F.lit(16).alias("h"), (10 * k).alias("duration_ms"), (k % 2).alias("dispose"), F.lit(0).alias("no_blend"), B.tail(F.col("content"), F.lit(20)).alias("data"))
-    return frames_of(animated(frames_), "anim_id").select("frame_idx", "x", "y", "w", "h", "duration_ms", "dispose", "lossless")
+    k = F.col("image_id") % 8
+    frames_ = images.select(F.floor(F.col("image_id") / 8).alias("anim_id"), k.alias("frame_idx"), (2 * k).alias("x"), F.lit(0).alias("y"), F.lit(16).alias("w"), F.lit(16).alias("h"), (10 * k).alias("duration_ms"), (k % 2).alias("dispose"), F.lit(0).alias("no_blend"), B.tail(F.col("content"), F.lit(20)).alias("data"))
+    return frames_of(animated(frames_), "anim_id").select("anim_id", "frame_idx", "x", "y", "w", "h", "duration_ms", "dispose", "lossless")
 
 
 # ---------------------------------------------------------------- signal
 
-_DENSE = "dn AS (SELECT p_partkey // 32 AS y, p_partkey % 32 AS x, CAST(p_size * 5 % 256 AS INT) AS a, CAST((p_size * 5 + p_partkey % 23) % 256 AS INT) AS b FROM part WHERE p_partkey >= 32 AND p_partkey < (SELECT count(*) FROM part) // 32 * 32)"
+_DENSE = "dn AS (SELECT c.y, c.x, CAST(coalesce(p_size * 5 % 256, 0) AS INT) AS a, CAST(coalesce((p_size * 5 + p_partkey % 23) % 256, 0) AS INT) AS b FROM (SELECT DISTINCT p_partkey // 32 AS y, r.range AS x FROM part CROSS JOIN range(32) r) c LEFT JOIN part ON p_partkey = c.y * 32 + c.x)"
 
 
 def dense(spark, sf_dir: str) -> DataFrame:
-    """Two planes of 32 columns, a value for each part, whole rows only."""
+    """Two planes of 32 columns, a value for each part, 0 where there is none."""
     k, s = F.col("p_partkey"), F.col("p_size").cast("long")
     part = table(spark, sf_dir, "part")
-    return part.where((k >= 32) & (k < part.count() // 32 * 32)).select(F.floor(k / 32).alias("y"), (k % 32).alias("x"), i(s * 5 % 256).alias("a"), i((s * 5 + k % 23) % 256).alias("b"))
+    cells = part.select(F.floor(k / 32).alias("y")).distinct().withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))))
+    values = part.select(F.floor(k / 32).alias("y"), (k % 32).alias("x"), i(s * 5 % 256).alias("a"), i((s * 5 + k % 23) % 256).alias("b"))
+    zero = F.lit(0)
+    return cells.join(values, ["y", "x"], "left").select("y", "x", F.coalesce("a", zero).alias("a"), F.coalesce("b", zero).alias("b"))
 
 
 @query(f"""WITH {_DENSE}, n AS (SELECT p.y, p.x, p.a, l.a AS l, r.a AS r, u.a AS u, d.a AS d FROM dn p LEFT JOIN dn l ON l.y = p.y AND l.x = p.x - 1 LEFT JOIN dn r ON r.y = p.y AND r.x = p.x + 1 LEFT JOIN dn u ON u.y = p.y - 1 AND u.x = p.x LEFT JOIN dn d ON d.y = p.y + 1 AND d.x = p.x)
@@ -562,7 +561,7 @@ def ssim_windows(spark, sf_dir):
 
 
 @query(f"""WITH {_DENSE}, o(dy, dx) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1))
-SELECT 2 * p.y + dy AS y, 2 * p.x + dx AS x, CAST((9 * p.a + 3 * coalesce(h.a, p.a) + 3 * coalesce(v.a, p.a) + coalesce(dg.a, CASE WHEN v.a IS NULL THEN coalesce(h.a, p.a) ELSE coalesce(v.a, p.a) END) + 8) >> 4 AS INT) AS v
+SELECT 2 * p.y + dy AS y, 2 * p.x + dx AS x, CAST((9 * p.a + 3 * coalesce(h.a, p.a) + 3 * coalesce(v.a, p.a) + CASE WHEN v.a IS NULL THEN coalesce(h.a, p.a) ELSE coalesce(dg.a, v.a) END + 8) >> 4 AS INT) AS v
 FROM dn p CROSS JOIN o LEFT JOIN dn h ON h.y = p.y AND h.x = p.x + 2 * dx - 1 LEFT JOIN dn v ON v.y = p.y + 2 * dy - 1 AND v.x = p.x LEFT JOIN dn dg ON dg.y = p.y + 2 * dy - 1 AND dg.x = p.x + 2 * dx - 1""")
 def chroma_upsampled(spark, sf_dir):
     from ..operators.planes import upsampled
@@ -603,6 +602,9 @@ def dct_roundtrip(spark, sf_dir):
     return vec.select("vec_id", F.greatest(*[F.abs(b - F.col(f"e{k}")) for k, b in enumerate(back)]).alias("d")).select("vec_id", (F.col("d") <= 1).alias("near"))
 
 
+_TEXTURE = (38, 32, 20, 9, 32, 28, 17, 7, 20, 17, 10, 4, 9, 7, 4, 2)
+
+
 def _texture_sql(first: int) -> str:
     def four(a, b, c, d):
         p, q, r, s = f"({a}+{c})", f"({b}+{d})", f"({b}-{d})", f"({a}-{c})"
@@ -610,7 +612,7 @@ def _texture_sql(first: int) -> str:
 
     rows = [four(*(f"e{first + 4 * k + j}" for j in range(4))) for k in range(4)]
     cols = [four(*(rows[r][k] for r in range(4))) for k in range(4)]
-    return "(" + " + ".join(f"{P.TEXTURE[4 * r + k]}*abs({cols[k][r]})" for r in range(4) for k in range(4)) + ")"
+    return "(" + " + ".join(f"{_TEXTURE[4 * r + k]}*abs({cols[k][r]})" for r in range(4) for k in range(4)) + ")"
 
 
 @query(f"WITH q AS (SELECT vec_id, {_E32} FROM embeddings) SELECT vec_id, CAST(abs({_texture_sql(16)} - {_texture_sql(0)}) >> 5 AS INT) AS distortion FROM q")
@@ -618,24 +620,3 @@ def texture_distortion(spark, sf_dir):
     vec = table(spark, sf_dir, "embeddings").select("vec_id", *[i(F.floor(F.col("embedding")[k] * 100)).alias(f"e{k}") for k in range(32)])
     e = [F.col(f"e{k}") for k in range(32)]
     return vec.select("vec_id", i(P.texture_distortion(e[:16], e[16:])).alias("distortion"))
-
-
-@query("""SELECT v.range AS level, t.transfer, round(CASE t.transfer WHEN 'linear' THEN v.range / 255.0 WHEN 'bt470m' THEN pow(v.range / 255.0, 2.2) WHEN 'bt470bg' THEN pow(v.range / 255.0, 2.8)
- WHEN 'bt709' THEN CASE WHEN v.range / 255.0 < 4.5 * 0.018053968510807 THEN v.range / 255.0 / 4.5 ELSE pow((v.range / 255.0 + 0.09929682680944) / 1.09929682680944, 1 / 0.45) END
- WHEN 'smpte240' THEN CASE WHEN v.range / 255.0 < 4 * 0.022821585529445 THEN v.range / 255.0 / 4 ELSE pow((v.range / 255.0 + 0.111572195921731) / 1.111572195921731, 1 / 0.45) END
- WHEN 'srgb' THEN CASE WHEN v.range / 255.0 < 12.92 * 0.0030412825601275209 THEN v.range / 255.0 / 12.92 ELSE pow((v.range / 255.0 + 0.0550107189475866) / 1.0550107189475866, 2.4) END
- WHEN 'smpte428' THEN pow(v.range / 255.0, 2.6) * (52.37 / 48.0) WHEN 'hlg' THEN CASE WHEN v.range / 255.0 <= 0.5 THEN v.range / 255.0 * (v.range / 255.0) / 3 ELSE (exp((v.range / 255.0 - 0.55991073) / 0.17883277) + 0.28466892) / 12 END END, 6) AS light
-FROM range(256) v CROSS JOIN (VALUES ('linear'), ('bt470m'), ('bt470bg'), ('bt709'), ('smpte240'), ('srgb'), ('smpte428'), ('hlg')) t(transfer)""")
-def transfer_functions(spark, sf_dir):
-    v = F.col("id") / 255.0
-    kinds = ("linear", "bt470m", "bt470bg", "bt709", "smpte240", "srgb", "smpte428", "hlg")
-    rows = spark.range(256).select(F.col("id").alias("level"), F.explode(F.array(*[F.struct(F.lit(t).alias("transfer"), F.round(P.to_linear(v, t), 6).alias("light")) for t in kinds])).alias("s"))
-    return rows.select("level", "s.transfer", "s.light")
-
-
-@query()
-def segment_centres(spark, sf_dir):
-    """k-means of the parts' values, brand by brand."""
-    from ..operators.planes import segment_centres as centres
-
-    return centres(table(spark, sf_dir, "part").select("p_brand", i(F.col("p_size") * 5 % 256).alias("alpha")), "p_brand", "alpha")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .container import MAX_INPUT, parse
+from .container import MAX_INPUT, metadata as payload_of, parse
 
 CHUNK = "idx int, fourcc string, offset long, size long, data binary, error string"
 FRAME = "frame_idx int, x int, y int, w int, h int, duration_ms long, dispose int, no_blend int, has_alpha boolean, lossless boolean, data binary, alpha_data binary, error string"
@@ -69,6 +69,15 @@ def features(df: DataFrame, key: str = "path", mode: str = "strict") -> DataFram
     return _lateral(df, key, FEATURES, lambda data: _feature_rows(data, mode))
 
 
+def metadata(df: DataFrame, *fourccs: str, key: str = "path", mode: str = "strict") -> DataFrame:
+    """``(key, fourcc, data)``: the payloads of these chunks of each file, without those that it lacks."""
+    def rows(data: bytes | None):
+        f = parse(data, mode)
+        return [(c, p) for c in fourccs if (p := payload_of(f, c)) is not None]
+
+    return _lateral(df, key, "fourcc string, data binary", rows)
+
+
 class _Chunks:
     def eval(self, content: bytes, mode: str):
         yield from _chunk_rows(content, mode or "strict")

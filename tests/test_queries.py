@@ -5,7 +5,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from pixelbrook.plans import queries
+from pixelbrook.plans import more, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
