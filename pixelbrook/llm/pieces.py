@@ -47,7 +47,7 @@ SPACE, ESCAPED, GOES_ON = "▁", "\ud800", "\ud801"  # no UTF-8 text has the lat
 _UNIT = re.compile(f"\n[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _BLOCK = 1 << 18
 #: Places that a worker's lattice grows to, and nodes from a branching on whose regions are kept apart at once.
-PLACES, HEAD = 2_000_000, 96
+PLACES, HEAD = 1_200_000, 96
 #: Characters from which a unit is looked at for places where it falls apart, and those summed and drawn side by side.
 LONG, TALL = 64, 256
 _SLOTS = 20
@@ -221,7 +221,7 @@ class Lattice:
     ``at[e]`` to ``go[e]`` (END at a unit's end) with log chance ``log[e]``; place i has the edges from first[i] to first[i + 1].
     It grows to ``PLACES`` places and is then begun anew."""
 
-    END = np.int64(1) << 40
+    END = 2**31 - 1
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -233,8 +233,8 @@ class Lattice:
         self.room = places, 4 * places
         self.tall: dict[int, np.ndarray] = {}  # all places of a tall unit, by its first
         self.log, self.others = np.empty(self.room[1]), np.empty(self.room[1])
-        self.at, self.go, self.piece = np.empty(self.room[1], np.int64), np.empty(self.room[1], np.int64), np.empty(self.room[1], np.int32)
-        self.offset, self.best, self.first = np.empty(places, np.int64), np.empty(places, np.int64), np.zeros(places + 1, np.int64)
+        self.at, self.go, self.piece = (np.empty(self.room[1], np.int32) for _ in range(3))
+        self.offset, self.best, self.first = np.empty(places, np.int32), np.empty(places, np.int32), np.zeros(places + 1, np.int32)
         self.codes, self.best_chance = np.empty(places, np.uint32), np.empty(places)
 
     def begin(self, units_of: list[list[str]]) -> np.ndarray:
