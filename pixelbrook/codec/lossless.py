@@ -115,7 +115,7 @@ def _entropy_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray
     meta, meta_bits, n_groups = None, 0, 1
     if main and r.read(1):
         meta_bits = r.read(3) + 2
-        mw, mh = -(-width >> meta_bits) if False else (width + (1 << meta_bits) - 1) >> meta_bits, (height + (1 << meta_bits) - 1) >> meta_bits
+        mw, mh = (width + (1 << meta_bits) - 1) >> meta_bits, (height + (1 << meta_bits) - 1) >> meta_bits
         meta = ((_entropy_image(r, mw, mh, False) >> 8) & 0xFFFF).reshape(mh, mw)
         n_groups = int(meta.max()) + 1
     used = set(range(n_groups)) if meta is None else set(np.unique(meta).tolist())

@@ -82,6 +82,12 @@ def changed_rect(pixels: DataFrame, image: str, before: dict[str, Column], after
     )
 
 
+def frame_bounds(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """A frame's rectangle (ends exclusive); an end beyond 64 bits is the greatest number."""
+    end = lambda at, size: F.coalesce(F.try_add(at.cast("long"), size.cast("long")), F.lit((1 << 63) - 1))
+    return F.struct(x.cast("long").alias("x0"), y.cast("long").alias("y0"), end(x, w).alias("x1"), end(y, h).alias("y1"))
+
+
 CANVAS = "anim_id long, frame_idx long, width int, height int, data binary"
 
 

@@ -171,6 +171,31 @@ def upsampled(chroma: DataFrame, c: str) -> DataFrame:
     return out.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
 
 
+def chroma_sums(px: DataFrame, *keys: str) -> DataFrame:
+    """``(keys..., by, bx, r4, g4, b4, a4)``: averages of 2 x 2 blocks in linear light, times four, each pixel weighed by its alpha where
+    some but not all of the block is transparent; blocks at an odd edge count their pixels twice. Partial sums before the shuffle."""
+    linear = lambda c: F.floor(F.pow(F.col(c) / 255.0, F.lit(0.8)) * 4095 + 0.5).cast("long")
+    tab = lambda k: F.floor(F.pow(k * (128.0 / 4095), F.lit(1.25)) * 255 + 0.5).cast("long")
+    sums = px.groupBy(*keys, F.floor(F.col("y") / 2).alias("by"), F.floor(F.col("x") / 2).alias("bx")).agg(
+        F.count("*").alias("n"), F.sum("a").alias("a4"), *[F.sum(linear(c)).alias(f"s{c}") for c in "rgb"], *[F.sum(F.col("a") * linear(c)).alias(f"w{c}") for c in "rgb"]
+    )
+    times = F.floor(F.lit(4) / F.col("n"))
+    alpha = F.col("a4") * times
+
+    def averaged(c):
+        weighed = F.shiftright(F.col(f"w{c}") * times * F.floor(F.lit(1 << 19) / F.greatest(alpha, F.lit(1))), 17)
+        v = F.when((alpha == 0) | (alpha == 1020), F.col(f"s{c}") * times).otherwise(weighed)
+        at, on = F.least(F.shiftright(v, 9), F.lit(31)), v.bitwiseAND(511)
+        return F.shiftright(tab(at + 1) * on + tab(at) * (512 - on) + 64, 7).cast("int")
+
+    return sums.select(*keys, "by", "bx", *[averaged(c).alias(f"{c}4") for c in "rgb"], alpha.cast("int").alias("a4"))
+
+
+def translucent(px: DataFrame, image: str) -> DataFrame:
+    """``(image, has_alpha, alphas)``: whether any pixel isn't opaque, and how many different alphas there are."""
+    return px.groupBy(image).agg((F.min("a") < 255).alias("has_alpha"), F.countDistinct("a").alias("alphas"))
+
+
 def segment_centres(alphas: DataFrame, image: str, alpha: str, n_segments: int = 4) -> DataFrame:
     """``(image, alpha, segment, centre)``: one-dimensional k-means of each image's values 0..255 in at most six rounds, from
     centres spread evenly, until they move by less than 5 in all. A value goes to the nearest centre, at a tie to the lower;

@@ -350,3 +350,57 @@ def quantised_levels(spark, sf_dir):
     """Numbers of steps of 19, and the values that come back."""
     level = P.quantised(F.col("r") - 128, 19)
     return pixels(spark, sf_dir).select("y", "x", level.alias("level"), P.dequantised(level, 19).alias("back"))
+
+
+@query(f"""WITH {_PHOTO}, s AS (SELECT image_id, y // 2 AS by, x // 2 AS bx, count(*) AS n, sum(a) AS sa, """ + ", ".join(f"CAST(sum(floor(pow({c} / 255e0, 0.8e0) * 4095 + 0.5)) AS BIGINT) AS s{c}, CAST(sum(a * floor(pow({c} / 255e0, 0.8e0) * 4095 + 0.5)) AS BIGINT) AS w{c}" for c in "rgb") + """ FROM ph GROUP BY ALL),
+t AS (SELECT *, 4 // n AS f, CAST(sa * (4 // n) AS BIGINT) AS al FROM s), v AS (SELECT *, """ + ", ".join(f"CAST(CASE WHEN al IN (0, 1020) THEN s{c} * f ELSE (w{c} * f * (524288 // greatest(al, 1))) >> 17 END AS BIGINT) AS v{c}" for c in "rgb") + """ FROM t)
+SELECT image_id, "by", bx, """ + ", ".join(f"CAST((CAST(floor(pow((least(v{c} >> 9, 31) + 1) * (128e0 / 4095), 1.25e0) * 255 + 0.5) AS BIGINT) * (v{c} & 511) + CAST(floor(pow(least(v{c} >> 9, 31) * (128e0 / 4095), 1.25e0) * 255 + 0.5) AS BIGINT) * (512 - (v{c} & 511)) + 64) >> 7 AS INT) AS {c}4" for c in "rgb") + ", CAST(al AS INT) AS a4 FROM v")
+def chroma_in_linear_light(spark, sf_dir):
+    """Gamma-aware averages of the images' 2 x 2 blocks, weighed by alpha."""
+    from ..operators.planes import chroma_sums
+
+    return chroma_sums(photos(spark, sf_dir), "image_id")
+
+
+@query(f"WITH {_PHOTO} SELECT image_id, min(a) < 255 AS has_alpha, count(DISTINCT a) AS alphas FROM ph GROUP BY image_id")
+def translucent_images(spark, sf_dir):
+    from ..operators.planes import translucent
+
+    return translucent(photos(spark, sf_dir), "image_id")
+
+
+@query(f"""WITH {_PHOTO}, {_cells('ph', 64)}, q AS (SELECT c.image_id, c.y, c.x, """ + ", ".join(f"coalesce({n}, 0) AS {n}" for n in "rgba") + """ FROM cells c LEFT JOIN ph USING (image_id, y, x))
+SELECT q.image_id, q.y, q.x, """ + ", ".join(f"CAST(CASE WHEN s.y IS NOT NULL THEN s.{n} WHEN q.x < 4 THEN {v} ELSE q.{n} END AS INT) AS {n}" for n, v in zip("rgba", (9, 8, 7, 255))) + """
+FROM q LEFT JOIN q s ON s.image_id = q.image_id AND s.y = q.y - 48 AND s.x = q.x - 20 AND s.y BETWEEN 2 AND 31 AND s.x BETWEEN 30 AND 59""")
+def cropped_and_pasted(spark, sf_dir):
+    """A piece of each image laid over it elsewhere, partly beyond the edge, after a stripe was filled."""
+    from ..codec import columns as C
+    from ..operators import images as I
+
+    images = C.images_of(photos(spark, sf_dir), "image_id", 64, 64)
+    piece = I.cropped(images, "image_id", 30, 2, 30, 30)
+    return C.pixel_rows(I.pasted(I.filled(images, "image_id", -3, 0, 7, 99, (9, 8, 7, 255)), piece, "image_id", 50, 50), "image_id")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ycbcr' WHEN doc_id % 3 = 1 THEN 'rgba' END AS colour_model, CASE WHEN doc_id % 3 < 2 THEN CAST(doc_id % 500 + 1 AS INT) END AS width, CASE WHEN doc_id % 3 < 2 THEN CAST(doc_id % 300 + 1 AS INT) END AS height,
+ CASE WHEN doc_id % 3 = 2 THEN 'truncated chunk' END AS error FROM documents""")
+def decode_configs(spark, sf_dir):
+    """Colour model and size without decoding: lossy, lossless and cut files."""
+    from ..sources.tables import config
+
+    d = F.col("doc_id")
+    w, h = d % 500 + 1, d % 300 + 1
+    lossy = B.riff(B.chunk("VP8 ", B.lossy_header_bytes(w, h)))
+    lossless = B.riff(B.chunk("VP8L", B.lossless_header_bytes(w, h, F.lit(0))))
+    content = F.when(d % 3 == 0, lossy).when(d % 3 == 1, lossless).otherwise(F.substring(lossless, F.lit(1), F.lit(22)))
+    return config(table(spark, sf_dir, "documents").select("doc_id", content.alias("content")), "doc_id")
+
+
+@query("""SELECT event_id, CAST(CASE WHEN event_id % 9 = 0 THEN 9223372036854775800 ELSE event_id END AS BIGINT) AS x0, event_id % 50 AS y0, CASE WHEN event_id % 9 = 0 AND event_id % 20 > 7 THEN 9223372036854775807 WHEN event_id % 9 = 0 THEN 9223372036854775800 + event_id % 20 ELSE event_id + event_id % 20 END AS x1, event_id % 50 + 3 AS y1 FROM events""")
+def frame_rectangles(spark, sf_dir):
+    """Frames' rectangles, some of them at the end of what 64 bits hold."""
+    from ..operators.animation import frame_bounds
+
+    e = F.col("event_id")
+    x = F.when(e % 9 == 0, (1 << 63) - 8).otherwise(e)
+    return table(spark, sf_dir, "events").select("event_id", frame_bounds(x, e % 50, e % 20, F.lit(3)).alias("s")).select("event_id", "s.*")

@@ -78,6 +78,19 @@ def metadata(df: DataFrame, *fourccs: str, key: str = "path", mode: str = "stric
     return _lateral(df, key, "fourcc string, data binary", rows)
 
 
+def config(df: DataFrame, key: str = "path") -> DataFrame:
+    """``(key, colour_model, width, height, error)`` of what decoding would give, from headers alone: planes for a lossy image
+    without alpha, else RGBA."""
+    def rows(data: bytes | None):
+        f = parse(data, "strict", 1)
+        if f.error:
+            return [(None, None, None, f.error)]
+        plain = not f.frames[0].lossless and f.frames[0].alpha_data is None if f.frames else not f.has_alpha
+        return [("ycbcr" if plain else "rgba", f.width, f.height, None)]
+
+    return _lateral(df, key, "colour_model string, width int, height int, error string", rows)
+
+
 class _Chunks:
     def eval(self, content: bytes, mode: str):
         yield from _chunk_rows(content, mode or "strict")
