@@ -24,12 +24,12 @@ def test_frames_merge_in_a_stream(spark, tmp_path):
     source, out = str(tmp_path / "frames"), str(tmp_path / "out")
     rows = [(a, i, 10 * (i + 1), c, f"2024-01-01 00:00:{i:02d}") for a in (1, 2) for i, c in enumerate("xxyyyzx")]
     df = spark.createDataFrame(rows, "anim_id long, frame_idx long, duration_ms long, canvas string, t string").selectExpr("anim_id", "frame_idx", "duration_ms", "canvas", "cast(t as timestamp) ts")
-    df.where("frame_idx < 4").coalesce(1).write.parquet(source)
+    df.where("frame_idx < 5 and frame_idx <> 3").coalesce(1).write.parquet(source)  # frame 4 has to wait for frame 3
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
     run = lambda: merged_frames(stream).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(90)
     run()
     assert sorted((r.anim_id, r.frame_idx, r.start_ms, r.duration_ms, r.canvas) for r in spark.read.parquet(out).collect()) == [(a, 0, 0, 30, "x") for a in (1, 2)]
-    df.where("frame_idx >= 4").coalesce(1).write.mode("append").parquet(source)
+    df.where("frame_idx >= 3").coalesce(1).write.mode("append").parquet(source)
     late = df.limit(1).selectExpr("3L anim_id", "0L frame_idx", "1L duration_ms", "'q' canvas", "timestamp'2024-01-02' ts")
     late.write.mode("append").parquet(source)
     run()
