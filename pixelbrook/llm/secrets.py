@@ -8,8 +8,11 @@ expression. A rule without a mandatory trigram (hex runs) scans every document.
 
 Base rules match leftmost without overlap, and a match that fails its length is dropped after it has taken its text.
 Spans are in code points, end exclusive. The pem span of ``report`` is the BEGIN line, as in the SQL; ``redact`` masks the
-whole key. Defined results: null is an empty text; repeated rows each get a row; other
-columns are ignored by ``report`` and kept by ``redact``.
+whole key. Defined results: null is an empty text; repeated rows each get a row; texts are scanned whole, whatever their
+length (about ``BLOCK_BYTES`` of them at a time, a longer one by itself); where spans overlap the first rule that began masks
+them; other columns are ignored by ``report`` and kept, values and all, by ``redact``; an empty table gives no rows.
+
+Patterns are parsed by the standard library's own parser, which has no public name; what ``trigram_query`` doesn't know asks for nothing, so such a rule scans more, never less.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ one row for each length that occurs. Suffix sums over it answer everything: tota
 are left when every document is cut to a context limit. They are taken in two levels (blocks of lengths, then lengths in
 a block), so no task gets more rows than a block holds or there are blocks.
 
-Defined results: null and empty texts have length 0; repeated rows count each; an empty table has an empty histogram.
+Defined results: null and empty texts have length 0; repeated rows count each; texts are encoded whole, whatever their length;
+other columns, whatever their names, are ignored; an empty table has an empty histogram.
 """
 
 from __future__ import annotations
