@@ -16,12 +16,12 @@ SHARE = 100_000
 LEAST = 1000
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", total: int | None = None) -> DataFrame | None:
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", total: int | None = None, least: int | None = None) -> DataFrame | None:
     """``(keys..., salts)`` of the hot keys of ``counts(keys..., n)``, which is read twice; None if there are none. ``counts``
     may leave out keys of up to ``LEAST`` rows if it is told the ``total`` of rows."""
     if total is None:
         total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    most = max(LEAST, -(-total // SHARE))
+    most = max(LEAST if least is None else least, -(-total // SHARE))
     hot = counts.where(F.col(n) > most).select(*keys, F.ceil(F.col(n) / most).cast("int").alias("salts"))
     return None if hot.isEmpty() else hot
 
