@@ -260,6 +260,9 @@ def test_bm25(docs, rows, empty):
         # equal scores come by doc_id; what is in the last place of a rounded score may part documents that differ
         assert [g[2] for g in got] == [w[2] for w in want]
     assert bm25.search(empty, ids).count() == 0 and bm25.search(docs, ids.limit(0)).count() == 0
+    halves = ids.where("id = 200").selectExpr("id", "substring(text, 1, 5000) text").union(ids.where("id = 200").selectExpr("id", "substring(text, 5001) text")).union(ids.where("id = 200"))
+    one = [tuple(r) for r in bm25.search(docs, halves).collect()]
+    assert [r[2] for r in sorted(one, key=lambda r: r[1])] and len(one) == 10
 
 
 def test_bm25_of_words_that_share_a_hash(spark):
