@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pixelbrook.llm import bm25, chat, components, decontaminate, pieces, quality, secrets, simhash, spread, suffix_dedup, token_counts, toxicity
+from pixelbrook.llm.arrow import small_batches
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
@@ -278,6 +281,57 @@ def test_bm25_of_words_that_share_a_hash(spark):
         assert seed == 1 and sorted(r.df for r in df.collect()) == [1, 1, 3]
 
 
+def test_bm25_shards_are_bounded(spark):
+    """A shard ends at some number of postings, is a file of its own and keeps great term counts."""
+    text = " ".join(f"w{i}" for i in range(7000))
+    docs = spark.range(600).selectExpr("id doc_id", f"'{text}' text").coalesce(1)
+    shards, df, _ = bm25.index(docs)
+    sizes = [len(r.ids) for r in shards.select("ids").collect()]
+    assert sum(sizes) == 600 and max(sizes) <= bm25.POSTINGS // 7000 + 1 and len(shards.inputFiles()) == len(sizes) > 1
+    assert df.where("df = 600").count() == 7000
+    rows = [(1, "a " * 70_000 + "b"), (2, "a " * 300 + "b c"), (3, "b c"), (4, "c " * 5 + "a")]
+    few = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    queries = [(9, "a c"), (10, "b")]
+    got = sorted(tuple(r) for r in bm25.search(few, spark.createDataFrame(queries, "id long, text string")).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(bm25.brute_force(rows, queries))]
+
+
+def test_bm25_memory_of_a_shard():
+    """Indexing takes less than 80 bytes for each posting that closes a shard, however many documents a task reads."""
+    code = """if True:
+        import random, re
+        import pyarrow as pa
+        from pixelbrook.llm import bm25
+
+        rng, most = random.Random(1), lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1])
+        common = [f"common{i}" for i in range(5000)]
+
+        def batches():
+            for b in range(64):  # 6.5 million postings
+                texts = [" ".join(rng.sample(common, 365) + [f"rare{b}_{i}_{k}" for k in range(35)]) for i in range(256)]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(range(b * 256, b * 256 + 256), pa.int64()), "text": texts})
+
+        before = most()
+        n = sum(len(out.column(1)[0]) for out in bm25._index(0, bm25.hashed)(batches()))
+        print(n, (most() - before) * 1024)
+    """
+    n, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert n == 64 * 256 and grown < 80 * 3_500_000
+
+
+def test_batches_for_python_are_small(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = spark.range(200, numPartitions=1).selectExpr("repeat('x', 100000) text").mapInArrow(sizes, "n long")
+    before = spark.conf.get(name, None)
+    with small_batches(spark, 1 << 20):
+        n = [r.n for r in long.collect()]
+    assert sum(n) == 200 and max(n) <= 12 and spark.conf.get(name, None) == before
+
+
 def test_bm25_prunes_exactly():
     """Short queries go by blocks, long ones together; both give what scoring everything gives."""
     rng = np.random.default_rng(3)
