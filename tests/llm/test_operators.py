@@ -316,7 +316,7 @@ def test_bm25_memory_of_a_shard():
         print(n, (most() - before) * 1024)
     """
     n, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
-    assert n == 64 * 256 and grown < 80 * 3_500_000
+    assert n == 64 * 256 and grown < 80 * bm25.POSTINGS
 
 
 def test_batches_for_python_are_small(spark):
