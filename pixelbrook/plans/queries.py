@@ -424,6 +424,12 @@ def segment_majority(spark, sf_dir):
 _E16 = ", ".join(f"CAST(floor(embedding[{k + 1}] * 100) AS INT) AS e{k}" for k in range(16))
 
 
+def entries(spark, sf_dir: str, n: int) -> DataFrame:
+    """The first values of each vector as integers, null where it is shorter. Products are of single precision, as the SQL's are."""
+    hundred = F.lit(100).cast("float")
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[i(F.floor(F.get("embedding", F.lit(k)) * hundred)).alias(f"e{k}") for k in range(n)])
+
+
 def _wht_sql() -> str:
     def four(a, b, c, d):
         return f"({a}+{b}+{c}+{d})", f"({a}+{b}-{c}-{d})", f"({a}-{b}-{c}+{d})", f"({a}-{b}+{c}-{d})"
@@ -589,17 +595,17 @@ def _dct_sql() -> str:
 
 @query(f"WITH q AS (SELECT vec_id, {_E16} FROM embeddings) {_dct_sql()}")
 def block_dct(spark, sf_dir):
-    vec = table(spark, sf_dir, "embeddings").select("vec_id", *[i(F.floor(F.col("embedding")[k] * 100)).alias(f"e{k}") for k in range(16)])
+    vec = entries(spark, sf_dir, 16)
     return vec.select("vec_id", *[i(c).alias(f"c{k}") for k, c in enumerate(P.forward_dct([F.col(f"e{k}") for k in range(16)]))])
 
 
 @query(f"WITH q AS (SELECT vec_id, {_E16} FROM embeddings) SELECT vec_id, TRUE AS near FROM q")
 def dct_roundtrip(spark, sf_dir):
-    """The inverse transform of the forward one gives each difference back to within 1."""
-    vec = table(spark, sf_dir, "embeddings").select("vec_id", *[i(F.floor(F.col("embedding")[k] * 100)).alias(f"e{k}") for k in range(16)])
+    """The inverse transform of the forward one gives each difference back to within 1. A vector of fewer values has none to differ."""
+    vec = entries(spark, sf_dir, 16)
     vec = vec.select("*", *[c.alias(f"c{k}") for k, c in enumerate(P.forward_dct([F.col(f"e{k}") for k in range(16)]))])
     back = P.inverse_dct([F.col(f"c{k}") for k in range(16)])
-    return vec.select("vec_id", F.greatest(*[F.abs(b - F.col(f"e{k}")) for k, b in enumerate(back)]).alias("d")).select("vec_id", (F.col("d") <= 1).alias("near"))
+    return vec.select("vec_id", F.greatest(*[F.abs(b - F.col(f"e{k}")) for k, b in enumerate(back)]).alias("d")).select("vec_id", F.coalesce(F.col("d") <= 1, F.lit(True)).alias("near"))
 
 
 _TEXTURE = (38, 32, 20, 9, 32, 28, 17, 7, 20, 17, 10, 4, 9, 7, 4, 2)
