@@ -623,6 +623,6 @@ def _texture_sql(first: int) -> str:
 
 @query(f"WITH q AS (SELECT vec_id, {_E32} FROM embeddings) SELECT vec_id, CAST(abs({_texture_sql(16)} - {_texture_sql(0)}) >> 5 AS INT) AS distortion FROM q")
 def texture_distortion(spark, sf_dir):
-    vec = table(spark, sf_dir, "embeddings").select("vec_id", *[i(F.floor(F.col("embedding")[k] * 100)).alias(f"e{k}") for k in range(32)])
+    vec = entries(spark, sf_dir, 32)
     e = [F.col(f"e{k}") for k in range(32)]
     return vec.select("vec_id", i(P.texture_distortion(e[:16], e[16:])).alias("distortion"))
