@@ -1,4 +1,4 @@
-"""Kernels over tables: one Arrow pass each, a row of images in, a row out. A bad file gives an error, not a failed job."""
+"""Kernels over tables: one Arrow pass each, or one for several in a row, a row of images in, a row out. A bad file gives an error, not a failed job."""
 
 from __future__ import annotations
 
@@ -94,6 +94,23 @@ def encode_lossy(data: bytes | None, width: int | None, height: int | None, qual
     return b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WEBP" + body, None
 
 
+def kernel(df: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+    """``run`` over Arrow batches of these columns. On what another kernel gave it runs in that one's worker, batch by batch: a
+    task has one worker for a row of kernels, and images don't pass through the JVM in between."""
+    before = df.__dict__.get("_kernel")
+    if before is None or df.is_cached or not set(columns) <= set(df.columns):
+        rows, f = df.select(*columns), run
+    else:
+        rows, first = before
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return run(batch.select(columns) for batch in first(batches))
+
+    out = rows.mapInArrow(f, schema)
+    out._kernel = rows, f
+    return out
+
+
 def _each(df: DataFrame, key: str, columns: list[str], schema: str, kinds: list[pa.DataType], f) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -103,8 +120,7 @@ def _each(df: DataFrame, key: str, columns: list[str], schema: str, kinds: list[
                 row = f(*(batch.column(1 + j)[k].as_py() for j in range(len(columns))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *(pa.array([v], t) for v, t in zip(row, kinds))], [key, *names])
 
-    one = df.select(key, *columns)
-    return one.mapInArrow(run, f"`{key}` {one.schema[key].dataType.simpleString()}, {schema}")
+    return kernel(df, [key, *columns], run, f"`{key}` {df.schema[key].dataType.simpleString()}, {schema}")
 
 
 def decoded(files: DataFrame, key: str = "path", tables: lossy.Tables | None = None) -> DataFrame:
@@ -164,8 +180,7 @@ def pixel_rows(images: DataFrame, key: str) -> DataFrame:
                     keys = batch.column(0).take(pa.array(np.full(len(at), k)))
                     yield pa.RecordBatch.from_arrays([keys, pa.array(at // w), pa.array(at % w), *(pa.array(np.ascontiguousarray(p[at, c])) for c in range(4))], [key, "y", "x", "r", "g", "b", "a"])
 
-    one = images.select(key, "width", "height", "data")
-    return one.mapInArrow(run, f"`{key}` {one.schema[key].dataType.simpleString()}, y long, x long, r int, g int, b int, a int")
+    return kernel(images, [key, "width", "height", "data"], run, f"`{key}` {images.schema[key].dataType.simpleString()}, y long, x long, r int, g int, b int, a int")
 
 
 def images_of(pixels: DataFrame, key: str, width: int, height: int) -> DataFrame:
@@ -197,4 +212,4 @@ def images_of(pixels: DataFrame, key: str, width: int, height: int) -> DataFrame
     channel = lambda c, n: F.col(c).cast("long") * (1 << n)  # noqa: E731  little-endian words are R, G, B, A bytes
     rows = pixels.select(key, (F.col("y") * width + F.col("x")).cast("int").alias("at"), (channel("r", 0) + channel("g", 8) + channel("b", 16) + channel("a", 24)).alias("word"))
     kind = rows.schema[key].dataType.simpleString()
-    return rows.repartition(key).sortWithinPartitions(key, "at").mapInArrow(run, f"`{key}` {kind}, width int, height int, data binary")
+    return kernel(rows.repartition(key).sortWithinPartitions(key, "at"), [key, "at", "word"], run, f"`{key}` {kind}, width int, height int, data binary")

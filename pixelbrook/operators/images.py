@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..codec.columns import kernel
+
 IMAGE = "width int, height int, data binary"
 
 
@@ -24,8 +26,7 @@ def _each(df: DataFrame, key: str, columns: list[str], change) -> DataFrame:
                 size = (None, None, None) if out is None else (out.shape[1], out.shape[0], np.ascontiguousarray(out).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *(pa.array([v], t) for v, t in zip(size, (pa.int32(), pa.int32(), pa.binary())))], [key, "width", "height", "data"])
 
-    one = df.select(key, "width", "height", "data", *columns)
-    return one.mapInArrow(run, f"`{key}` {one.schema[key].dataType.simpleString()}, {IMAGE}")
+    return kernel(df, [key, "width", "height", "data", *columns], run, f"`{key}` {df.schema[key].dataType.simpleString()}, {IMAGE}")
 
 
 def clamped(x: int, y: int, w: int, h: int, width: int, height: int) -> tuple[int, int, int, int]:

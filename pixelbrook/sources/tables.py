@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..codec.columns import kernel
 from .container import MAX_INPUT, metadata as payload_of, parse
 
 CHUNK = "idx int, fourcc string, offset long, size long, data binary, error string"
@@ -53,8 +54,7 @@ def _lateral(df: DataFrame, key: str, schema: str, rows) -> DataFrame:
                 cols = zip(*found) if found else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(cols, types))], [key, *names])
 
-    one = df.select(key, "content")
-    return one.mapInArrow(run, f"`{key}` {one.schema[key].dataType.simpleString()}, {schema}")
+    return kernel(df, [key, "content"], run, f"`{key}` {df.schema[key].dataType.simpleString()}, {schema}")
 
 
 def chunks(df: DataFrame, key: str = "path", mode: str = "lenient") -> DataFrame:
